@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, neardup, placement, tokencount
+from tidemark.llm import bpe, exact, mixing, neardup, placement, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = neardup.near_groups(_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -39,6 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_mixing": op3_mixing,
     "op5_minhash": op5_minhash,
     "op8_placement": op8_placement,
     "op9_exact_dedup": op9_exact_dedup,
