@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, mixing, neardup, placement, tokencount
+from tidemark.llm import bpe, exact, mixing, neardup, placement, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.place(_table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "slot", "shard")
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_mixing": op3_mixing,
     "op5_minhash": op5_minhash,
+    "op6_toxicity": op6_toxicity,
     "op8_placement": op8_placement,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
