@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, mixing, neardup, placement, quality, tokencount, toxicity
+from tidemark.llm import bpe, embdedup, exact, mixing, neardup, pii, placement, quality, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = neardup.near_groups(_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -36,6 +40,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.place(_table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "slot", "shard")
 
@@ -53,8 +61,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_mixing": op3_mixing,
+    "op4_pii": op4_pii,
     "op5_minhash": op5_minhash,
     "op6_toxicity": op6_toxicity,
+    "op7_lattice": op7_lattice,
     "op8_placement": op8_placement,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
