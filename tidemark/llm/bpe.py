@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.textscan import WordTable
 
 CACHE_WORDS = 500_000
+PRIVATE = "\ue000"  # neither letter, number nor white space
 END = "\n"  # stands for the end-of-word mark; no symbol is a control character
 
 # The byte alphabet of byte-level vocabularies. Printable bytes stand for
@@ -111,7 +112,8 @@ class WordEncoder:
     """Text to tokens: special tokens, normalisation, word cutting, then the automaton.
 
     Reads a tokenizer file with NFC, white space and lower-case normalisation, a splitting
-    pattern, byte-level symbols and an end-of-word mark.
+    pattern, byte-level symbols and an end-of-word mark. Letters whose lower case Unicode 16 or
+    a later version added keep their case.
     """
 
     def __init__(self, spec: str, cache_words: int = CACHE_WORDS):
@@ -143,10 +145,17 @@ class WordEncoder:
                 continue
             # capital sigma is lowered as it stands, not by its place in the word
             part = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in (part,) if self.letters.fullmatch(part) else self.words.findall(part):
+            for word in self._cut(part):
                 ids += self.word_ids(word)
         return ids
 
+    def _cut(self, part: str) -> list[str]:
+        """The words of a part. Code points that Unicode 15 did not assign are signs, whatever they became later."""
+        if part.isascii() or not any(unicodedata.category(c) == "Cn" for c in part):
+            return [part] if self.letters.fullmatch(part) else self.words.findall(part)
+        masked = "".join([PRIVATE if unicodedata.category(c) == "Cn" else c for c in part])
+        return [part[slice(*m.span())] for m in self.words.finditer(masked)]
+
     def _chunk(self, chunk: str) -> tuple[str, str, int]:
         ids = self.chunk_ids(chunk)
         return " ".join(map(str, ids)), self.automaton.decode(ids), len(ids)

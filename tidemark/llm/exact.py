@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import fresh, row_hash, written
 from tidemark.llm.textscan import column_bytes
 
 BLOCK_BYTES = 4096
@@ -116,8 +116,9 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     of documents are not read.
     """
     named = written(identities(documents, id_col, text_col, block_bytes), "identities")
-    groups = named.groupBy("n_blocks", "name").agg(
-        F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")
+    # written, so that the join can split the rows of a large group over tasks
+    groups = written(
+        named.groupBy("n_blocks", "name").agg(F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups"
     )
     joined = named.join(groups, ["n_blocks", "name"])
     return joined.select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "sha", "row")
@@ -129,8 +130,16 @@ def drop_exact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The largest id of each group of equal texts stays; where several rows have that id and
     text, one of them stays. Rows with null ids stay only where their group has no other id.
     """
-    kept = exact_groups(documents, id_col, text_col).where("kept").select(F.col("id").alias("_id"), F.col("sha").alias("_sha"))
-    keyed = documents.withColumns({"_id": F.col(id_col).cast("long"), "_sha": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)})
-    first = Window.partitionBy("_id", "_sha").orderBy(*[F.col(c) for c, kind in documents.dtypes if kind in ("string", "bigint", "int", "double")])
-    same = (keyed["_sha"] == kept["_sha"]) & keyed["_id"].eqNullSafe(kept["_id"])
-    return keyed.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").join(kept, same, "left_semi").drop("_id", "_sha", "_copy")
+    groups = exact_groups(documents, id_col, text_col).where("kept")
+    known, missing, sha, copy = fresh(documents, "_id", "_no_id", "_sha", "_copy")
+    keys = [known, missing, sha]
+
+    def keyed(ident: Column, digest: Column) -> dict[str, Column]:
+        return {known: F.coalesce(ident.cast("long"), F.lit(0)), missing: ident.isNull(), sha: digest}
+
+    kept = groups.select(*[c.alias(n) for n, c in keyed(F.col("id"), F.col("sha")).items()])
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = documents.withColumns(keyed(F.col(id_col), F.sha2(text, 256)))
+    # join and window deal out by the same keys, so texts are shuffled once
+    first = Window.partitionBy(*keys).orderBy(row_hash(documents))
+    return rows.join(kept, keys, "left_semi").withColumn(copy, F.row_number().over(first)).where(F.col(copy) == 1).select(*[f"`{c}`" for c in documents.columns])

@@ -12,14 +12,13 @@ one row per source, and the number of sources is checked against MAX_SOURCES.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import written
@@ -57,10 +56,13 @@ def permuted(positions: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarra
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = [int.from_bytes(hashlib.blake2b((t.as_py() or "").encode(), digest_size=8).digest(), "big", signed=True) for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(marks, pa.int64()), pa.array(word_counts(batch.column(2)))], ["id", "source", "mark", "size"]
-        )
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(word_counts(batch.column(3)))], ["id", "source", "mark", "size"])
+
+
+def _identified(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """id, source and mark, a hash of the text, of a row of documents, and its text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return [F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("mark"), text.alias("text")]
 
 
 class Mix:
@@ -68,8 +70,7 @@ class Mix:
 
     def __init__(self, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT):
         self.spark, self.block_words, self.seed, self.limit = documents.sparkSession, block_words, seed, limit
-        picked = documents.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-        self.documents = written(picked.mapInArrow(_sizes, "id long, source string, mark long, size long"), "sizes")
+        self.documents = written(documents.select(*_identified(id_col, text_col, source_col)).mapInArrow(_sizes, "id long, source string, mark long, size long"), "sizes")
         self.sources = self._targets(weights)
         self.placed = self._place()
         self.slots = self._draw()
@@ -183,18 +184,19 @@ def mix_report(documents: DataFrame, **options) -> DataFrame:
 def mixed_blocks(documents: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The mix itself: shard, slot, source and text of each block, its words joined by spaces."""
     mix = Mix(documents, text_col=text_col, **options)
-    texts = _with_runs(documents, mix, text_col, {k: v for k, v in options.items() if k.endswith("_col")})
+    texts = _with_runs(documents, mix, text_col, options)
+    place = documents.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, runs in zip(batch.column("_text").to_pylist(), batch.column("_runs").to_pylist(), strict=True):
+            for text, runs in zip(batch.column(0).field(place).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = _WORD.findall(text)
                 out += [(r["rank"], r["block"], r["offset"] + r["first"], " ".join(found[r["first"] : r["first"] + r["words"]])) for r in runs if r["copies"]]
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())], ["rank", "block", "at", "words"])
 
-    parts = texts.select("_text", "_runs").mapInArrow(cut, "rank long, block long, at long, words string")
+    parts = texts.mapInArrow(cut, "rank long, block long, at long, words string")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda p: p["words"]), " ")
     blocks = parts.groupBy("rank", "block").agg(whole.alias("text"))  # at most block_words parts in a block
     sources = F.broadcast(mix.sources.select("rank", "source"))
@@ -202,28 +204,21 @@ def mixed_blocks(documents: DataFrame, text_col: str = "text", **options) -> Dat
 
 
 def _with_runs(documents: DataFrame, mix: Mix, text_col: str, options: dict) -> DataFrame:
-    """documents with _text and _runs, the blocks its words lie in; rows without words are left out."""
-    id_col = options.get("id_col", "doc_id")
-    source_col = options.get("source_col", "source")
-    place = documents.columns.index(text_col)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = [int.from_bytes(hashlib.blake2b((t.as_py() or "").encode(), digest_size=8).digest(), "big", signed=True) for t in batch.column(place).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], [*batch.schema.names, "_mark"])
-
-    fields = ", ".join(f"`{n}` {t}" for n, t in documents.dtypes)
-    ranks = F.broadcast(mix.sources.select(F.col("source").alias("_source"), F.col("rank").alias("_rank")))
-    marked = documents.mapInArrow(mark, f"{fields}, _mark long").join(ranks, F.col(source_col).cast("string").eqNullSafe(F.col("_source"))).drop("_source")
-    marked = marked.withColumns({"_id": F.col(id_col).cast("long"), "_text": F.col(text_col).cast("string")})
-    same = ["_id", "_mark", "_rank"]
-    marked = marked.withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy("_mark")))
-    runs = mix.pieces().groupBy("rank", "offset", "id", "mark").agg(F.array_sort(F.collect_list(F.struct("first", "words", "copies", "block", "rank", "offset"))).alias("_runs"))
-    runs = runs.withColumn("_nth", F.row_number().over(Window.partitionBy("id", "mark", "rank").orderBy("offset")))
-    kept = marked.select(*[marked[c] for c in [*documents.columns, "_text", *same, "_nth"]])
-    runs = runs.withColumnsRenamed({c: f"_r_{c}" for c in ("id", "mark", "rank", "_nth", "offset")})
-    match = F.col("_id").eqNullSafe(F.col("_r_id")) & (F.col("_mark") == F.col("_r_mark")) & (F.col("_rank") == F.col("_r_rank")) & (F.col("_nth") == F.col("_r__nth"))
-    return kept.join(runs, match).select(*[kept[c] for c in [*documents.columns, "_text"]], "_runs")
+    """row, each row of documents as a struct, and runs, the blocks its words lie in; rows without words are left out."""
+    found = _identified(options.get("id_col", "doc_id"), text_col, options.get("source_col", "source"))
+    row = F.struct(*[F.col(text_col).cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns])
+    marked = documents.select(row.alias("row"), *found[:3])
+    sources = mix.sources.select(F.col("source").alias("name"), "rank")
+    marked = marked.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name")))
+    keys = ["known", "missing", "mark", "rank"]
+    named = {"known": F.coalesce("id", F.lit(0)), "missing": F.col("id").isNull()}
+    marked = marked.withColumns(named).select("row", *keys)
+    marked = marked.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    runs = mix.pieces().groupBy("rank", "offset", "id", "mark").agg(F.array_sort(F.collect_list(F.struct("first", "words", "copies", "block", "rank", "offset"))).alias("runs"))
+    runs = runs.withColumns(named).withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("offset")))
+    # the difference is no key of the join, so both sides stay dealt out as their windows need it
+    same = [marked[k] == runs[k] for k in keys]
+    return marked.join(runs, [*same, (marked["nth"] - runs["at"]) == 0]).select("row", "runs")
 
 
 def mixed_documents(documents: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
@@ -241,7 +236,8 @@ def mixed_documents(documents: DataFrame, text_col: str = "text", chars_col: str
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, out = [], []
-            for row, (text, runs) in enumerate(zip(batch.column("_text").to_pylist(), batch.column("_runs").to_pylist(), strict=True)):
+            columns = batch.column(0).flatten()
+            for row, (text, runs) in enumerate(zip(columns[place].to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 spans = [m.span() for m in _WORD.finditer(text)]
                 for copy in range(1, max(r["copies"] for r in runs) + 1):
                     stretches: list[list[int]] = []
@@ -254,10 +250,10 @@ def mixed_documents(documents: DataFrame, text_col: str = "text", chars_col: str
                             stretches.append([r["first"], r["first"] + r["words"]])
                     rows.append(row)
                     out.append("\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in stretches))
-            columns = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[: len(names)]]
+            columns = [c.take(pa.array(rows, pa.int64())) for c in columns]
             columns[place] = pa.array(out, pa.string())
             if chars is not None:
                 columns[chars] = pa.array([len(t) for t in out], pa.int64()).cast(columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return texts.select(*names, "_text", "_runs").mapInArrow(cut, documents.schema)
+    return texts.mapInArrow(cut, documents.schema)

@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import written
+from tidemark.llm.shared import fresh, row_hash, written
 from tidemark.llm.textscan import chunks, column_bytes, mix64, word_hashes, word_spans
 
 WORDS = 5
@@ -280,7 +280,9 @@ def drop_near(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows with null ids stay. Of rows that repeat an id one stays.
     """
     groups = near_groups(documents, id_col, text_col)
-    kept = groups.where("kept and id is not null").select(F.col("id").alias("_id")).distinct()
-    named = documents.withColumn("_id", F.col(id_col).cast("long"))
-    stay = named.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
-    return stay.unionByName(documents.where(F.col(id_col).isNull()))
+    known, copy = fresh(documents, "_id", "_copy")
+    kept = groups.where("kept and id is not null").select(F.col("id").alias(known)).distinct()
+    rows = documents.withColumn(known, F.col(id_col).cast("long"))
+    first = Window.partitionBy(known).orderBy(row_hash(documents))
+    stay = rows.join(kept, known, "left_semi").withColumn(copy, F.row_number().over(first)).where(F.col(copy) == 1)
+    return stay.select(*[f"`{c}`" for c in documents.columns]).unionByName(documents.where(F.col(id_col).isNull()))

@@ -63,8 +63,7 @@ def place(rows: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS
     spark = rows.sparkSession
     table = ",".join(map(str, lookup_table(shards, size)))
     names = F.array(*map(F.lit, shards))
-    slots = spark.range(1).select(F.posexplode(F.split(F.lit(table), ",")).alias("_slot", "_index"))
-    slots = slots.select("_slot", F.element_at(names, F.col("_index").cast("int") + 1).alias("_shard"))
-    keyed = rows.drop("slot", "shard").withColumn("_slot", slot_of(F.col(key), size))
-    joined = keyed.join(F.broadcast(slots), "_slot", "left")
-    return joined.withColumnsRenamed({"_slot": "slot", "_shard": "shard"})
+    slots = spark.range(1).select(F.posexplode(F.split(F.lit(table), ",")).alias("slot", "index"))
+    slots = slots.select("slot", F.element_at(names, F.col("index").cast("int") + 1).alias("shard"))
+    keyed = rows.withColumn("slot", slot_of(F.col(key), size)).drop("shard")
+    return keyed.join(F.broadcast(slots), "slot", "left").select(*[f"`{c}`" for c in rows.columns if c.lower() not in ("slot", "shard")], "slot", "shard")
