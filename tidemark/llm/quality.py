@@ -26,6 +26,7 @@ from tidemark.llm.textscan import chunks, column_bytes, word_hashes, word_spans
 
 SAMPLE = 4_000  # labelled documents that fit the field
 ROUNDS, STEPS, RATE, DECAY = 3, 150, 0.1, 1e-3
+CHAIN = 64  # lines of a training chain; longer texts give several, each with its outer neighbours' features
 
 LINE_FEATURES = ["log_bytes", "log_words", "word_length", "upper", "lower", "digits", "stops", "exclamation", "bars", "signs", "repeats", "near_repeats", "capital_start", "wide"]
 
@@ -173,9 +174,9 @@ def fit(features: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, labels: np.
     # both labels weigh as much, whatever their shares
     weight = np.where(bad, 0.5 / max(1, bad.sum()), 0.5 / max(1, (~bad).sum())) * n
     target = (~bad).astype(float)
-    follows = np.ones(n, bool)
-    follows[firsts[:-1][firsts[:-1] < n]] = False
-    at = np.flatnonzero(follows)
+    within = np.arange(n) - firsts[:-1][document]
+    chains = np.concatenate([np.flatnonzero(within % CHAIN == 0), [n]])
+    at = np.flatnonzero(within % CHAIN)
     point = np.zeros(wide.shape[1] + 4)
 
     for round_ in range(ROUNDS):
@@ -185,7 +186,7 @@ def fit(features: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, labels: np.
 
         def gradient(point: np.ndarray, seen=seen) -> np.ndarray:
             score = wide @ point[:-4]
-            marginal, pairs = forward_backward(np.column_stack([np.zeros(n), score]), point[-4:].reshape(2, 2), firsts)
+            marginal, pairs = forward_backward(np.column_stack([np.zeros(n), score]), point[-4:].reshape(2, 2), chains)
             w = wide.T @ ((target - marginal[:, 1]) * weight) / n
             return np.concatenate([w, ((seen - pairs) / n).ravel()]) - DECAY * point
 
