@@ -19,12 +19,14 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.textscan import WordTable
+from tidemark.llm.textscan import WordTable, chunks, column_bytes
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 80_000  # some 400 bytes each
+PART_BYTES = 1 << 20  # of text that are encoded at a time
 PRIVATE = "\ue000"  # neither letter, number nor white space
 END = "\n"  # stands for the end-of-word mark; no symbol is a control character
 
@@ -200,11 +202,15 @@ def encode(documents: DataFrame, tokenizer_path: str, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(spec.value, key)
-        for batch in batches:
-            found = [encoder.text(t) if t else ("", "", 0) for t in batch.column(place).to_pylist()]
-            ids = pa.array([[int(i) for i in f[0].split(" ")] if f[0] else [] for f in found], pa.list_(pa.int32()))
-            decoded = pa.array([f[1] for f in found], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, decoded], [*batch.schema.names, "ids", "decoded"])
+        for whole in batches:
+            for a, b in chunks(column_bytes(whole.column(place))[1], PART_BYTES):
+                batch = whole.slice(a, b - a)
+                found = [encoder.text(t) if t else ("", "", 0) for t in batch.column(place).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([f[2] for f in found])])
+                flat = np.fromstring(" ".join([f[0] for f in found if f[2]]), np.int32, sep=" ")
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                decoded = pa.array([f[1] for f in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids, decoded], [*batch.schema.names, "ids", "decoded"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in rest.dtypes)
     return rest.mapInArrow(run, f"{fields}, ids array<int>, decoded string")

@@ -22,7 +22,7 @@ from tidemark.llm.textscan import WordTable
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 160_000  # some 200 bytes each
 
 
 def read_vocabulary(path: str) -> list[tuple[str, float]]:
