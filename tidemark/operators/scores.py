@@ -55,7 +55,7 @@ class ScoreComponent(ABC):
 
 def _spread(context: ProblemContext, low: float, high: float) -> DataFrame:
     """variable and spread, the range between two quantiles, 1 where it is 0."""
-    q = F.percentile("value", F.array(F.lit(low), F.lit(high)), "n")
+    q = F.percentile("value", F.array(F.lit(low), F.lit(high)), F.col("n"))
     found = context.value_counts.groupBy("variable").agg(q.alias("q"))
     width = F.col("q")[1] - F.col("q")[0]
     return found.select("variable", F.when(width == 0, 1.0).otherwise(width).alias("spread"))
@@ -112,8 +112,8 @@ class DurationCurveFidelity(ScoreComponent):
     def score_all(self, members):
         points = F.array(*map(F.lit, self.points))
         counts = self.context.value_counts
-        full = counts.groupBy("variable").agg(F.percentile("value", points, "n").alias("full")).join(_spread(self.context, 0.25, 0.75), "variable")
-        own = members.join(counts, "slice_id").groupBy("combo_id", "variable").agg(F.percentile("value", points, "n").alias("own"))
+        full = counts.groupBy("variable").agg(F.percentile("value", points, F.col("n")).alias("full")).join(_spread(self.context, 0.25, 0.75), "variable")
+        own = members.join(counts, "slice_id").groupBy("combo_id", "variable").agg(F.percentile("value", points, F.col("n")).alias("own"))
         square = F.aggregate(F.zip_with("own", "full", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
         rmse = F.sqrt(square / len(self.points))
         return own.join(F.broadcast(full), "variable").groupBy("combo_id").agg(F.sum(self._weight(self.variable_weights) * rmse / F.col("spread")).alias("score"))
@@ -132,19 +132,24 @@ class NRMSEFidelity(ScoreComponent):
         self.variable_weights = variable_weights
 
     def score_all(self, members):
+        @pandas_udf("double")
+        def squares(full: pd.Series, own: pd.Series) -> pd.Series:
+            out = []
+            for f, o in zip(full, own, strict=True):
+                whole, part = (np.repeat([r["value"] for r in x], [r["n"] for r in x]) for x in (f, o))
+                at = np.linspace(0, len(part) - 1, len(whole))
+                out.append(float(((np.interp(at, np.arange(len(part)), part) - whole) ** 2).mean()))
+            return pd.Series(out)
+
         counts = self.context.value_counts
-        weights = normalised_weights(self.variable_weights, self.context.variables)
-        sizes = {r["variable"]: (r["n"], r["m"]) for r in counts.groupBy("variable").agg(F.sum("n").alias("n"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("m")).collect()}
-        terms = None
-        for v, (n, mean) in sizes.items():
-            points = F.array(*[F.lit(i / max(n - 1, 1)) for i in range(n)])
-            of_v = counts.where(F.col("variable") == v)
-            full = of_v.agg(F.percentile("value", points, "n").alias("full"))
-            own = members.join(of_v, "slice_id").groupBy("combo_id").agg(F.percentile("value", points, "n").alias("own"))
-            square = F.aggregate(F.zip_with("own", "full", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-            term = own.crossJoin(F.broadcast(full)).select("combo_id", (F.sqrt(square / n) / (mean + TINY) * weights[v]).alias("t"))
-            terms = term if terms is None else terms.unionByName(term)
-        return terms.groupBy("combo_id").agg(F.sum("t").alias("score"))
+        curve = F.array_sort(F.collect_list(F.struct("value", "n")))
+        mean = F.sum(F.col("value") * F.col("n")) / F.sum("n")
+        whole = counts.groupBy("variable", "value").agg(F.sum("n").alias("n"))
+        full = whole.groupBy("variable").agg(curve.alias("full"), mean.alias("mean"))
+        own = members.join(counts, "slice_id").groupBy("combo_id", "variable", "value").agg(F.sum("n").alias("n"))
+        own = own.groupBy("combo_id", "variable").agg(curve.alias("own"))
+        term = self._weight(self.variable_weights) * F.sqrt(squares("full", "own")) / (F.col("mean") + TINY)
+        return own.join(full, "variable").withColumn("t", term).groupBy("combo_id").agg(F.sum("t").alias("score"))
 
 
 class CorrelationFidelity(ScoreComponent):

@@ -28,9 +28,11 @@ def hourly_events(spark: SparkSession, sf_dir: str, first: str = "2024-01-01", d
     return spine.join(sums, "ts", "left").select("ts", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in EVENT_TYPES])
 
 
-def daily_shipments(spark: SparkSession, sf_dir: str, year: int = 1996) -> DataFrame:
-    """Quantity and price shipped and the mean discount by day of a year; days without shipments are absent."""
+def daily_shipments(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
+    """Quantity and price shipped and the mean discount by day, of all years or one; days without shipments are absent."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    if year is not None:
+        first, after = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (year, year + 1))
+        items = items.where((F.col("l_shipdate") >= first) & (F.col("l_shipdate") < after))
     day = F.date_trunc("day", F.col("l_shipdate")).cast("timestamp_ntz")
-    in_year = (F.col("l_shipdate") >= F.lit(f"{year}-01-01").cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz"))
-    return items.where(in_year).groupBy(day.alias("ts")).agg(F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("price"), F.avg("l_discount").alias("disc"))
+    return items.groupBy(day.alias("ts")).agg(F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("price"), F.avg("l_discount").alias("disc"))
