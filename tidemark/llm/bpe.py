@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.textscan import WordTable, chunks, column_bytes
 
-CACHE_WORDS = 80_000  # some 400 bytes each
+CACHE_WORDS = 240_000  # stretches between white space, some 400 bytes each; and half as many words
 PART_BYTES = 1 << 20  # of text that are encoded at a time
 PRIVATE = "\ue000"  # neither letter, number nor white space
 END = "\n"  # stands for the end-of-word mark; no symbol is a control character
@@ -133,7 +133,7 @@ class WordEncoder:
         self.odd_space = regex.compile("[\x1c-\x1f]")
         self.white = regex.compile(r"\p{White_Space}+")
         self.letters = regex.compile(r"\p{L}+")
-        self.found = WordTable(cache_words)
+        self.found, self.known = WordTable(cache_words), WordTable(cache_words // 2)
 
     def word_ids(self, word: str) -> list[int]:
         return self.automaton.encode(word if word.isascii() and word.isprintable() else "".join([BYTE_SYMBOLS[b] for b in word.encode()]))
@@ -148,12 +148,18 @@ class WordEncoder:
             # capital sigma is lowered as it stands, not by its place in the word
             part = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             for word in self._cut(part):
-                ids += self.word_ids(word)
+                ids += self.known.young.get(word) or self.known.put(word, self.word_ids)
         return ids
 
     def _cut(self, part: str) -> list[str]:
         """The words of a part. Code points that Unicode 15 did not assign are signs, whatever they became later."""
-        if part.isascii() or not any(unicodedata.category(c) == "Cn" for c in part):
+        if part.isascii():
+            if part.isalpha():
+                return [part]
+            if part[-1] in ",.;:!?" and part[:-1].isalpha():
+                return [part[:-1], part[-1]]
+            return self.words.findall(part)
+        if not any(unicodedata.category(c) == "Cn" for c in part):
             return [part] if self.letters.fullmatch(part) else self.words.findall(part)
         masked = "".join([PRIVATE if unicodedata.category(c) == "Cn" else c for c in part])
         return [part[slice(*m.span())] for m in self.words.finditer(masked)]
