@@ -6,10 +6,13 @@ into a parity bitmap of 512 bits they form an odd sketch. The XOR of two sketche
 number of ones that estimates the similarity; a candidate pair whose estimate is far below
 the threshold goes no further. All others that matter are decided on the full sets.
 
-Only links between different components can change the result. Within a band bucket a few
-pivots are paired with every member, in rounds: members still in different components meet
-new pivots, more of them each time, until no bucket holds an untried pair of components. A
-bucket thus gives a multiple of its size in pairs, and none of its links is lost.
+Each band bucket names one pivot: the member whose buckets are largest in sum, which in a group
+of copies is the text they were made from. First every member is decided against its pivots: a
+few pairs for each document, however large its buckets. The members of one pivot then form a
+group, in which every bucket with that pivot is contained. Groups that still hold several
+components are dealt into blocks of bounded size, large components into blocks of their own, and
+pairs of blocks of different components are compared inside tasks, by sketch and then by the full
+sets. Only links leave the tasks, and no pair that could link goes untried.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +40,10 @@ SKETCH_LONGS = SKETCH_BITS // 64
 #: Sketches whose estimate is below this are not compared further: at a true similarity of
 #: 0.75 it lies over 4.5 standard deviations of the estimate away.
 SKETCH_FLOOR = 0.55
-SMALL_BUCKET = 16
-PIVOTS = 8
+#: A block holds about so many members, or so many bytes of text for each that it could hold.
+BLOCK = 512
+MEMBER_BYTES = 8192
+COLUMNS = 8192  # of a table of shingles and members that are held at a time
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -105,7 +111,7 @@ def most_ones(similarity: float) -> int:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "n", "set_0", "set_1", "bands", *[f"s{i}" for i in range(SKETCH_LONGS)]]
+    names = ["id", "n", "bytes", "set_0", "set_1", "bands", *[f"s{i}" for i in range(SKETCH_LONGS)]]
     for batch in batches:
         sizes, digests, samples = [], [], []
         for shingles in shingle_sets(batch.column(1)):
@@ -115,18 +121,19 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not sizes:
             continue
         samples, digests = np.array(samples), np.array(digests)
+        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
         sketches = odd_sketches(samples)
         flat = pa.array(band_keys(samples).ravel())
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
-        columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), bands]
+        columns = [batch.column(0), pa.array(sizes, pa.int64()), lengths, pa.array(digests[:, 0]), pa.array(digests[:, 1]), bands]
         yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(SKETCH_LONGS)]], names)
 
 
 def signatures(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (set size), a 128-bit name of the set, its band keys and its odd sketch, for each row."""
+    """id, n (set size), bytes of text, a 128-bit name of the set, its band keys and its odd sketch, for each row."""
     longs = ", ".join(f"s{i} long" for i in range(SKETCH_LONGS))
     source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(_signatures, f"id long, n long, set_0 long, set_1 long, bands array<long>, {longs}")
+    return source.mapInArrow(_signatures, f"id long, n long, bytes long, set_0 long, set_1 long, bands array<long>, {longs}")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,6 +151,64 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked))
 
 
+def _common(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of one with each of two, as a matrix product by columns of shingles."""
+    both = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    sides = []
+    for sets in (one, two):
+        rows, places = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        found = np.searchsorted(both, places)
+        held = np.flatnonzero(both[np.minimum(found, len(both) - 1)] == places) if len(both) else np.zeros(0, int)
+        order = held[np.argsort(found[held], kind="stable")]
+        sides.append((rows[order], found[order]))
+    out = np.zeros((len(one), len(two)))
+    for start in range(0, len(both), COLUMNS):
+        tables = []
+        for sets, (rows, places) in zip((one, two), sides, strict=True):
+            a, b = np.searchsorted(places, [start, start + COLUMNS])
+            table = np.zeros((len(sets), min(COLUMNS, len(both) - start)), np.float32)
+            table[rows[a:b], places[a:b] - start] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _across(one: pa.StructArray, two: pa.StructArray | None) -> list[tuple[int, int]]:
+    """One link for each two components that members of two blocks, or of one block, link."""
+    sides = []
+    for side in (one, one if two is None else two):
+        ids, component, n, *sketch, texts = side.flatten()
+        sides.append((ids.to_numpy(), component.to_numpy(), n.to_numpy(), [s.to_numpy() for s in sketch], texts))
+    (ids_1, of_1, n_1, s_1, texts_1), (ids_2, of_2, n_2, s_2, texts_2) = sides
+    near = of_1[:, None] != of_2
+    if two is None:
+        near = np.triu(near, 1)
+    near &= np.minimum(n_1[:, None], n_2) * 100 >= np.maximum(n_1[:, None], n_2) * PERCENT
+    ones = np.zeros(near.shape, np.int16)
+    for x, y in zip(s_1, s_2, strict=True):
+        ones += np.bitwise_count((x[:, None] ^ y).view(np.uint64))
+    near &= ones <= most_ones(SKETCH_FLOOR)
+    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(rows):
+        return []
+    sets_1, sets_2 = list(shingle_sets(texts_1.take(pa.array(rows)))), list(shingle_sets(texts_2.take(pa.array(columns))))
+    common = _common(sets_1, sets_2)
+    union = np.array([len(s) for s in sets_1])[:, None] + np.array([len(s) for s in sets_2]) - common
+    i, j = np.nonzero((100 * common >= PERCENT * union) & near[np.ix_(rows, columns)])
+    i, j = rows[i], columns[j]
+    _, first = np.unique(np.sort(np.stack([of_1[i], of_2[j]], axis=1), axis=1), axis=0, return_index=True)
+    return list(zip(ids_1[i[first]].tolist(), ids_2[j[first]].tolist(), strict=True))
+
+
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            one, two = (c.slice(row, 1) for c in batch.columns)
+            links = _across(one.flatten(), None if two.null_count else two.flatten())
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*links, strict=True)], ["a", "b"])
+
+
 def _close(one: str, two: str) -> Column:
     """Whether two nodes can be similar: by set sizes and by the ones of their sketches' XOR."""
     sizes = F.least(f"{one}.n", f"{two}.n") * 100 >= F.greatest(f"{one}.n", f"{two}.n") * PERCENT
@@ -155,8 +220,7 @@ def _ones(one: str, two: str) -> Column:
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
-    ids = [F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b"), _ones("one", "two").alias("ones")]
-    return joined.select(*ids).distinct()
+    return joined.select(F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b")).distinct()
 
 
 class _Links:
@@ -171,39 +235,19 @@ class _Links:
         labels = self.labels.select(F.col("id").alias(column), F.col("component").alias("_found"))
         return df.join(labels, column, "left").withColumn(name, F.coalesce("_found", column)).drop("_found")
 
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """Pairs with the components of their ends, where these differ."""
-        return self.label(self.label(pairs.select("a", "b", "ones"), "a", "ca"), "b", "cb").where("ca != cb")
-
     def test(self, pairs: DataFrame) -> None:
-        """Decide pairs on the full sets and add those that link."""
+        """Decide pairs (a, b) on the full sets and add those that link."""
         one = self.texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
         two = self.texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-        found = written(both.mapInArrow(_compare, "a long, b long"), "linked")
+        self.add(both.mapInArrow(_compare, "a long, b long"))
+
+    def add(self, links: DataFrame) -> None:
+        found = written(links, "linked")
         if not found.isEmpty():
             self.links = found if self.links is None else self.links.unionByName(found)
             self.labels = components(self.links)
 
-    def decide(self, pairs: DataFrame) -> None:
-        """Test pairs until all that are left lie within components.
-
-        First each component's most similar pair alone, twice, since most links follow from
-        these; then every pair between different components.
-        """
-        for step in range(3):
-            left = written(self.apart(pairs), "apart")
-            if left.isEmpty():
-                return
-            if step < 2:
-                ends = left.select(F.col("ca").alias("c"), "a", "b", "ones").unionByName(left.select(F.col("cb").alias("c"), "a", "b", "ones"))
-                best = ends.groupBy("c").agg(F.min(F.struct("ones", "a", "b")).alias("best"))
-                self.test(written(best.select("best.a", "best.b").distinct(), "best"))
-                tried = left.select("a", "b", "ones")
-                pairs = tried.join(best.select("best.a", "best.b").distinct(), ["a", "b"], "left_anti")
-            else:
-                self.test(left)
-
 
 def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id and kept, one row per input row.
@@ -225,53 +269,47 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = written(keys.join(written(shared_keys, "keys"), "key"), "members")
     known = nodes.drop("bands", "set_0", "set_1").join(members.select("id").distinct(), "id", "left_semi")
     known = written(known, "nodes")
-    small = members.where(F.col("size") <= SMALL_BUCKET).select("key", "id")
-    pairs = small.alias("x").join(small.alias("y"), "key").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    one, two = known.alias("one"), known.alias("two")
-    pairs = _pairs(pairs.join(one, F.col("a") == F.col("one.id")).join(two, (F.col("b") == F.col("two.id")) & _close("one", "two")))
-    large = written(members.where(F.col("size") > SMALL_BUCKET).select("key", "id").join(known, "id"), "large")
+    weights = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    pivots = members.join(weights, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("top"))
+    pivots = pivots.select("key", F.col("top.id").alias("pivot"))
+    stars = members.join(pivots, "key").where("id != pivot").select("pivot", "id").distinct()
+    stars = written(stars, "stars")
 
     source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = source.join(known.select("id").hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id", "text"])
     links = _Links(written(texts, "texts"))
-    pivots, complete = PIVOTS, large.isEmpty()
-    tried = written(pairs.unionByName(_with_pivots(large, None, pivots)).distinct(), "pairs")
-    links.decide(tried)
-    while not complete:
-        placed = written(links.label(large, "id", "component"), "placed")
-        split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
-        split = written(split.where("low != high").select("key", "size"), "split")
-        placed = written(placed.join(split, "key"), "placed")
-        largest = placed.agg(F.max("size")).first()[0]
-        if largest is None:
-            break
-        pivots *= 8
-        complete = pivots > largest
-        pairs = _with_pivots(placed, "component", None if complete else pivots)
-        pairs = written(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        links.decide(pairs)
+    one, two = known.alias("one"), known.alias("two")
+    pairs = stars.withColumnRenamed("id", "member").join(one, F.col("pivot") == F.col("one.id"))
+    links.test(written(_pairs(pairs.join(two, (F.col("member") == F.col("two.id")) & _close("one", "two"))), "pairs"))
+    links.add(_block_pairs(links.label(stars, "id", "component"), known, links.texts).mapInArrow(_crossed, "a long, b long"))
 
     rows = sketched.select("id", "n", "set_0", "set_1").join(sets, ["set_0", "set_1", "n"], "left")
     rows = links.label(rows.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))), "rep", "component_id")
     return rows.select("id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _with_pivots(members: DataFrame, component: str | None, pivots: int | None) -> DataFrame:
-    """Pairs of bucket members with their bucket's pivots whose sketches allow a link.
+def _block_pairs(stars: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of blocks of the members of a pivot, where these lie in several components.
 
-    A bucket's members, or its components, are dealt to slots, and each slot names one pivot.
-    pivots None makes every member a pivot: that leaves no pair of components untried.
+    two is null where a block is to be compared within itself.
     """
-    dealt = F.col(component or "id")
-    slot = F.pmod(F.xxhash64(dealt, "key", F.lit(pivots)), F.lit(pivots)) if pivots else F.col("id")
-    chosen = members.withColumn("slot", slot).groupBy("key", "slot").agg(F.min_by("id", F.xxhash64("id", "key")).alias("id"))
-    columns = [c for c in members.columns if c != "size"]
-    chosen = written(members.select(*columns).join(chosen.select("key", "id"), ["key", "id"]), "pivots")
-    condition = (F.col("one.key") == F.col("two.key")) & (F.col("one.id") != F.col("two.id")) & _close("one", "two")
-    if component:
-        condition &= F.col(f"one.{component}") != F.col(f"two.{component}")
-    return _pairs(members.select(*columns).alias("one").join(chosen.alias("two"), condition))
+    split = stars.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("pivot")
+    placed = written(stars.join(split, "pivot").join(known, "id").withColumn("cost", F.greatest(F.lit(1.0), F.col("bytes") / MEMBER_BYTES)), "placed")
+    costs = placed.groupBy("pivot", "component").agg(F.sum("cost").alias("own"))
+    others = costs.groupBy("pivot").agg(F.sum(F.when(F.col("own") < BLOCK, F.col("own"))).alias("mixed"))
+    costs = written(costs.join(others, "pivot"), "costs")
+    large = F.col("own") >= BLOCK
+    part = F.xxhash64("component", F.pmod(F.xxhash64("id"), F.ceil(F.col("own") / BLOCK)))
+    shared = F.pmod(F.xxhash64("component"), F.ceil(F.col("mixed") / BLOCK))
+    placed = placed.join(costs, ["pivot", "component"]).withColumn("place", F.struct(large.alias("large"), F.when(large, part).otherwise(shared).alias("slot")))
+    placed = placed.select("pivot", "place", "id", "component", "n", *[f"s{i}" for i in range(SKETCH_LONGS)]).join(texts, "id")
+    member = F.struct("id", "component", "n", *[f"s{i}" for i in range(SKETCH_LONGS)], "text")
+    blocks = placed.groupBy("pivot", "place").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.collect_list(member).alias("members"))
+    blocks = written(blocks, "blocks")
+    within = blocks.where("low != high").select(F.col("members").alias("one"), F.lit(None).cast(blocks.schema["members"].dataType).alias("two"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    joined = x.join(y, "pivot").where("x.place < y.place and least(x.low, y.low) != greatest(x.high, y.high)")
+    return within.unionByName(joined.select(F.col("x.members").alias("one"), F.col("y.members").alias("two")))
 
 
 def drop_near(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
