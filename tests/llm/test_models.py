@@ -55,6 +55,30 @@ def test_models_take_odd_rows(spark, odd, empty):
     assert quality.keep_good(empty, labels).count() == 0
 
 
+def lopsided(spark, good_share: float, n: int = 1400):
+    """Documents alike for every label's share: plain lines, more or fewer of them junk, and labels that lean with the junk."""
+    rng = np.random.default_rng(3)
+    documents, labels = [], []
+    for i in range(n):
+        junk = int(rng.integers(0, 9))
+        lines = ["The river ran slowly past the old mill that day, and nobody spoke.", "$$ CLICK HERE || BUY NOW!!! || 100% FREE || $$$ ###"]
+        documents.append((i, "\n".join(lines[1 if k < junk else 0] for k in rng.permutation(8))))
+        odds = good_share / (1 - good_share) * np.exp(0.5 * (4 - junk))
+        labels.append((i, int(rng.random() < odds / (1 + odds))))
+    return spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_quality_scores_do_not_depend_on_the_sample(spark, monkeypatch):
+    """A sample with as many good as bad documents gives the probabilities of the labels' real shares."""
+    documents, labels = lopsided(spark, 6 / 7)
+    scores = {}
+    for size in (4_000, 200):
+        monkeypatch.setattr(quality, "SAMPLE", size)
+        scores[size] = {r["doc_id"]: r["score"] for r in quality.quality(documents, labels).collect()}
+    whole, part = (np.array([scores[s][i] for i in sorted(scores[s])]) for s in (4_000, 200))
+    assert abs(whole - part).mean() < 0.06 and abs(whole.mean() - part.mean()) < 0.04, (abs(whole - part).mean(), whole.mean(), part.mean())
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(6)
     firsts = np.array([0, 3, 3, 4, 9])

@@ -8,8 +8,10 @@ but for the worst line of each document. A document's quality is the share of it
 by forward-backward marginals weighted with line lengths; a logistic map fitted on training
 documents turns it into a probability.
 
-The field is fitted on at most SAMPLE labelled documents, chosen by a hash of their ids; only
-their line features reach the driver. Every document is scored over its whole text.
+The field is fitted on at most SAMPLE labelled documents, up to half of them of each label,
+chosen by a hash of their ids; each weighs as many labelled documents as it stands for, so
+that scores follow the shares of all labels. Only line features of the sample reach the
+driver. Every document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import label_sample, written
 from tidemark.llm.textscan import chunks, column_bytes, word_hashes, word_spans
 
 SAMPLE = 4_000  # labelled documents that fit the field
@@ -96,11 +98,12 @@ def with_neighbours(features: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(unary: np.ndarray, transition: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(unary: np.ndarray, transition: np.ndarray, firsts: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of two labels along each chain, and summed pair marginals.
 
-    unary: line x 2 log potentials; transition: 2 x 2; firsts: the chains' bounds. Chains run
-    side by side, the longer ones last, one step of all at a time.
+    unary: line x 2 log potentials; transition: 2 x 2; firsts: the chains' bounds; weight: of
+    each line's pair with the line before it, 1 by default. Chains run side by side, the longer
+    ones last, one step of all at a time.
     """
     lengths = np.diff(firsts)
     order = np.argsort(-lengths, kind="stable")
@@ -124,7 +127,8 @@ def forward_backward(unary: np.ndarray, transition: np.ndarray, firsts: np.ndarr
         backward[at - 1] -= backward[at - 1].max(axis=1, keepdims=True)
         joint = forward[at - 1][:, :, None] + transition + ahead[:, None, :]
         joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
-        pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        joint /= joint.sum(axis=(1, 2), keepdims=True)
+        pairs += joint.sum(axis=0) if weight is None else np.tensordot(weight[at], joint, 1)
     both = forward + backward
     both = np.exp(both - both.max(axis=1, keepdims=True))
     return both / both.sum(axis=1, keepdims=True), pairs
@@ -164,12 +168,18 @@ def _ascend(gradient, point: np.ndarray, steps: int) -> np.ndarray:
     return point
 
 
-def fit(features: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, labels: np.ndarray) -> LineField:
-    """Fit the field on documents with labels 1 (good) and 0 (bad), both present."""
-    mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-6
-    wide = with_neighbours(np.clip((features - mean) / scale, -6, 6), firsts)
+def fit(features: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, labels: np.ndarray, stands_for: np.ndarray | None = None) -> LineField:
+    """Fit the field on documents with labels 1 (good) and 0 (bad), both present.
+
+    stands_for: how many documents each one stands for, 1 by default.
+    """
+    share = np.ones(len(labels)) if stands_for is None else stands_for / stands_for.mean()
     n = len(features)
     document = np.repeat(np.arange(len(labels)), np.diff(firsts))
+    line_share = share[document]
+    mean = np.average(features, axis=0, weights=line_share)
+    scale = np.sqrt(np.average((features - mean) ** 2, axis=0, weights=line_share)) + 1e-6
+    wide = with_neighbours(np.clip((features - mean) / scale, -6, 6), firsts)
     bad = labels[document] == 0
     # both labels weigh as much, whatever their shares
     weight = np.where(bad, 0.5 / max(1, bad.sum()), 0.5 / max(1, (~bad).sum())) * n
@@ -182,13 +192,13 @@ def fit(features: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, labels: np.
     for round_ in range(ROUNDS):
         hard = target.astype(int)
         seen = np.zeros((2, 2))
-        np.add.at(seen, (hard[at - 1], hard[at]), 1)
+        np.add.at(seen, (hard[at - 1], hard[at]), line_share[at])
 
         def gradient(point: np.ndarray, seen=seen) -> np.ndarray:
             score = wide @ point[:-4]
-            marginal, pairs = forward_backward(np.column_stack([np.zeros(n), score]), point[-4:].reshape(2, 2), chains)
+            marginal, pairs = forward_backward(np.column_stack([np.zeros(n), score]), point[-4:].reshape(2, 2), chains, line_share)
             w = wide.T @ ((target - marginal[:, 1]) * weight) / n
-            return np.concatenate([w, ((seen - pairs) / n).ravel()]) - DECAY * point
+            return np.concatenate([w, ((seen - pairs) / line_share.sum()).ravel()]) - DECAY * point
 
         point = _ascend(gradient, point, STEPS if round_ == 0 else STEPS // 3)
         field = LineField(mean, scale, point[:-4], point[-4:].reshape(2, 2), 1.0, 0.0)
@@ -200,14 +210,15 @@ def fit(features: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, labels: np.
 
     def platt(ab: np.ndarray) -> np.ndarray:
         p = 1 / (1 + np.exp(-(ab[0] * quality + ab[1])))
-        return np.array([((labels - p) * quality).mean(), (labels - p).mean()]) - 1e-5 * ab
+        off = share * (labels - p)
+        return np.array([(off * quality).mean(), off.mean()]) - 1e-5 * ab
 
     field.slope, field.shift = _ascend(platt, np.array([8.0, -6.0]), 1500)
     return field
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, label and the bytes of each document's line features, with line sizes as last column."""
+    """doc_id, label, stands_for and the bytes of each document's line features, with line sizes as last column."""
     for batch in batches:
         data, offsets = column_bytes(batch.column(0))
         out = []
@@ -216,7 +227,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             features, sizes, firsts = line_features(data[part[0] : part[-1]], part - part[0])
             rows = np.column_stack([features, sizes]).astype(np.float32)
             out += [rows[x:y].tobytes() for x, y in zip(firsts[:-1], firsts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "label", "lines"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.binary())], ["doc_id", "label", "stands_for", "lines"])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -228,23 +239,21 @@ def train(documents: DataFrame, labels: DataFrame, text_col: str = "text") -> Li
     """The field learned from labels (doc_id, quality); the smoothed share of good rows where a label is missing."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("_other"))
     known = known.where("label = _other").where(~held_out(F.col("doc_id")))
-    chosen = None
-    for label in (0, 1):
-        part = known.where(F.col("label") == label).select("doc_id", F.col("label").cast("long").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE // 2)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = written(chosen, "chosen")
+    chosen = written(label_sample(known, SAMPLE), "chosen")
     texts = documents.select("doc_id", F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = texts.select("text", "doc_id", "label").mapInArrow(_lines, "doc_id long, label long, lines binary").collect()
+    sample = texts.select("text", "doc_id", "label", "stands_for").mapInArrow(_lines, "doc_id long, label long, stands_for double, lines binary").collect()
     sample.sort(key=lambda r: (r["doc_id"], r["lines"]))
     labels_found = np.array([r["label"] for r in sample], float)
+    stands_for = np.array([r["stands_for"] for r in sample], float)
+    prior = float((labels_found @ stands_for + 1) / (stands_for.sum() + 2))
     if not len(labels_found) or labels_found.min() == labels_found.max():
-        return (labels_found.sum() + 1) / (len(labels_found) + 2)
+        return prior
     lines = [np.frombuffer(r["lines"], np.float32).reshape(-1, len(LINE_FEATURES) + 1) for r in sample]
     firsts = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
     table = np.concatenate(lines).astype(float)
     if not len(table):
-        return (labels_found.sum() + 1) / (len(labels_found) + 2)
-    return fit(table[:, :-1], table[:, -1], firsts, labels_found)
+        return prior
+    return fit(table[:, :-1], table[:, -1], firsts, labels_found, stands_for)
 
 
 def scored(documents: DataFrame, model: LineField | float, text_col: str = "text") -> DataFrame:

@@ -35,6 +35,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def label_sample(known: DataFrame, size: int) -> DataFrame:
+    """doc_id, label and stands_for of at most size rows of known (doc_id, label 0 or 1), at most half of them of each label.
+
+    The rows are chosen by a hash of their ids; stands_for is the number of rows of known with
+    the same label for each chosen one, so that sums weighted by it have the shares of known.
+    """
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    parts = []
+    for label in (0, 1):
+        n = counts.get(label, 0)
+        part = known.where(F.col("label") == label).select("doc_id", F.col("label").cast("long").alias("label"))
+        part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size // 2)
+        parts.append(part.withColumn("stands_for", F.lit(n / max(1, min(n, size // 2)))))
+    return parts[0].unionByName(parts[1])
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of df has, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []
