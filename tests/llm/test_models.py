@@ -79,6 +79,18 @@ def test_quality_scores_do_not_depend_on_the_sample(spark, monkeypatch):
     assert abs(whole - part).mean() < 0.06 and abs(whole.mean() - part.mean()) < 0.04, (abs(whole - part).mean(), whole.mean(), part.mean())
 
 
+def test_toxicity_scores_do_not_depend_on_the_sample(spark, monkeypatch):
+    """A sample with as many toxic as clean documents gives the probabilities of the labels' real shares."""
+    documents, labels = lopsided(spark, 1 / 9, 3000)
+    labels = labels.withColumnRenamed("quality", "toxic")
+    scores = {}
+    for size in (12_000, 600):
+        monkeypatch.setattr(toxicity, "SAMPLE", size)
+        scores[size] = {r["doc_id"]: r["score"] for r in toxicity.toxicity(documents, labels).collect()}
+    whole, part = (np.array([scores[s][i] for i in sorted(scores[s])]) for s in (12_000, 600))
+    assert abs(whole - part).mean() < 0.09 and abs(whole.mean() - part.mean()) < 0.05, (abs(whole - part).mean(), whole.mean(), part.mean())
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(6)
     firsts = np.array([0, 3, 3, 4, 9])

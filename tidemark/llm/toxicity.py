@@ -6,8 +6,10 @@ of lexicon words and stems, how near a second-person word they stand, and the ra
 capitals, punctuation and obfuscated words. Part of the training documents fits the lexicon
 and the trees, the rest the calibration.
 
-All models are fitted on at most SAMPLE labelled documents, chosen by a hash of their ids;
-every document is scored over its whole text.
+All models are fitted on at most SAMPLE labelled documents, up to half of them of each label,
+chosen by a hash of their ids. For trees and calibration each weighs as many labelled
+documents as it stands for, so that scores follow the shares of all labels; the lexicon
+compares rates within the labels. Every document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import label_sample, written
 from tidemark.llm.textscan import chunks, column_bytes, mix64, word_hashes
 
 SAMPLE = 12_000  # documents that fit lexicon, trees and calibration together
@@ -212,27 +214,22 @@ def toxicity(documents: DataFrame, labels: DataFrame, text_col: str = "text") ->
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("_other"))
     known = known.where("label = _other").where(~held_out(F.col("doc_id")))
-    # at most half of the sample for each label
-    chosen = None
-    for label in (0, 1):
-        part = known.where(F.col("label") == label).select("doc_id", F.col("label").cast("long").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE // 2)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = written(chosen, "chosen")
+    chosen = written(label_sample(known, SAMPLE), "chosen")
     texts = documents.select("doc_id", F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = written(texts.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CALIBRATION_PARTS)) == 0), "sample")
-    counts = {(r[0], r[1]): r[2] for r in sample.groupBy("calibrates", "label").agg(F.count(F.lit(1))).collect()}
+    counts = {(r[0], r[1]): r[2] for r in sample.groupBy("calibrates", "label").agg(F.sum("stands_for")).collect()}
     toxic = sum(n for (_, label), n in counts.items() if label)
     scored_rows = documents.select("doc_id", text_col)
     if not all(counts.get((False, label)) for label in (0, 1)):
         prior = (toxic + 1) / (sum(counts.values()) + 2)
         return _result(scored_rows.select("doc_id", F.lit(prior).alias("score")))
     lexicon = learn_lexicon(sample.where("not calibrates"))
-    training = written(featured(sample, lexicon, "text", ("label", "calibrates")), "training")
-    training = training.select("calibrates", F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"))
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, minInstancesPerNode=2).fit(training.where("not calibrates"))
-    calibration = trees.transform(training.where("calibrates")).select("label", vector_to_array("probability")[1].alias("raw"))
+    training = written(featured(sample, lexicon, "text", ("label", "stands_for", "calibrates")), "training")
+    training = training.select("calibrates", "stands_for", F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"))
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, minInstancesPerNode=2, weightCol="stands_for").fit(training.where("not calibrates"))
+    calibration = trees.transform(training.where("calibrates")).select("label", "stands_for", vector_to_array("probability")[1].alias("raw"))
     enough = all(counts.get((True, label)) for label in (0, 1))
-    isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(calibration) if enough else None
+    isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="stands_for", predictionCol="score").fit(calibration) if enough else None
     rows = featured(scored_rows, lexicon, text_col).withColumn("features", array_to_vector("features"))
     raw = trees.transform(rows).select("doc_id", vector_to_array("probability")[1].alias("raw"))
     return _result(isotonic.transform(raw) if isotonic else raw.withColumnRenamed("raw", "score"))
