@@ -208,6 +208,23 @@ def test_vectors_recall_and_odd_rows(spark):
     assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in nulls) == [(0, 0, 0), (0, 0, 0), (5, 0, 5)]
 
 
+def test_vectors_recall_just_above_the_threshold(spark):
+    """Pairs of distinct vectors, each alone with its partner, at cosines of 0.93 to 0.95."""
+    rng = np.random.default_rng(17)
+    n = 2000
+    one, two = (rng.standard_normal((n, 64)) for _ in range(2))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    two -= (two * one).sum(axis=1, keepdims=True) * one
+    two /= np.linalg.norm(two, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9301, 0.95, (n, 1))
+    two = cosine * one + np.sqrt(1 - cosine**2) * two
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([one, two]))]
+    found = {r["vec_id"]: r for r in embdedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert len(found) == 2 * n
+    linked = sum(found[n + i]["component_id"] == found[i]["component_id"] for i in range(n))
+    assert linked >= 0.995 * n, linked
+
+
 def test_e8_decoding_is_nearest():
     rng = np.random.default_rng(2)
     x = rng.uniform(-2, 2, (200, 8))
