@@ -186,6 +186,31 @@ def test_skip_edges_spread_labels():
     assert field.marginals(tokens)[1, [3, 5]].sum() > 0.8
 
 
+def test_skip_edges_reach_however_far():
+    """Messages along a token repeated 30 times are those of exact sums."""
+    n, k = 30, len(pii.LABELS)
+    tokens = pii.Tokens(" then ".join(["41111111"] * n))
+    assert len(tokens.skips) == n - 1
+    field = pii.SkipChain(np.zeros((3 * len(pii.FEATURES), k)), np.zeros((k, k)), 8.0)
+    tokens.features[:] = 0.0
+    tokens.features[0, 0], field.unary[0, 3] = 1.0, 6.0
+    step = np.exp(8.0 * (np.array(pii.KIND_OF)[:, None] == np.array(pii.KIND_OF)[None, :]))
+    exact = np.exp(field.unary[0])
+    for _ in range(n - 1):
+        exact = exact @ step / (exact @ step).sum()
+    assert np.allclose(field.marginals(tokens)[-1], exact, atol=1e-4) and exact[[3, 5]].sum() > 0.8
+
+
+def test_field_learns_from_distinct_texts_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(pii, "fit", lambda texts: texts)
+    own = [f"call 555-010{i}" for i in range(6)]
+    documents = spark.createDataFrame([(t,) for t in own for _ in range(40)], "text string").repartition(3)
+    assert len(set(pii.train(documents, sample=4))) == 4 and sorted(pii.train(documents)) == own
+    long = " ".join(f"{i} word" for i in range(8_000))
+    parts = pii.train(spark.createDataFrame([(long,)], "text string"))
+    assert "".join(sorted(parts, key=long.index)) == long and max(map(len, parts)) <= 20_000
+
+
 def test_pii_odd_rows(spark, odd, empty):
     rows = pii.find(odd).collect()
     assert len(rows) == len(odd_rows())

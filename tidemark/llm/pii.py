@@ -8,8 +8,8 @@ transition, and tokens of a document that repeat or resemble each other share a
 however far apart they are, which loopy message passing propagates. A token without digit and
 "@" can only be outside, so it sends no message on; the chain falls into runs of the others.
 
-The field learns from base spans themselves, on at most SAMPLE documents chosen by a hash of
-the text; digits that a failed match covers teach nothing. Spans of the field are added where
+The field learns from base spans themselves, on at most SAMPLE distinct texts, or stretches of
+those longer than STRETCH characters, chosen by a hash of the text; digits that a failed match covers teach nothing. Spans of the field are added where
 they have the form of their kind, pass its test and overlap no base span.
 """
 
@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
 from tidemark.llm.textscan import column_bytes
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -33,7 +32,9 @@ LABELS = ["outside", "email", "ip", "card", "phone", "card+", "phone+"]
 KIND_OF = [-1, 0, 1, 2, 3, 2, 3]
 SAMPLE = 3_000
 STEPS, RATE, DECAY = 250, 0.1, 1e-3
-ROUNDS = 8  # of message passing
+STRETCH = 20_000  # characters of a training text; longer ones give several
+SETTLED = 1e-6  # messages that change by no more are done
+UNDAMPED, LOOPS = 50, 1_000  # rounds before messages are averaged with the last ones; rounds beyond one for each edge
 
 # The base patterns.
 EMAIL_END = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -190,14 +191,21 @@ class SkipChain:
             ahead, back = np.zeros((len(edges), k)), np.zeros((len(edges), k))
             one, two = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
             table = np.array([e[2] for e in edges])
-            for _ in range(ROUNDS):
+            # without loops the messages are exact after as many rounds as the longest path has edges
+            for round_ in range(len(edges) + LOOPS):
                 beliefs = local.copy()
                 np.add.at(beliefs, two, ahead)
                 np.add.at(beliefs, one, back)
                 new_ahead = _log_sum((beliefs[one] - back)[:, :, None] + table, 1)
                 new_back = _log_sum((beliefs[two] - ahead)[:, None, :] + table, 2)
-                ahead = new_ahead - _log_sum(new_ahead, 1)[:, None]
-                back = new_back - _log_sum(new_back, 1)[:, None]
+                new_ahead -= _log_sum(new_ahead, 1)[:, None]
+                new_back -= _log_sum(new_back, 1)[:, None]
+                if round_ >= max(UNDAMPED, len(edges)):
+                    new_ahead, new_back = (new_ahead + ahead) / 2, (new_back + back) / 2
+                change = max(np.abs(new_ahead - ahead).max(), np.abs(new_back - back).max())
+                ahead, back = new_ahead, new_back
+                if change <= SETTLED:
+                    break
             beliefs = local.copy()
             np.add.at(beliefs, two, ahead)
             np.add.at(beliefs, one, back)
@@ -278,23 +286,48 @@ def _candidates(column: pa.Array) -> np.ndarray:
     return total[offsets[1:]] > total[offsets[:-1]]
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash and text of those texts that have candidate tokens."""
-    for batch in batches:
-        hashes, texts = [], []
-        for i in np.flatnonzero(_candidates(batch.column(0))):
-            text = batch.column(0)[i].as_py()
-            if len(text) <= 20_000:
-                hashes.append(int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True))
-                texts.append(text)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(texts, pa.string())], ["hash", "text"])
+def _stretches(text: str) -> Iterator[str]:
+    """The text in parts of at most STRETCH characters, cut at blanks and line ends where there are any."""
+    a = 0
+    while len(text) - a > STRETCH:
+        b = max(text.rfind(" ", a + 1, a + STRETCH), text.rfind("\n", a + 1, a + STRETCH))
+        b = b if b > a else a + STRETCH
+        yield text[a:b]
+        a = b
+    yield text[a:]
+
+
+def _hashed(batch: pa.RecordBatch) -> Iterator[tuple[int, str]]:
+    """Hash and text of those stretches that have candidate tokens."""
+    for i in np.flatnonzero(_candidates(batch.column(0))):
+        for part in _stretches(batch.column(0)[i].as_py()):
+            if re.search("[0-9@]", part):
+                yield int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "big", signed=True), part
 
 
 def train(documents: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> SkipChain:
-    """Fit on at most sample texts with a digit or "@", of at most 20,000 characters each; those with the smallest hashes."""
-    found = documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_sampled, "hash long, text string")
-    smallest = written(found.orderBy("hash", "text").limit(sample), "sample")
-    return fit([r["text"] for r in smallest.orderBy("hash", "text").collect()])
+    """Fit on at most sample distinct stretches with a digit or "@"; those with the smallest hashes."""
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(0, np.int64)
+        for batch in batches:
+            found = np.unique(np.concatenate([found, np.array([h for h, _ in _hashed(batch)], np.int64)]))[:sample]
+        yield pa.RecordBatch.from_arrays([pa.array(found)], ["hash"])
+
+    texts = documents.select(F.col(text_col).cast("string").alias("text"))
+    last = texts.mapInArrow(smallest, "hash long").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    if last is None:
+        return fit([])
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            found = {h: part for h, part in _hashed(batch) if h <= last and h not in seen}
+            seen |= found.keys()
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["hash", "text"])
+
+    rows = texts.mapInArrow(chosen, "hash long, text string").groupBy("hash").agg(F.min("text").alias("text")).collect()
+    return fit([r["text"] for r in sorted(rows, key=lambda r: r["hash"])])
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
