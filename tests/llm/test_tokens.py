@@ -27,9 +27,9 @@ def library() -> Tokenizer:
 
 
 @pytest.fixture(scope="module")
-def encoder() -> bpe.WordEncoder:
+def encoder() -> bpe.TextEncoder:
     with open(PATH, encoding="utf-8") as file:
-        return bpe.WordEncoder(file.read())
+        return bpe.TextEncoder(file.read())
 
 
 def hexed(text: str) -> str:
@@ -48,12 +48,43 @@ def test_bpe_digests_match_the_library(spark, sf_dir, texts, library):
 ASSIGNED = st.characters(exclude_categories=["Cn", "Cs"])
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.text(ASSIGNED, max_size=60) | st.text(st.sampled_from("ab'S t0_.\n<|endoftx>éß日Σς\u0301\x1c\x85\U0003d000"), max_size=40))
+@settings(max_examples=250, deadline=None)
+@given(st.text(ASSIGNED, max_size=60) | st.text(st.sampled_from("ab'S t0_.\n<|endoftx>éß日Σς\u0301\x1c\x85\U0003d000"), max_size=40) | st.text(st.sampled_from("'sterlvmd "), max_size=40))
 def test_bpe_of_any_text(library, encoder, text):
     assert encoder.ids(text) == library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab'Sé0 .") , max_size=30) | st.sampled_from(["", " ", "<|endoftext|>", "x<|startoftext|>'s", "'", "'ll"]), max_size=12))
+def test_bpe_of_many_texts_at_once(library, encoder, texts):
+    ids, offsets = encoder.encode(texts)
+    for k, text in enumerate(texts):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_of_long_words_and_long_texts(library, encoder, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlu", k=n)) for n in (1, 127, 128, 129, 300, 5_000)]
+    for text in (words[5], " ".join(words), "日本語テキスト" * 300, "a1" * 400, "!?" * 700):
+        assert encoder.ids(text) == library.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "PART_CHARS", 64)
+    for text in (" ".join(words), " " * 200 + "x" * 100 + "\u3000" + "y z " * 90, ("It's 12 <|endoftext|> o'clock\u2003\u0301 " * 30)):
+        assert len(list(bpe._pieces(text))) > 1 and "".join(bpe._pieces(text)) == text
+        assert encoder.ids(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_refuses_files_of_another_kind():
+    import json
+
+    with open(PATH, encoding="utf-8") as file:
+        spec = json.load(file)
+    for change in ({"normalizer": {"type": "NFKC"}}, {"decoder": {"type": "ByteLevel"}}, {"pre_tokenizer": None}, {"model": spec["model"] | {"ignore_merges": True}}):
+        with pytest.raises(ValueError):
+            bpe.TextEncoder(json.dumps(spec | change))
+
+
 def test_bpe_special_and_round_trip(spark, odd, empty, library):
     rows = bpe.encode(odd, PATH).collect()
     assert len(rows) == len(odd_rows()) and set(odd.columns) | {"ids", "decoded"} == set(bpe.encode(odd, PATH).columns)
@@ -87,7 +118,17 @@ def test_automaton_follows_ranks():
     for n in range(1, 8):
         for letters in itertools.product("abc", repeat=n):
             word = "".join(letters)
-            assert [found.labels[i] for i in found.encode(word)] == plain(word)
+            assert [found.labels[i] for i in found.encode(word.encode())] == plain(word)
+
+
+def test_automaton_leaves_out_entries_that_no_merge_reaches():
+    vocabulary = {t: i for i, t in enumerate(["a", "b", "c", "a</w>", "b</w>", "c</w>", "ab", "bc</w>", "abc</w>"])}
+    found = bpe.TokenizationAutomaton(vocabulary, [("b", "c</w>"), ("a", "b"), ("ab", "c</w>")], "</w>")
+    assert [found.labels[i] for i in found.encode(b"abc")] == ["a", "bc</w>"]
+    with pytest.raises(ValueError):  # a symbol that is no token
+        bpe.TokenizationAutomaton({"a": 0, "b": 1, "a</w>": 2}, [], "</w>")
+    with pytest.raises(ValueError):  # one token, two merges
+        bpe.TokenizationAutomaton(vocabulary, [("b", "c</w>"), ("a", "b"), ("ab", "c</w>"), ("a", "bc</w>")], "</w>")
 
 
 def test_token_counts_match_the_library(spark, sf_dir, texts):

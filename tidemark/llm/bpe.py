@@ -5,30 +5,35 @@ The automaton reads tokens. It starts as one state that loops on every symbol. E
 an arc labelled uv spans both, and u now leads to a copy of that state without the arc v.
 What remains are the paths that byte-pair encoding itself produces, one for each word.
 
-Since all arcs with one label lead to one state, the automaton is held as the state that
-each token leads to, and a state as the one it was copied from less one arc. Transitions are
-looked up in a table that fills as they are asked for. A word is read left to right: at each
-position exactly one token ends such that the automaton can take it, and following these
-tokens back from the end of the word gives its arc labels. Decoding emits the labels of ids.
+Since all arcs with one label lead to one state, the automaton is held in integer tables: the
+state that each token leads to, and of each state the one it was copied from and the arc it
+lost. Arcs that were asked for stay in a table of fixed size. Symbols are bytes and an end
+mark; a second table, the trie of all tokens, lists the tokens that begin at each symbol.
+
+Texts are encoded many at a time, all distinct words of a part together: at each place of a
+word exactly one token ends such that the automaton can take it, and following these tokens
+back from the end of the word gives its arc labels. Decoding emits the labels of ids.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.textscan import WordTable, chunks, column_bytes
+from tidemark.llm.textscan import chunks, column_bytes
 
-CACHE_WORDS = 240_000  # stretches between white space, some 400 bytes each; and half as many words
-PART_BYTES = 1 << 20  # of text that are encoded at a time
-PRIVATE = "\ue000"  # neither letter, number nor white space
-END = "\n"  # stands for the end-of-word mark; no symbol is a control character
+PART_CHARS = 1 << 21  # of text that are encoded at a time
+END = 256  # the symbol that closes a word
+ARC_SLOTS = 1 << 20  # remembered arcs, eight bytes each
+LOCKSTEP = 128  # places of a word up to which all words go on together; the rest of a longer word goes alone
 
 # The byte alphabet of byte-level vocabularies. Printable bytes stand for
 # themselves, the others for the code points from 256 on, in order.
@@ -36,157 +41,365 @@ _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_SYMBOLS = {b: chr(b) for b in _PRINTABLE}
 BYTE_SYMBOLS |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in BYTE_SYMBOLS)}
 
+# Code points with the property White_Space.
+WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+WHITE_SIGN = re.compile("[" + "".join(map(chr, WHITE)) + "]")
+
+# What a tokenizer file has to ask for, and the endings that are words of their own.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTING = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
+
+SPACE, LETTER, NUMBER, SIGN, SPECIAL = range(5)
+HOLD = 0xD800  # surrogates, which no text holds, stand for special tokens
+
 
 class TokenizationAutomaton:
-    """Deterministic automaton over tokens, compiled from ranked merges."""
+    """Deterministic automaton over tokens, compiled from ranked merges.
 
-    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], mark: str):
-        import ahocorasick
+    The vocabulary must hold every symbol it uses alone, with and without the end mark, and no
+    token may be made by two merges; ValueError otherwise.
+    """
 
+    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], mark: str):
+        byte_of = {s: b for b, s in BYTE_SYMBOLS.items()}
         self.labels = {i: t for t, i in vocabulary.items()}
-        self.ending = {t.removesuffix(mark): i for t, i in vocabulary.items() if t.endswith(mark)}
-        self.pieces = ahocorasick.Automaton()  # lists the tokens that end at each symbol
-        for t, i in vocabulary.items():
-            piece = t.removesuffix(mark) + END if t.endswith(mark) else t
-            self.pieces.add_word(piece, (len(piece), i))
-        self.pieces.make_automaton()
-        self.left: dict[int, int] = {}
-        self.made: dict[int, int] = {}
+        self.size = max(vocabulary.values()) + 1
+        pieces = {i: [byte_of[c] for c in t.removesuffix(mark)] + [END] * t.endswith(mark) for t, i in vocabulary.items()}
+        alone = {p[0] for p in pieces.values() if len(p) == 1}
+        closed = {p[0] for p in pieces.values() if len(p) == 2 and p[1] == END}
+        used = {s for p in pieces.values() for s in p} - {END}
+        if not used <= alone or not used <= closed:
+            raise ValueError("a symbol of the vocabulary is no token of its own")
         # State 0 is the start: every arc. State s > 0 was made by merge s - 1.
-        self.parent, self.lost = [-1], [-1]
-        leads = dict.fromkeys(vocabulary.values(), 0)
-        for k, (a, b) in enumerate(merges):
+        self.leads = np.zeros(self.size, np.int32)
+        self.left, self.made = np.zeros(self.size, np.int32), np.zeros(self.size, np.int32)
+        self.parent, self.lost = np.full(len(merges) + 1, -1, np.int32), np.full(len(merges) + 1, -1, np.int32)
+        for k, (a, b) in enumerate(merges, 1):
             u, v, uv = vocabulary[a], vocabulary[b], vocabulary[a + b]
-            leads[uv] = leads[v]
-            self.left[uv], self.made[uv] = u, k + 1
-            self.parent.append(leads[u])
-            self.lost.append(v)
-            leads[u] = k + 1
-        self.leads = leads
-        self.table: dict[int, bool] = {}
-
-    def has_arc(self, state: int, token: int) -> bool:
-        """Whether token leads out of state."""
-        s, t, found = state, token, True
-        while s:
+            if self.made[uv]:
+                raise ValueError(f"two merges make {a + b!r}")
+            self.leads[uv] = self.leads[v]
+            self.left[uv], self.made[uv] = u, k
+            self.parent[k], self.lost[k] = self.leads[u], v
+            self.leads[u] = k
+        # a merge that finds no arc to span, or a part that no path holds, leaves its token on no path
+        applies = self._walk(self.parent[1:], self.lost[1:])
+        for (a, b), works in zip(merges, applies.tolist(), strict=True):
+            if not (works and vocabulary[a] in pieces and vocabulary[b] in pieces):
+                del pieces[vocabulary[a + b]]
+        self._build_trie({i: p for i, p in pieces.items() if self.made[i] or len(p) == 1 or len(p) == 2 and p[1] == END})
+        self.arcs = np.full(ARC_SLOTS, -1, np.int64)
+
+    def _build_trie(self, pieces: dict[int, list[int]]) -> None:
+        """step[node, symbol] is the next node, 0 for none; nodes that go on come first. token[node] ends there, -1 for none."""
+        trie: list[dict[int, int]] = [{}]
+        ends = {}
+        for i, piece in pieces.items():
+            node = 0
+            for symbol in piece:
+                if symbol not in trie[node]:
+                    trie[node][symbol] = len(trie)
+                    trie.append({})
+                node = trie[node][symbol]
+            ends[node] = i
+        order = sorted(range(len(trie)), key=lambda n: not trie[n])
+        place = np.empty(len(trie), np.int32)
+        place[order] = np.arange(len(trie))
+        self.inner = sum(1 for t in trie if t)
+        self.step = np.zeros((self.inner, END + 1), np.int32)
+        for node, children in enumerate(trie):
+            for symbol, child in children.items():
+                self.step[place[node], symbol] = place[child]
+        self.token = np.full(len(trie), -1, np.int32)
+        for node, i in ends.items():
+            self.token[place[node]] = i
+
+    def _walk(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Whether each token leads out of its state: no state that it was copied from, nor itself, lost that arc."""
+        found = np.ones(len(states), bool)
+        at = np.flatnonzero(states)
+        s, t = states[at], tokens[at]
+        while len(at):
             # an arc that is younger than the state went wherever its left part already went
-            while self.made.get(t, 0) >= s:
-                t = self.left[t]
-            if t == self.lost[s]:
-                found = False
-                break
+            younger = self.made[t] >= s
+            while younger.any():
+                t = np.where(younger, self.left[t], t)
+                younger = self.made[t] >= s
+            lost = t == self.lost[s]
+            found[at[lost]] = False
             s = self.parent[s]
-        self.table[(state << 32) | token] = found
+            on = ~lost & (s > 0)
+            at, s, t = at[on], s[on], t[on]
+        return found
+
+    def has_arcs(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Whether each token leads on from the state that the token before it leads to."""
+        pair = before.astype(np.int64) * self.size + tokens
+        slot = (pair * 0x9E3779B1 >> 11) & (ARC_SLOTS - 1)
+        held = self.arcs[slot]
+        found = (held & 1).astype(bool)
+        missing = np.flatnonzero(held >> 1 != pair)
+        if len(missing):
+            new, back = np.unique(pair[missing], return_inverse=True)
+            known = self._walk(self.leads[new // self.size], (new % self.size).astype(np.int32))
+            self.arcs[(new * 0x9E3779B1 >> 11) & (ARC_SLOTS - 1)] = new << 1 | known
+            found[missing] = known[back]
         return found
 
-    def encode(self, word: str) -> list[int]:
-        """Tokens of one word, given as its symbols; the last of them carries the word's end mark."""
-        whole = self.ending.get(word)
-        if whole is not None:
-            return [whole]
-        n = len(word) + 1
-        leads, table, has_arc = self.leads, self.table, self.has_arc
-        last, begins, states = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        done = 0
-        for at, (length, token) in self.pieces.iter(word + END):
-            if at < done:  # a token that ends here is settled
-                continue
-            begin = at + 1 - length
-            if begin:
-                state = states[begin]
-                known = table.get((state << 32) | token)
-                if not (has_arc(state, token) if known is None else known):
-                    continue
-            done = at + 1
-            last[done], begins[done], states[done] = token, begin, leads[token]
-        out = []
-        while n:
-            out.append(last[n])
-            n = begins[n]
-        return out[::-1]
+    def encode_words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of words given as bytes and n + 1 offsets; and the n + 1 offsets of the words' tokens. No word is empty."""
+        n = len(offsets) - 1
+        ends = offsets[1:] + np.arange(1, n + 1)
+        starts = ends - np.diff(offsets) - 1
+        symbols = np.full(len(data) + n, END, np.int16)
+        plain = np.ones(len(symbols), bool)
+        plain[ends - 1] = False
+        symbols[plain] = data
+        first = np.repeat(starts, ends - starts)
+
+        begin, node, length = np.flatnonzero(plain), None, 1
+        node = self.step[0, symbols[begin]]
+        begins, stops, tokens = [], [], []
+        while len(begin):
+            token = self.token[node]
+            hit = np.flatnonzero(token >= 0)
+            begins.append(begin[hit])
+            stops.append(begin[hit] + length)
+            tokens.append(token[hit])
+            on = np.flatnonzero(node < self.inner)
+            begin = begin[on]
+            node = self.step[node[on], symbols[begin + length]]
+            on = np.flatnonzero(node)
+            begin, node = begin[on], node[on]
+            length += 1
+        begin, stop, token = np.concatenate(begins), np.concatenate(stops), np.concatenate(tokens)
+        place = np.minimum(stop - first[begin], LOCKSTEP + 1)
+        order = np.argsort(place.astype(np.uint16), kind="stable")
+        begin, stop, token, place = begin[order], stop[order], token[order], place[order]
+        at_start = begin == first[begin]
+
+        # up to each place, the token that ends there and its length
+        last, size = np.zeros(len(symbols) + 1, np.int32), np.zeros(len(symbols) + 1, np.int32)
+        cuts = np.searchsorted(place, np.arange(1, LOCKSTEP + 2))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a == b:
+                break
+            on = at_start[a:b] | self.has_arcs(last[begin[a:b]], token[a:b])
+            to = stop[a:b][on]
+            last[to] = token[a:b][on]
+            size[to] = to - begin[a:b][on]
+        self._go_on(begin[cuts[-1] :], stop[cuts[-1] :], token[cuts[-1] :], last, size)
+        return self._labels(starts, ends, last, size)
+
+    def _go_on(self, begin, stop, token, last, size) -> None:
+        """The places of long words beyond LOCKSTEP, one after the other."""
+        order = np.argsort(stop, kind="stable")
+        known: dict[int, bool] = {}
+        for b, e, t in zip(begin[order].tolist(), stop[order].tolist(), token[order].tolist(), strict=True):
+            before = int(last[b])
+            pair = before * self.size + t
+            if pair not in known:
+                if len(known) >= ARC_SLOTS:
+                    known.clear()
+                known[pair] = bool(self._walk(self.leads[[before]], np.array([t], np.int32))[0])
+            if known[pair]:
+                last[e], size[e] = t, e - b
+
+    @staticmethod
+    def _labels(starts, ends, last, size) -> tuple[np.ndarray, np.ndarray]:
+        """The path to each word's end, followed back."""
+        n = len(starts)
+        words, found = [], []
+        at, word = ends.copy(), np.arange(n)
+        for _ in range(LOCKSTEP):
+            if not len(at):
+                break
+            words.append(word)
+            found.append(last[at])
+            at = at - size[at]
+            on = at > starts[word]
+            at, word = at[on], word[on]
+        for w, e in zip(word.tolist(), at.tolist(), strict=True):
+            path = []
+            while e > starts[w]:
+                path.append(int(last[e]))
+                e -= int(size[e])
+            words.append(np.full(len(path), w))
+            found.append(np.array(path, np.int32))
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        word, token = np.concatenate(words)[::-1], np.concatenate(found)[::-1]  # the last label came first
+        return token[np.argsort(word, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=n))])
+
+    def encode(self, word: bytes) -> list[int]:
+        """Tokens of one word."""
+        return self.encode_words(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0].tolist() if word else []
 
     def decode(self, ids: list[int]) -> str:
         """Arc labels joined by spaces, as the tokenizers library decodes where no decoder is set."""
-        return " ".join(self.labels[i] for i in ids)
+        return " ".join([self.labels[i] for i in ids])
 
 
-class WordEncoder:
-    """Text to tokens: special tokens, normalisation, word cutting, then the automaton.
+def _kinds() -> np.ndarray:
+    """The kind of each code point. Those that Unicode 15 did not assign are signs, whatever they became later."""
+    kinds = np.full(0x110000, SIGN, np.uint8)
+    for code in range(0x110000):
+        category = unicodedata.category(chr(code))
+        if category[0] in "LN":
+            kinds[code] = LETTER if category[0] == "L" else NUMBER
+    kinds[WHITE] = SPACE
+    kinds[HOLD : HOLD + 0x800] = SPECIAL
+    return kinds
 
-    Reads a tokenizer file with NFC, white space and lower-case normalisation, a splitting
-    pattern, byte-level symbols and an end-of-word mark. Letters whose lower case Unicode 16 or
-    a later version added keep their case.
-    """
 
-    def __init__(self, spec: str, cache_words: int = CACHE_WORDS):
-        import regex
+class TextEncoder:
+    """Texts to tokens: special tokens, normalisation, word cutting, then the automaton.
+
+    Reads a tokenizer file with NFC, white space and lower-case normalisation, the splitting
+    pattern above, byte-level symbols, an end-of-word mark and no decoder; any other raises
+    ValueError. Letters whose lower case Unicode 16 or a later version added keep their case.
+    """
 
+    def __init__(self, spec: str):
         file = json.loads(spec)
-        model = file["model"]
-        self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        model, plain = file["model"], {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+        odd = [k for k, v in plain.items() if (model.get(k) or v) != v]
+        odd += [k for k, v in (("normalizer", NORMALIZERS), ("pre_tokenizer", SPLITTING)) if list((file[k] or {}).values())[1:] != [v]]
+        odd += [k for k in ("decoder",) if file.get(k)] + [t["content"] for t in file["added_tokens"] if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]]
+        if model["type"] != "BPE" or not model.get("end_of_word_suffix") or odd:
+            raise ValueError(f"a tokenizer file of another kind: {odd}")
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = TokenizationAutomaton(model["vocab"], merges, model["end_of_word_suffix"])
-        self.automaton.labels |= {i: t for t, i in self.special.items()}
-        pattern = next(p["pattern"]["Regex"] for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
-        self.between = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.odd_space = regex.compile("[\x1c-\x1f]")
-        self.white = regex.compile(r"\p{White_Space}+")
-        self.letters = regex.compile(r"\p{L}+")
-        self.found, self.known = WordTable(cache_words), WordTable(cache_words // 2)
-
-    def word_ids(self, word: str) -> list[int]:
-        return self.automaton.encode(word if word.isascii() and word.isprintable() else "".join([BYTE_SYMBOLS[b] for b in word.encode()]))
-
-    def chunk_ids(self, chunk: str) -> list[int]:
-        """Ids of a stretch of text without white space inside."""
-        ids: list[int] = []
-        for part in self.between.split(chunk) if "<|" in chunk else (chunk,):
-            if part in self.special:
-                ids.append(self.special[part])
-                continue
-            # capital sigma is lowered as it stands, not by its place in the word
-            part = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in self._cut(part):
-                ids += self.known.young.get(word) or self.known.put(word, self.word_ids)
-        return ids
-
-    def _cut(self, part: str) -> list[str]:
-        """The words of a part. Code points that Unicode 15 did not assign are signs, whatever they became later."""
-        if part.isascii():
-            if part.isalpha():
-                return [part]
-            if part[-1] in ",.;:!?" and part[:-1].isalpha():
-                return [part[:-1], part[-1]]
-            return self.words.findall(part)
-        if not any(unicodedata.category(c) == "Cn" for c in part):
-            return [part] if self.letters.fullmatch(part) else self.words.findall(part)
-        masked = "".join([PRIVATE if unicodedata.category(c) == "Cn" else c for c in part])
-        return [part[slice(*m.span())] for m in self.words.finditer(masked)]
-
-    def _chunk(self, chunk: str) -> tuple[str, str, int]:
-        ids = self.chunk_ids(chunk)
-        return " ".join(map(str, ids)), self.automaton.decode(ids), len(ids)
-
-    def text(self, text: str) -> tuple[str, str, int]:
-        """Ids as text, decoded text and number of tokens."""
-        chunks = self.white.split(text) if self.odd_space.search(text) else text.split()
-        table, make = self.found, self._chunk
-        found = [table.young.get(c) or table.put(c, make) for c in chunks if c]
-        return " ".join([f[0] for f in found if f[2]]), " ".join([f[1] for f in found if f[2]]), sum([f[2] for f in found])
+        special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        self.automaton.labels |= {i: t for t, i in special.items()}
+        self.holds = {t: chr(HOLD + k) for k, t in enumerate(special)}
+        self.special_ids = np.array(list(special.values()), np.int32)
+        self.between = re.compile("(" + "|".join(map(re.escape, special)) + ")")
+        self.kinds = _kinds()
+        names = [self.automaton.labels.get(i, "") for i in range(max(self.automaton.labels) + 1)]
+        self.names, self.numbers = pa.array(names), pa.array(map(str, range(len(names))))
+
+    def _normal(self, text: str) -> str:
+        """Normalised text in which one surrogate stands for each special token."""
+        if any(t in text for t in self.holds):
+            return "".join([self.holds.get(p) or self._plain(p) for p in self.between.split(text)])
+        return self._plain(text)
+
+    @staticmethod
+    def _plain(text: str) -> str:
+        # capital sigma is lowered as it stands, not by its place in the word
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def _word_starts(self, codes: np.ndarray, kinds: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Whether a word starts at each code point; firsts are the places where texts start."""
+        change = np.ones(len(codes), bool)
+        np.not_equal(kinds[1:], kinds[:-1], out=change[1:])
+        change[firsts] = True
+        starts = (change | (kinds == NUMBER) | (kinds == SPECIAL)) & (kinds != SPACE)
+        marks = np.flatnonzero((codes == ord("'")) & starts)
+        # an apostrophe and one of the endings are one word; what follows them is the next
+        end_of_text = np.append(firsts, len(codes))[np.searchsorted(firsts, marks, side="right")] if len(marks) else marks
+        for ending in ENDINGS:
+            to = marks + 1 + len(ending)
+            on = to <= end_of_text
+            for k, letter in enumerate(ending):
+                on[on] = codes[marks[on] + 1 + k] == ord(letter)
+            starts[marks[on] + 1] = False
+            after = to[on][to[on] < end_of_text[on]]
+            starts[after] = kinds[after] != SPACE
+        return starts
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and the offsets of each text's ids."""
+        texts = [self._normal(t) for t in texts]
+        lengths = np.array([len(t) for t in texts], np.int64)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = self.kinds[codes]
+        edges = np.concatenate([[0], np.cumsum(lengths)])
+        starts = self._word_starts(codes, kinds, edges[:-1][lengths > 0])
+        kept = kinds != SPACE
+        codes, starts = codes[kept], starts[kept]
+        if not len(codes):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        data = codes.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        at = np.flatnonzero(starts)
+        firsts = np.searchsorted(at, np.concatenate([[0], np.cumsum(kept)])[edges])  # words before each text
+        if len(data) > len(codes):
+            at = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])[at]
+        words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)])
+        words = words.dictionary_encode()
+        ids, offsets = self._distinct(words.dictionary)
+        word = words.indices.to_numpy()
+        counts = np.diff(offsets)[word]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return ids[np.repeat(offsets[word] - ends[:-1], counts) + np.arange(ends[-1])], ends[firsts]
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words and their offsets."""
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
+        data = np.frombuffer(words.buffers()[2], np.uint8)
+        ids, ends = self.automaton.encode_words(data[: offsets[-1]], offsets)
+        lead = data[offsets[:-1]]
+        held = np.flatnonzero(lead == 0xED)
+        held = held[data[offsets[held] + 1] >= 0xA0]  # surrogates
+        if len(held):
+            counts = np.diff(ends)
+            keep = np.ones(len(ids), bool)
+            for w in held.tolist():
+                keep[ends[w] + 1 : ends[w + 1]] = False
+                ids[ends[w]] = self.special_ids[data[offsets[w] + 2] - 0x80]
+            counts[held] = 1
+            ids, ends = ids[keep], np.concatenate([[0], np.cumsum(counts)])
+        return ids, ends
+
+    def parts(self, texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Rows, ids and offsets of the ids of parts of about PART_CHARS; a longer text is cut at white space into several."""
+        rows, part, held = [], [], 0
+        for row, text in enumerate(texts):
+            for piece in _pieces(text or ""):
+                if part and held + len(piece) > PART_CHARS:
+                    yield rows, *self.encode(part)
+                    rows, part, held = [], [], 0
+                rows.append(row)
+                part.append(piece)
+                held += len(piece)
+        if part:
+            yield rows, *self.encode(part)
+
+    def strings(self, ids: np.ndarray, offsets: np.ndarray, of: pa.Array) -> list[str]:
+        """For each text the entries of its ids in of, joined by spaces."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), of.take(pa.array(ids))), " ").to_pylist()
 
     def ids(self, text: str) -> list[int]:
-        found = self.text(text)[0]
-        return [int(i) for i in found.split(" ")] if found else []
+        return np.concatenate([found for _, found, _ in self.parts([text])]).tolist()
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A text cut at the last white space before every PART_CHARS, or the first after."""
+    while len(text) > PART_CHARS:
+        cut = next((i for i in range(PART_CHARS, PART_CHARS // 2, -1) if ord(text[i]) in _WHITE), None)
+        if cut is None:
+            after = WHITE_SIGN.search(text, PART_CHARS)
+            if after is None:
+                break
+            cut = after.start()
+        yield text[:cut]
+        text = text[cut:]
+    yield text
 
 
-_encoders: dict[str, WordEncoder] = {}
+_WHITE = frozenset(WHITE)
+_encoders: dict[str, TextEncoder] = {}
 
 
-def _encoder(spec: str, key: str) -> WordEncoder:
+def _encoder(spec: str, key: str) -> TextEncoder:
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = WordEncoder(spec)
+        _encoders[key] = TextEncoder(spec)
     return _encoders[key]
 
 
@@ -199,8 +412,9 @@ def _broadcast(spark: SparkSession, path: str):
 def encode(documents: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     """Every row with two more columns: ids (array<int>) and decoded (string).
 
-    Null and empty texts have no ids and decode to the empty string. Columns of documents
-    named ids or decoded are replaced; all others pass through, repeated rows repeat.
+    Null and empty texts have no ids and decode to the empty string; very long texts are
+    encoded whole, in pieces. Columns of documents named ids or decoded are replaced; all
+    others pass through, repeated rows repeat, and an empty table gives an empty table.
     """
     spec, key = _broadcast(documents.sparkSession, tokenizer_path)
     rest = documents.drop("ids", "decoded")
@@ -209,21 +423,27 @@ def encode(documents: DataFrame, tokenizer_path: str, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(spec.value, key)
         for whole in batches:
-            for a, b in chunks(column_bytes(whole.column(place))[1], PART_BYTES):
+            for a, b in chunks(column_bytes(whole.column(place))[1], PART_CHARS):
                 batch = whole.slice(a, b - a)
-                found = [encoder.text(t) if t else ("", "", 0) for t in batch.column(place).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([f[2] for f in found])])
-                flat = np.fromstring(" ".join([f[0] for f in found if f[2]]), np.int32, sep=" ")
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                decoded = pa.array([f[1] for f in found], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids, decoded], [*batch.schema.names, "ids", "decoded"])
+                counts, flat, decoded = np.zeros(b - a, np.int64), [], [""] * (b - a)
+                for rows, ids, offsets in encoder.parts(batch.column(place).to_pylist()):
+                    np.add.at(counts, rows, np.diff(offsets))
+                    flat.append(ids)
+                    for row, names in zip(rows, encoder.strings(ids, offsets, encoder.names), strict=True):
+                        decoded[row] = f"{decoded[row]} {names}" if decoded[row] and names else decoded[row] or names
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(decoded, pa.string())], [*batch.schema.names, "ids", "decoded"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in rest.dtypes)
     return rest.mapInArrow(run, f"{fields}, ids array<int>, decoded string")
 
 
 def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
-    """Every row with a column decoded: the labels of its ids, joined by spaces. Null ids decode to null, none to ''."""
+    """Every row with a column decoded: the labels of its ids, joined by spaces.
+
+    Null ids decode to null, none to ''. A column named decoded is replaced; repeated rows repeat.
+    """
     spec, key = _broadcast(rows.sparkSession, tokenizer_path)
     rest = rows.drop("decoded")
     place = rest.columns.index(ids_col)
@@ -241,20 +461,26 @@ def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFr
 def digests(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, n_tokens, and SHA-256 of the ids as text and of the decoded text, both made in one pass.
 
-    Null counts as empty: 0 tokens and the digests of the empty string.
+    Null counts as empty: 0 tokens and the digests of the empty string. Very long texts are
+    digested piece by piece. Repeated rows repeat, other columns are dropped, and an empty
+    table gives an empty table.
     """
     spec, key = _broadcast(documents.sparkSession, tokenizer_path)
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(spec.value, key)
-        for batch in batches:
-            counts, ids, texts = [], [], []
-            for value in batch.column(1):
-                joined, decoded, n = encoder.text(value.as_py() or "")
-                counts.append(n)
-                ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                texts.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        for whole in batches:
+            for a, b in chunks(column_bytes(whole.column(1))[1], PART_CHARS):
+                counts = [0] * (b - a)
+                sums = [(hashlib.sha256(), hashlib.sha256()) for _ in counts]
+                for rows, ids, offsets in encoder.parts(whole.column(1).slice(a, b - a).to_pylist()):
+                    found = zip(rows, np.diff(offsets).tolist(), encoder.strings(ids, offsets, encoder.numbers), encoder.strings(ids, offsets, encoder.names), strict=True)
+                    for row, n, *joined in found:
+                        for digest, text in zip(sums[row], joined, strict=True):
+                            digest.update((" " + text if counts[row] and n else text).encode())
+                        counts[row] += n
+                columns = [whole.column(0).slice(a, b - a), pa.array(counts, pa.int64()), *(pa.array([s[k].hexdigest() for s in sums]) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
