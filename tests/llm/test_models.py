@@ -175,30 +175,66 @@ def test_field_adds_spans_that_patterns_miss(documents, spark):
     assert plain(text) == [] and row["n_card"] == 0 and row["spans"] == "card:8:24,card:25:41"
 
 
-def test_skip_edges_spread_labels():
-    """A token that looks like nothing takes the label of its like elsewhere in the text."""
-    tokens = pii.Tokens("id 41111111 then many words and id 41111111 again")
-    assert tokens.skips == [(0, 1)]
-    unary = np.zeros((3 * len(pii.FEATURES), len(pii.LABELS)))
-    field = pii.SkipChain(unary, np.zeros((len(pii.LABELS), len(pii.LABELS))), 3.0)
-    tokens.features[0, 0], field.unary[0, 3] = 1.0, 4.0
-    tokens.features[1, 0] = 0.0
-    assert field.marginals(tokens)[1, [3, 5]].sum() > 0.8
-
-
-def test_skip_edges_reach_however_far():
-    """Messages along a token repeated 30 times are those of exact sums."""
-    n, k = 30, len(pii.LABELS)
+def field_of(skip: float, transition=None) -> pii.SkipChain:
+    k = len(pii.LABELS)
+    return pii.SkipChain(np.zeros((3 * len(pii.FEATURES), k)), np.zeros((k, k)) if transition is None else transition, skip)
+
+
+def enumerated(field: pii.SkipChain, local, linked, hub, hubs) -> np.ndarray:
+    """Marginals of all labels by summing over every assignment of labels and hub states."""
+    n, k = local.shape
+    out = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        score = sum(local[i, y] for i, y in enumerate(labels)) + sum(field.transition[labels[i], labels[i + 1]] for i in range(n - 1) if linked[i])
+        p = np.exp(score)
+        for h in range(hubs):
+            p *= sum(np.exp(field.skip * sum(pii.KIND_OF[labels[i]] == state for i in range(n) if hub[i] == h)) for state in range(-1, len(pii.KINDS)))
+        for i, y in enumerate(labels):
+            out[i, y] += p
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_messages_are_exact_without_loops():
+    rng = np.random.default_rng(9)
+    k = len(pii.LABELS)
+    for linked, hub, hubs in (([1, 1, 1, 0], [-1] * 4, 0), ([0, 0, 0, 0], [0, 0, 0, 0], 1), ([1, 0, 0, 0], [-1, 0, 0, 0], 1), ([0, 1, 0, 0], [0, 0, 1, 1], 2)):
+        field = field_of(1.3, rng.standard_normal((k, k)))
+        local = rng.standard_normal((4, k)) * 2
+        linked, hub = np.array(linked, bool), np.array(hub)
+        assert np.allclose(field.beliefs(local, linked, hub, hubs), enumerated(field, local, linked, hub, hubs), atol=1e-5)
+
+
+def test_messages_with_loops_come_near():
+    rng = np.random.default_rng(10)
+    field = field_of(0.8, rng.standard_normal((len(pii.LABELS),) * 2) * 0.5)
+    local = rng.standard_normal((4, len(pii.LABELS)))
+    linked, hub = np.array([1, 1, 1, 0], bool), np.array([0, 1, 0, 1])
+    assert np.abs(field.beliefs(local, linked, hub, 2) - enumerated(field, local, linked, hub, 2)).max() < 0.05
+
+
+def test_repeated_tokens_share_a_hub():
+    """A token that looks like nothing takes the label of its like elsewhere in the text, however short or far away."""
+    tokens = pii.Tokens("id 41111111 then many words and id 41111111 again, 10.0.0.1 and 10.0.0.1, 7 alone")
+    assert tokens.hubs == 2 and tokens.hub.tolist() == [0, 0, 1, 1, -1]
+    n = 30
     tokens = pii.Tokens(" then ".join(["41111111"] * n))
-    assert len(tokens.skips) == n - 1
-    field = pii.SkipChain(np.zeros((3 * len(pii.FEATURES), k)), np.zeros((k, k)), 8.0)
-    tokens.features[:] = 0.0
-    tokens.features[0, 0], field.unary[0, 3] = 1.0, 6.0
-    step = np.exp(8.0 * (np.array(pii.KIND_OF)[:, None] == np.array(pii.KIND_OF)[None, :]))
-    exact = np.exp(field.unary[0])
-    for _ in range(n - 1):
-        exact = exact @ step / (exact @ step).sum()
-    assert np.allclose(field.marginals(tokens)[-1], exact, atol=1e-4) and exact[[3, 5]].sum() > 0.8
+    assert tokens.hubs == 1 and not tokens.linked.any()
+    local = np.zeros((n, len(pii.LABELS)))
+    local[0, 3] = 9.0
+    beliefs = field_of(6.0).beliefs(local, tokens.linked, tokens.hub, tokens.hubs)
+    assert (beliefs[:, [3, 5]].sum(axis=1) > 0.8).all()
+
+
+def test_potentials_do_not_depend_on_pieces(monkeypatch):
+    rng = np.random.default_rng(12)
+    text = "".join(rng.choice(list("a@.1 2,\n"), 400))
+    tokens = pii.Tokens(text)
+    unary = rng.standard_normal((3 * len(pii.FEATURES), len(pii.LABELS)))
+    for piece in (1, 2, 7, 1000):
+        monkeypatch.setattr(pii, "PIECE", piece)
+        assert np.allclose(tokens.potentials(unary), tokens.features() @ unary)
+    long = "x" * 500 + "@example.org"
+    assert pii.Tokens(long).features()[0, pii.FEATURES.index("at_domain")] == 1
 
 
 def test_field_learns_from_distinct_texts_of_any_length(spark, monkeypatch):

@@ -4,13 +4,16 @@ Base spans follow fixed patterns. Patterns fail where entities stand side by sid
 number and a card number with a space between them are one run of digits that passes no test.
 The field decides such cases token by token. Its tokens are runs without white space; their
 potentials are linear in features of the token and its neighbours, consecutive labels share a
-transition, and tokens of a document that repeat or resemble each other share a potential,
-however far apart they are, which loopy message passing propagates. A token without digit and
-"@" can only be outside, so it sends no message on; the chain falls into runs of the others.
+transition, and all tokens of a document that repeat or resemble each other, however far
+apart, share a hub: a hidden kind that each of them favours. Loopy message passing runs over
+chain and hubs until the messages settle. A token without digit and "@" can only be outside,
+so it sends no message on; the chain falls into runs of the others.
 
 The field learns from base spans themselves, on at most SAMPLE distinct texts, or stretches of
-those longer than STRETCH characters, chosen by a hash of the text; digits that a failed match covers teach nothing. Spans of the field are added where
-they have the form of their kind, pass its test and overlap no base span.
+those longer than STRETCH characters, chosen by a hash of the text; digits that a failed match
+covers teach nothing. Training is piecewise: unary, transition and shared potentials are
+fitted each by its own likelihood, and only finding runs the messages. Spans of the field are
+added where they have the form of their kind, pass its test and overlap no base span.
 """
 
 from __future__ import annotations
@@ -33,8 +36,10 @@ KIND_OF = [-1, 0, 1, 2, 3, 2, 3]
 SAMPLE = 3_000
 STEPS, RATE, DECAY = 250, 0.1, 1e-3
 STRETCH = 20_000  # characters of a training text; longer ones give several
+TINY = 1e-200  # keeps messages above zero
 SETTLED = 1e-6  # messages that change by no more are done
-UNDAMPED, LOOPS = 50, 1_000  # rounds before messages are averaged with the last ones; rounds beyond one for each edge
+UNDAMPED, LOOPS = 50, 1_000  # rounds before messages are averaged with the last ones; rounds beyond one for each token
+PIECE = 65_536  # tokens whose features are held at a time
 
 # The base patterns.
 EMAIL_END = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -107,7 +112,7 @@ def _features(core: str) -> list[float]:
     parts = core.split(".")
     quad = len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)
     return [
-        1.0, "@" in core, bool(re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", core)) if len(core) < 400 else False, digits / max(1, len(core)),
+        1.0, "@" in core, bool(re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", core)), digits / max(1, len(core)),
         1 <= digits <= 3, 4 <= digits <= 7, 8 <= digits <= 15, 16 <= digits <= 19, digits > 19, 16 <= digits <= 19 and luhn(number),
         core.count(".") == 3, quad and all(len(p) <= 4 and int(p) <= 255 for p in parts), core.startswith("+"), bool(re.fullmatch(r"\+[0-9]{1,3}", core)),
         "(" in core or ")" in core, bool(re.fullmatch(r"\(?[0-9]{3}\)", core)), "-" in core, bool(re.fullmatch(r"[0-9]{3}-[0-9]{4}", core)),
@@ -115,51 +120,73 @@ def _features(core: str) -> list[float]:
     ]
 
 
+def _cores(text: str) -> Iterator[tuple[int, int, int]]:
+    """Bounds of each candidate token without edge punctuation, and its number among all tokens."""
+    for n, m in enumerate(_TOKEN.finditer(text)):
+        word = m[0]
+        if "@" not in word and not any("0" <= c <= "9" for c in word):
+            continue
+        a, b = m.span()
+        while a < b and text[a] in _EDGE_START and not (text[a] == "(" and ")" in word):
+            a += 1
+        while a < b and text[b - 1] in _EDGE_END and not (text[b - 1] == ")" and "(" in word):
+            b -= 1
+        if a < b:
+            yield a, b, n
+
+
 class Tokens:
-    """The candidate tokens of one text: bounds without edge punctuation, features, chain and skip edges."""
+    """The candidate tokens of one text: bounds, chain links and hubs; features are made piece by piece."""
 
     def __init__(self, text: str):
-        self.spans, cores, self.chain = [], [], []
-        last = -2
-        for n, m in enumerate(_TOKEN.finditer(text)):
-            word = m[0]
-            if "@" not in word and not any("0" <= c <= "9" for c in word):
-                continue
-            a, b = m.span()
-            while a < b and text[a] in _EDGE_START and not (text[a] == "(" and ")" in word):
-                a += 1
-            while a < b and text[b - 1] in _EDGE_END and not (text[b - 1] == ")" and "(" in word):
-                b -= 1
-            if a == b:
-                continue
-            if last == n - 1:
-                self.chain.append(len(cores) - 1)  # a link from this token to the next
-            last = n
-            self.spans.append((a, b))
-            cores.append(text[a:b])
-        own = np.array([_features(c) for c in cores], float).reshape(len(cores), len(FEATURES))
-        linked = np.zeros(len(cores), bool)
-        linked[np.array(self.chain, int)] = True
+        self.text = text
+        flat = np.fromiter((x for token in _cores(text) for x in token), np.int64).reshape(-1, 3)
+        self.spans = flat[:, :2]
+        self.linked = np.zeros(len(flat), bool)  # whether the next token is a candidate as well
+        self.linked[:-1] = flat[1:, 2] == flat[:-1, 2] + 1
+        # tokens alike but for case and separators have one key; keys of several tokens have a hub
+        keys = [re.sub(r"[^a-z0-9@]", "", text[a:b].lower()) for a, b in self.spans.tolist()]
+        number: dict[str, int] = {}
+        of = np.array([number.setdefault(k, len(number)) for k in keys], np.int64)
+        several = np.bincount(of, minlength=len(number)) > 1
+        self.hub = np.where(several[of], (np.cumsum(several) - 1)[of], -1) if len(of) else of
+        self.hubs = int(several.sum())
+
+    @property
+    def chain(self) -> list[int]:
+        """The tokens that are linked to the next one."""
+        return np.flatnonzero(self.linked).tolist()
+
+    def own_features(self, a: int, b: int) -> np.ndarray:
+        return np.array([_features(self.text[x:y]) for x, y in self.spans[a:b].tolist()], float).reshape(-1, len(FEATURES))
+
+    def features(self) -> np.ndarray:
+        """The features of each token, of the linked token before it and of the one after it; for short texts."""
+        own = self.own_features(0, len(self.spans))
         before, after = np.zeros_like(own), np.zeros_like(own)
-        after[:-1][linked[:-1]] = own[1:][linked[:-1]]
-        before[1:][linked[:-1]] = own[:-1][linked[:-1]]
-        self.features = np.hstack([own, before, after])
-        # repeated tokens, and tokens alike but for the case and separators, are joined in a
-        # ring: each with the next one, so their number stays that of the tokens
-        alike: dict[str, int] = {}
-        self.skips = []
-        for i, core in enumerate(cores):
-            key = re.sub(r"[^a-z0-9@]", "", core.lower())
-            if len(key) >= 7:
-                if key in alike:
-                    self.skips.append((alike[key], i))
-                alike[key] = i
+        after[:-1][self.linked[:-1]] = own[1:][self.linked[:-1]]
+        before[1:][self.linked[:-1]] = own[:-1][self.linked[:-1]]
+        return np.hstack([own, before, after])
+
+    def potentials(self, unary: np.ndarray) -> np.ndarray:
+        """features() @ unary, with the features of PIECE tokens at a time."""
+        width, n = len(FEATURES), len(self.spans)
+        out = np.zeros((n, unary.shape[1]))
+        for a in range(0, n, PIECE):
+            own = self.own_features(a, min(a + PIECE, n))
+            b = a + len(own)
+            out[a:b] += own @ unary[:width]
+            ahead = own[: b - a - (b == n)] @ unary[width : 2 * width] * self.linked[a : b - (b == n), None]
+            out[a + 1 : a + 1 + len(ahead)] += ahead
+            back = own[a == 0 :] @ unary[2 * width :] * self.linked[a - (a > 0) : b - 1, None]
+            out[b - 1 - len(back) : b - 1] += back
+        return out
 
 
 def labels_of(tokens: Tokens, spans: list[tuple[str, int, int]], failed: list[tuple[int, int]]) -> list[int]:
     """A label for each token from base spans; -1 for tokens that only a failed match covers."""
     out = []
-    for a, b in tokens.spans:
+    for a, b in tokens.spans.tolist():
         label = 0
         for kind, s, e in spans:
             if s < b and a < e:
@@ -179,68 +206,78 @@ class SkipChain:
         self.unary, self.transition, self.skip = unary, transition, skip
 
     def marginals(self, tokens: Tokens) -> np.ndarray:
-        """Label beliefs of each token after loopy message passing over chain and skip edges."""
-        local = tokens.features @ self.unary
-        n, k = local.shape
-        kind = np.array(KIND_OF)
-        agree = np.where((kind[:, None] == kind[None, :]), self.skip, 0.0)
-        edges = [(i, i + 1, self.transition) for i in tokens.chain] + [(i, j, agree) for i, j in tokens.skips]
-        if not edges:
-            beliefs = local
-        else:
-            ahead, back = np.zeros((len(edges), k)), np.zeros((len(edges), k))
-            one, two = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
-            table = np.array([e[2] for e in edges])
-            # without loops the messages are exact after as many rounds as the longest path has edges
-            for round_ in range(len(edges) + LOOPS):
-                beliefs = local.copy()
-                np.add.at(beliefs, two, ahead)
-                np.add.at(beliefs, one, back)
-                new_ahead = _log_sum((beliefs[one] - back)[:, :, None] + table, 1)
-                new_back = _log_sum((beliefs[two] - ahead)[:, None, :] + table, 2)
-                new_ahead -= _log_sum(new_ahead, 1)[:, None]
-                new_back -= _log_sum(new_back, 1)[:, None]
-                if round_ >= max(UNDAMPED, len(edges)):
-                    new_ahead, new_back = (new_ahead + ahead) / 2, (new_back + back) / 2
-                change = max(np.abs(new_ahead - ahead).max(), np.abs(new_back - back).max())
-                ahead, back = new_ahead, new_back
-                if change <= SETTLED:
-                    break
-            beliefs = local.copy()
-            np.add.at(beliefs, two, ahead)
-            np.add.at(beliefs, one, back)
-        p = np.exp(beliefs - beliefs.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+        """Label beliefs of each token by message passing over chain and hubs, until no message changes by more than SETTLED."""
+        return self.beliefs(tokens.potentials(self.unary), tokens.linked, tokens.hub, tokens.hubs)
+
+    def beliefs(self, local: np.ndarray, linked: np.ndarray, hub: np.ndarray, hubs: int) -> np.ndarray:
+        """Beliefs of n tokens with log potentials local; linked: to the next; hub: of each token, -1 for none."""
+        own = np.exp(local - local.max(axis=1, keepdims=True)) + TINY
+        one = np.flatnonzero(linked)
+        held = np.flatnonzero(hub >= 0)
+        step = np.exp(self.transition)
+        # a hub has one state for each kind, and one for outside
+        favour = np.where(np.array(KIND_OF)[:, None] == np.arange(-1, len(KINDS))[None, :], np.exp(self.skip), 1.0)
+        ahead, back = np.ones((len(one), own.shape[1])), np.ones((len(one), own.shape[1]))
+        down = np.ones((len(held), own.shape[1]))
+        of = hub[held]
+
+        def gathered() -> np.ndarray:
+            out = own.copy()
+            out[one + 1] *= ahead
+            out[one] *= back
+            out[held] *= down
+            return out / out.sum(axis=1, keepdims=True) + TINY
+
+        if not len(one) and not len(held):
+            return gathered()
+        # without loops the messages are exact after as many rounds as the longest path has edges
+        for round_ in range(len(own) + LOOPS):
+            all_in = gathered()
+            up = np.log(_unit((all_in[held] / down) @ favour))
+            total = np.stack([np.bincount(of, up[:, k], hubs) for k in range(up.shape[1])], axis=1)
+            rest = total[of] - up
+            new = [
+                _unit((all_in[one] / back) @ step),
+                _unit((all_in[one + 1] / ahead) @ step.T),
+                _unit(np.exp(rest - rest.max(axis=1, keepdims=True)) @ favour.T),
+            ]
+            if round_ >= max(UNDAMPED, len(own)):
+                new = [(x + y) / 2 for x, y in zip(new, (ahead, back, down), strict=True)]
+            change = max(np.abs(x - y).max() if len(x) else 0.0 for x, y in zip(new, (ahead, back, down), strict=True))
+            ahead, back, down = new
+            if change <= SETTLED:
+                break
+        return gathered()
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """Spans of the most likely labels that pass their tests."""
         tokens = Tokens(text)
-        if not tokens.spans:
+        if not len(tokens.spans):
             return []
         best = self.marginals(tokens).argmax(axis=1)
-        linked = set(tokens.chain)
+        if not best.any():
+            return []
         out: list[tuple[str, int, int]] = []
         i = 0
         while i < len(best):
             j = i + 1
             if best[i] in (3, 4):
-                while j < len(best) and j - 1 in linked and best[j] == best[i] + 2:
+                while j < len(best) and tokens.linked[j - 1] and best[j] == best[i] + 2:
                     j += 1
             if 0 < best[i] < 5:
-                kind, a, b = KINDS[KIND_OF[best[i]]], tokens.spans[i][0], tokens.spans[j - 1][1]
+                kind, a, b = KINDS[KIND_OF[best[i]]], int(tokens.spans[i, 0]), int(tokens.spans[j - 1, 1])
                 if FORMS[kind].fullmatch(text, a, b) and passes(kind, text[a:b]):
                     out.append((kind, a, b))
             i = j
         return out
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=1, keepdims=True) + TINY
 
 
 def fit(texts: list[str]) -> SkipChain:
-    """Fit on the base spans of texts: potentials one kind after the other, each by its own likelihood."""
+    """Fit on the base spans of texts, piecewise: unary, transition and shared potentials each by its own likelihood."""
     k, width = len(LABELS), 3 * len(FEATURES)
     rows, labels = [np.zeros((0, width))], []
     transition = np.full((k, k), 0.1)
@@ -248,13 +285,16 @@ def fit(texts: list[str]) -> SkipChain:
     for text in texts:
         tokens = Tokens(text)
         own = labels_of(tokens, *base_spans(text))
-        rows.append(tokens.features)
+        rows.append(tokens.features())
         labels += own
         for i in tokens.chain:
             if own[i] >= 0 and own[i + 1] >= 0:
                 transition[own[i], own[i + 1]] += 1
-        for i, j in tokens.skips:
-            if own[i] >= 0 and own[j] >= 0:
+        last: dict[int, int] = {}
+        for j in np.flatnonzero(tokens.hub >= 0).tolist():
+            i = last.get(int(tokens.hub[j]))
+            last[int(tokens.hub[j])] = j
+            if i is not None and own[i] >= 0 and own[j] >= 0:
                 same += KIND_OF[own[i]] == KIND_OF[own[j]]
                 pairs += 1
     x, y = np.concatenate(rows), np.array(labels, int)
@@ -339,8 +379,10 @@ def find(documents: DataFrame, model: SkipChain | None = None, id_col: str = "do
 
     Positions are code points of the whole text, ends exclusive. Null and empty texts have no
     spans: counts 0, the digest of the empty string, spans ''. Added spans overlap no base span;
-    the counts and the digest are of base spans alone. Repeated rows give repeated results;
-    only the id and text columns are read.
+    the counts and the digest are of base spans alone. Repeated rows give repeated results, an
+    empty table an empty one; of labels that are equally likely the first counts. Very long
+    texts are read whole, with the features of PIECE tokens in memory at a time. Only the id
+    and text columns are read.
     """
     model = model or train(documents, text_col)
     shared = documents.sparkSession.sparkContext.broadcast(model)
