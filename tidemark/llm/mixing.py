@@ -2,12 +2,16 @@
 
 The words of each source's documents, in a fixed order, are packed into blocks of fixed
 length. For each output shard source counts are drawn: the whole part of each expected count
-is given and the rest drawn from a multinomial. The slots a source has drawn, numbered
+is given and the rest drawn from a multinomial, first over groups of sources and then within
+them, which gives the same counts as one draw over all. What a source draws beyond its limit
+is drawn again from the sources that have room. The slots a source has drawn, numbered
 through all shards, are mapped to its blocks by pseudorandom permutations of the block
 numbers, a new one each time all blocks have been used, and blocks are joined by number.
 
-All draws and permutations depend on the seed alone, so reruns agree. What is broadcast has
-one row per source, and the number of sources is checked against MAX_SOURCES.
+All draws and permutations depend on the seed alone, so reruns agree. Offsets and targets come
+from running sums over sorted ranges, so any number of sources, and any number of documents of
+one source or with one id, is spread over tasks. Tables with one row per source are broadcast
+up to BROADCAST_SOURCES rows and joined like others beyond.
 """
 
 from __future__ import annotations
@@ -18,18 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import fresh, numbered, row_hash, running_sums, written
 from tidemark.llm.textscan import mix64, word_counts
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 65_536
-RUN_DOCUMENTS = 512
-MAX_SOURCES = 100_000
+GROUP = 4096  # sources of a group in the draw
+BROADCAST_SOURCES = 100_000
 SEED = 20240229
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,92 +60,85 @@ def permuted(positions: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarra
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(word_counts(batch.column(3)))], ["id", "source", "mark", "size"])
-
-
-def _identified(id_col: str, text_col: str, source_col: str) -> list[Column]:
-    """id, source and mark, a hash of the text, of a row of documents, and its text."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return [F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("mark"), text.alias("text")]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(word_counts(batch.column(4)))], ["id", "source", "mark", "tie", "size"])
 
 
 class Mix:
-    """The plan of a mix: sources with their targets, documents placed in blocks, and drawn slots."""
+    """The plan of a mix: sources with their targets, documents placed in blocks, and drawn slots.
+
+    Documents of a source are packed by id, then by a hash of the text, then by that of the whole row
+    if row_col, a number of each row, is given. Rows that agree in all of these are interchangeable.
+    """
 
-    def __init__(self, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT):
+    def __init__(self, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, row_col: str | None = None):
         self.spark, self.block_words, self.seed, self.limit = documents.sparkSession, block_words, seed, limit
-        self.documents = written(documents.select(*_identified(id_col, text_col, source_col)).mapInArrow(_sizes, "id long, source string, mark long, size long"), "sizes")
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        tie = row_hash(documents.drop(row_col)) if row_col else F.lit(0)
+        columns = [F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("mark"), tie.cast("long").alias("tie"), text.alias("text")]
+        if row_col:
+            given = documents.select(*columns, F.col(row_col).alias("row"))
+            sized = given.select(F.struct("id", "row").alias("id"), "source", "mark", "tie", "text").mapInArrow(_sizes, "id struct<id: long, row: long>, source string, mark long, tie long, size long")
+            sized = sized.select("id.id", "source", "mark", "tie", "size", "id.row")
+        else:
+            sized = documents.select(*columns).mapInArrow(_sizes, "id long, source string, mark long, tie long, size long").withColumn("row", F.monotonically_increasing_id())
+        self.documents = written(sized, "sizes")
         self.sources = self._targets(weights)
         self.placed = self._place()
         self.slots = self._draw()
 
+    def _beside(self, table: DataFrame) -> DataFrame:
+        """A table with at most one row per source, broadcast where their number allows it."""
+        return F.broadcast(table) if self.n_sources <= BROADCAST_SOURCES else table
+
+    def _named(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """rows with columns of their source."""
+        named = self.sources.select(F.col("source").alias("_source"), *columns)
+        return rows.join(self._beside(named), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
     def _targets(self, weights: tuple[int, ...]) -> DataFrame:
-        totals = written(self.documents.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents")), "totals")
-        if totals.count() > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources")
-        rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-        weight = F.element_at(F.array(*map(F.lit, weights)), F.col("rank") % len(weights) + 1).cast("double")
-        ranked = written(totals.withColumn("rank", rank).withColumn("weight", weight), "ranked")
-        cap = F.col("source_size") * self.limit
-        # the level at which weight x level, stopped at the caps, adds up to all sizes
-        level = 0.0
-        while True:
-            stopped = F.col("weight") * level >= cap
-            total, given, open_weight = ranked.agg(F.sum("source_size"), F.sum(F.when(stopped, cap).otherwise(0)), F.sum(F.when(~stopped, F.col("weight")).otherwise(0.0))).first()
-            raised = (total - given) / open_weight if open_weight else level
-            if raised <= level or not total:
-                break
-            level = raised
+        totals = self.documents.groupBy("source").agg(F.sum("size").alias("source_size")).withColumns({"one": F.lit(1).cast("long"), "last": F.col("source").isNull()})
+        ranked = running_sums(totals, ["last", "source"], {"one": "rank", "source_size": "start"})
+        weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("double")
+        ranked = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * self.limit)
+        # the level at which weight x level, stopped at the caps, adds up to all sizes: sources stop in
+        # the order of cap / weight, and the first that would not stop at the level of the others sets it
+        ordered = running_sums(ranked.withColumn("stop", F.col("cap") / F.col("weight")), ["stop", "rank"], {"cap": "given", "weight": "closed", "one": "nth"})
+        self.n_sources, total, all_weights = ranked.agg(F.count(F.lit(1)), F.sum("source_size"), F.sum("weight")).first()
+        level = (F.lit(total or 0) - F.col("given")) / (F.lit(all_weights or 0.0) - F.col("closed"))
+        level = ordered.withColumn("level", level).where("level <= stop").agg(F.min_by("level", "nth")).first()[0] or 0.0
         blocks = F.ceil(F.col("source_size") / self.block_words)
-        target = F.least(cap.cast("double"), F.col("weight") * level)
-        mixed = ranked.withColumn("target", target).withColumn("blocks", blocks)
+        mixed = ranked.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * level)).withColumn("blocks", blocks)
         expected = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
-        return written(mixed.withColumn("expected", expected), "sources")
+        return written(mixed.withColumn("expected", F.least(expected, F.col("blocks") * self.limit)).drop("one", "last"), "sources")
 
     def _place(self) -> DataFrame:
         """Each document with words gets the offset of its first word in its source."""
-        keyed = self.documents.where("size > 0").join(F.broadcast(self.sources.select(F.col("source").alias("_source"), "rank", "documents")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-        run = F.pmod(F.xxhash64("id", "mark"), F.ceil(F.col("documents") / RUN_DOCUMENTS))
-        keyed = keyed.select("id", "mark", "size", "rank", run.alias("run"))
-        runs = keyed.groupBy("rank", "run").agg(F.sum("size").alias("words"))
-        before = Window.partitionBy("rank").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-        runs = written(runs.select("rank", "run", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base")), "runs")
-        inside = Window.partitionBy("rank", "run").orderBy("id", "mark").rowsBetween(Window.unboundedPreceding, -1)
-        placed = keyed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(runs, ["rank", "run"])
-        return written(placed.select("id", "mark", "size", "rank", (F.col("base") + F.col("within")).alias("offset")), "placed")
+        keyed = self._named(self.documents.where("size > 0"), "rank", "start").drop("source")
+        placed = running_sums(keyed, ["rank", "id", "mark", "tie", "row"], {"size": "before"})
+        return placed.select("row", "id", "size", "rank", (F.col("before") - F.col("start")).alias("offset"))
 
     def _draw(self) -> DataFrame:
         """shard, slot (in its shard), rank and block: what the mix takes, in order."""
-        shares = [(r["rank"], r["expected"], r["blocks"]) for r in self.sources.where("expected > 0").select("rank", "expected", "blocks").orderBy("rank").collect()]
-        shards = max(1, round(sum(s[1] for s in shares) / SHARD_SLOTS))
-        ranks = np.array([s[0] for s in shares], np.int64)
-        expected = np.array([s[1] for s in shares], float) / shards
-        seed = self.seed
-
-        def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            whole = np.floor(expected).astype(np.int64)
-            rest = expected - whole
-            for frame in frames:
-                for shard in frame["id"]:
-                    counts = whole.copy()
-                    if rest.sum() > 0:
-                        rng = np.random.default_rng([seed, int(shard)])
-                        counts += rng.multinomial(round(rest.sum()), rest / rest.sum())
-                    yield pd.DataFrame({"shard": shard, "rank": ranks, "count": counts, "first": np.cumsum(counts) - counts})
-
-        counts = self.spark.range(shards).mapInPandas(draw, "shard long, rank long, count long, first long")
-        counts = written(counts.where("count > 0"), "counts")
-        earlier = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("base", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
-        counts = counts.join(F.broadcast(self.sources.select("rank", "blocks")), "rank").select("shard", "rank", "count", "first", "base", "blocks")
-        limit, step = self.limit, 1 << 16
+        chosen = self.sources.where("expected > 0")
+        shards = max(1, round((chosen.agg(F.sum("expected")).first()[0] or 0.0) / SHARD_SLOTS))
+        share = F.col("expected") / shards
+        whole = F.floor(share).cast("long")
+        chosen = written(chosen.select("rank", "blocks", whole.alias("whole"), share.alias("share"), (share - whole).alias("rest"), (F.col("blocks") * self.limit - whole * shards).alias("room")), "shares")
+        given = chosen.where("whole > 0").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1).cast("long"))).alias("shard"), "rank", F.col("whole").alias("count"))
+        counts = given.unionByName(self._extras(chosen, shards)).groupBy("shard", "rank").agg(F.sum("count").alias("count"))
+        counts = written(counts, "counts")
+        # a shard has at most about SHARD_SLOTS sources, and a source one row for each shard
+        in_shard = Window.partitionBy("shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+        in_source = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("first", F.coalesce(F.sum("count").over(in_shard), F.lit(0))).withColumn("base", F.coalesce(F.sum("count").over(in_source), F.lit(0)))
+        counts = counts.join(self._beside(chosen.select("rank", "blocks")), "rank").select("shard", "rank", "count", "first", "base", "blocks")
+        seed, step = self.seed, 1 << 16
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
                     for a in range(0, row["count"], step):
                         i = np.arange(a, min(a + step, row["count"])) + row["base"]
-                        i = i[i < limit * row["blocks"]]  # a source's draw never goes beyond its limit
                         turn, position = i // row["blocks"], i % row["blocks"]
                         key = mix64(np.full(len(i), seed * 1_000_003 + row["rank"], np.uint64) + turn.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
                         block = permuted(position, np.full(len(i), row["blocks"], np.int64), key)
@@ -150,8 +147,52 @@ class Mix:
 
         return written(counts.repartition("shard", "rank").mapInArrow(spread, "shard long, slot long, rank long, block long"), "slots")
 
+    def _extras(self, chosen: DataFrame, shards: int) -> DataFrame:
+        """shard, rank and count of the slots beyond the whole parts, drawn until no source is beyond its room."""
+        n = round(chosen.agg(F.sum("rest")).first()[0] or 0.0)
+        need = self.spark.range(shards).select(F.col("id").alias("shard"), F.lit(n).cast("long").alias("n")).where("n > 0")
+        kept, round_, weight = None, 0, "rest"
+        while True:
+            drawn = self._multinomial(need, chosen.select("rank", F.col(weight).alias("weight")), round_)
+            drawn = drawn if kept is None else drawn.unionByName(kept).groupBy("shard", "rank").agg(F.sum("count").alias("count"))
+            before = F.coalesce(F.sum("count").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            fits = F.least(F.greatest(F.col("room") - before, F.lit(0)), F.col("count"))
+            drawn = written(drawn.join(self._beside(chosen.select("rank", "room")), "rank").withColumn("fits", fits), "drawn")
+            kept = drawn.where("fits > 0").select("shard", "rank", F.col("fits").alias("count"))
+            need = written(drawn.groupBy("shard").agg(F.sum(F.col("count") - F.col("fits")).alias("n")).where("n > 0"), "need")
+            full = drawn.groupBy("rank").agg(F.sum("count").alias("n"), F.first("room").alias("most")).where("n >= most").select("rank")
+            chosen = chosen.join(self._beside(full), "rank", "left_anti")
+            if need.isEmpty() or chosen.isEmpty():
+                return kept
+            chosen, round_, weight = written(chosen, "open"), round_ + 1, "share"
+
+    def _multinomial(self, need: DataFrame, weights: DataFrame, round_: int) -> DataFrame:
+        """shard, rank and count of n draws for each shard of need, in proportion to the weights of ranks."""
+        member = F.struct("rank", "weight")
+        lists = written(weights.where("weight > 0").groupBy(F.expr(f"rank div {GROUP}").alias("group")).agg(F.array_sort(F.collect_list(member)).alias("members"), F.sum("weight").alias("total")), "groups")
+        totals = lists.select("group", "total").orderBy("group").toPandas()  # one row for every GROUP sources
+        groups, parts = totals["group"].to_numpy(), totals["total"].to_numpy(float)
+        seed = self.seed
+
+        def over_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for shard, n in zip(frame["shard"].tolist(), frame["n"].tolist(), strict=True):
+                    if len(parts):
+                        counts = np.random.default_rng([seed, round_, shard]).multinomial(n, parts / parts.sum())
+                        yield pd.DataFrame({"shard": shard, "group": groups, "n": counts})[counts > 0]
+
+        def over_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    ranks, own = np.array([m["rank"] for m in row["members"]], np.int64), np.array([m["weight"] for m in row["members"]])
+                    counts = np.random.default_rng([seed, round_, row["shard"], row["group"]]).multinomial(row["n"], own / own.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ranks), row["shard"])), pa.array(ranks), pa.array(counts.astype(np.int64))], ["shard", "rank", "count"])
+
+        drawn = need.mapInPandas(over_groups, "shard long, group long, n long").join(self._beside(lists.select("group", "members")), "group")
+        return drawn.select("shard", "group", "n", "members").mapInArrow(over_members, "shard long, rank long, count long").where("count > 0")
+
     def pieces(self) -> DataFrame:
-        """Each document's words by block: id, mark, rank, offset, size, block, first and words, with the copies taken."""
+        """Each document's words by block: row, id, rank, offset, size, block, first and words, with the copies taken."""
         b = self.block_words
         index = F.explode(F.sequence(F.floor(F.col("offset") / b), F.floor((F.col("offset") + F.col("size") - 1) / b)))
         cut = self.placed.withColumn("block", index)
@@ -163,11 +204,10 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """id, size, source_size, target and taken, one row per input row."""
-        words = self.pieces().groupBy("rank", "offset", "id", "size").agg(F.sum(F.col("words") * F.col("copies")).alias("taken"))
+        words = self.pieces().groupBy("row", "rank", "id", "size").agg(F.sum(F.col("words") * F.col("copies")).alias("taken"))
         known = self.sources.select("rank", "source_size", "target")
-        counted = words.join(F.broadcast(known), "rank").select("id", "size", "source_size", "target", "taken")
-        named = self.sources.select(F.col("source").alias("_source"), "source_size", "target")
-        empty = self.documents.where("size = 0").join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_source")))
+        counted = words.join(self._beside(known), "rank").select("id", "size", "source_size", "target", "taken")
+        empty = self._named(self.documents.where("size = 0"), "source_size", "target")
         return counted.unionByName(empty.select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
 
 
@@ -175,16 +215,19 @@ def mix_report(documents: DataFrame, **options) -> DataFrame:
     """What the mix takes of each document: id, size, source_size, target and taken, in words.
 
     A null text has size 0; documents without words are taken 0 times. A null source is the
-    last one. Repeated rows are documents of their own. An empty table gives an empty result.
-    Other columns are not read.
+    last one. Repeated rows are documents of their own. Very long texts lie in many blocks. An
+    empty table gives an empty result. Other columns are not read.
     """
     return Mix(documents, **options).taken()
 
 
 def mixed_blocks(documents: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: shard, slot, source and text of each block, its words joined by spaces."""
-    mix = Mix(documents, text_col=text_col, **options)
-    texts = _with_runs(documents, mix, text_col, options)
+    """The mix itself: shard, slot, source and text of each block, its words joined by spaces.
+
+    Null texts and texts without words are in no block; a null source is a source; repeated
+    rows are documents of their own; an empty table gives an empty result.
+    """
+    mix, texts = _with_runs(documents, text_col, options)
     place = documents.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,26 +242,18 @@ def mixed_blocks(documents: DataFrame, text_col: str = "text", **options) -> Dat
     parts = texts.mapInArrow(cut, "rank long, block long, at long, words string")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda p: p["words"]), " ")
     blocks = parts.groupBy("rank", "block").agg(whole.alias("text"))  # at most block_words parts in a block
-    sources = F.broadcast(mix.sources.select("rank", "source"))
-    return mix.slots.join(blocks, ["rank", "block"]).join(sources, "rank").select("shard", "slot", "source", "text")
+    return mix.slots.join(blocks, ["rank", "block"]).join(mix._beside(mix.sources.select("rank", "source")), "rank").select("shard", "slot", "source", "text")
 
 
-def _with_runs(documents: DataFrame, mix: Mix, text_col: str, options: dict) -> DataFrame:
-    """row, each row of documents as a struct, and runs, the blocks its words lie in; rows without words are left out."""
-    found = _identified(options.get("id_col", "doc_id"), text_col, options.get("source_col", "source"))
+def _with_runs(documents: DataFrame, text_col: str, options: dict) -> tuple[Mix, DataFrame]:
+    """The mix; and row, each row of documents as a struct, with runs, the blocks its words lie in. Rows of which nothing is taken are left out."""
+    (number,) = fresh(documents, "_row")
+    rows = numbered(documents, number)
+    mix = Mix(rows, text_col=text_col, row_col=number, **options)
     row = F.struct(*[F.col(text_col).cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns])
-    marked = documents.select(row.alias("row"), *found[:3])
-    sources = mix.sources.select(F.col("source").alias("name"), "rank")
-    marked = marked.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name")))
-    keys = ["known", "missing", "mark", "rank"]
-    named = {"known": F.coalesce("id", F.lit(0)), "missing": F.col("id").isNull()}
-    marked = marked.withColumns(named).select("row", *keys)
-    marked = marked.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
-    runs = mix.pieces().groupBy("rank", "offset", "id", "mark").agg(F.array_sort(F.collect_list(F.struct("first", "words", "copies", "block", "rank", "offset"))).alias("runs"))
-    runs = runs.withColumns(named).withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("offset")))
-    # the difference is no key of the join, so both sides stay dealt out as their windows need it
-    same = [marked[k] == runs[k] for k in keys]
-    return marked.join(runs, [*same, (marked["nth"] - runs["at"]) == 0]).select("row", "runs")
+    runs = mix.pieces().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "words", "copies", "block", "rank", "offset"))).alias("runs"), F.max("copies").alias("most"))
+    runs = runs.where("most > 0").select(F.col("row").alias(number), "runs")
+    return mix, rows.select(row.alias("row"), number).join(runs, number).select("row", "runs")
 
 
 def mixed_documents(documents: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
@@ -226,10 +261,11 @@ def mixed_documents(documents: DataFrame, text_col: str = "text", chars_col: str
 
     Row c of a document holds the words of its blocks that were drawn at least c times: its
     own text over each stretch of them, the stretches joined by line ends. n_chars, if there,
-    is the new length. Documents of which nothing was drawn are left out.
+    is the new length. Documents of which nothing was drawn are left out, and with them null
+    texts and texts without words. Repeated rows are documents of their own; an empty table
+    gives an empty result.
     """
-    mix = Mix(documents, text_col=text_col, **options)
-    texts = _with_runs(documents, mix, text_col, options)
+    _, texts = _with_runs(documents, text_col, options)
     names = documents.columns
     place, chars = names.index(text_col), names.index(chars_col) if chars_col in names else None
 
