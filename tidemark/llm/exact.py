@@ -21,19 +21,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import fresh, row_hash, written
+from tidemark.llm.shared import fresh, numbered, written
 from tidemark.llm.textscan import column_bytes
 
 BLOCK_BYTES = 4096
-NAME_BUCKETS = 1 << 16
+NAME_BUCKETS = 1 << 16  # at least; more where there are more values
+BUCKET_VALUES = 4096  # that a name bucket is to hold
 _LOCAL_BITS = 36
 
-_PIECES = "row long, id long, blocks array<long>, sha string, slot long, block binary"
+_PIECES = "row long, given long, id long, blocks array<long>, sha string, slot long, block binary"
 
 
 def _cut(block_bytes: int):
     schema = pa.schema(
-        [("row", pa.int64()), ("id", pa.int64()), ("blocks", pa.list_(pa.int64())), ("sha", pa.string()), ("slot", pa.int64()), ("block", pa.binary())]
+        [("row", pa.int64()), ("given", pa.int64()), ("id", pa.int64()), ("blocks", pa.list_(pa.int64())), ("sha", pa.string()), ("slot", pa.int64()), ("block", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,35 +55,43 @@ def _cut(block_bytes: int):
             n, m = batch.num_rows, len(known)
             rows = pa.array(np.arange(row, row + n) + base)
             yield pa.RecordBatch.from_arrays(
-                [rows, batch.column(0).cast(pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(shas), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema
+                [rows, batch.column(2).cast(pa.int64()), batch.column(0).cast(pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(shas), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema
             )
             if m:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.string()), pa.array(known.values(), pa.int64()), pa.array(known.keys(), pa.binary())], schema=schema
+                    [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.string()), pa.array(known.values(), pa.int64()), pa.array(known.keys(), pa.binary())], schema=schema
                 )
             row, slot = row + n, slot + m
 
     return run
 
 
-def _named(values: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Integer names in sort order within fixed hash buckets; the same for any number of partitions."""
-    bucket = F.pmod(F.xxhash64(*by), F.lit(NAME_BUCKETS))
+def _buckets(values: int) -> int:
+    """A power of two of buckets for so many values, so that none holds many more than BUCKET_VALUES; at most 2^30."""
+    return min(max(NAME_BUCKETS, 1 << (values // BUCKET_VALUES).bit_length()), 1 << 30)
+
+
+def _named(values: DataFrame, by: list[str], name: str, buckets: int) -> DataFrame:
+    """Integer names in sort order within hash buckets; the same for any number of partitions."""
+    bucket = F.pmod(F.xxhash64(*by), F.lit(buckets))
     order = Window.partitionBy("_bucket").orderBy(*by)
     keyed = values.withColumn("_bucket", bucket)
     return keyed.withColumn(name, F.shiftleft(F.col("_bucket"), 32) + F.dense_rank().over(order)).drop("_bucket")
 
 
-def identities(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per input row: row (its own number), id, sha, n_blocks and name.
+def identities(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, row_col: str | None = None) -> DataFrame:
+    """One row per input row: row (its own number), given (that of row_col, if named), id, sha, n_blocks and name.
 
-    Two rows hold equal texts exactly when (n_blocks, name) are equal. Null text counts as empty.
+    Two rows hold equal texts exactly when (n_blocks, name) are equal. Null text counts as
+    empty; null ids stay null and repeated rows have rows of their own. Very long texts have
+    many blocks; an empty table gives an empty result.
     """
-    spark = documents.sparkSession
-    source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    given = F.col(row_col) if row_col else F.lit(None)
+    source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), given.cast("long").alias("given"))
     pieces = written(source.mapInArrow(_cut(block_bytes), _PIECES), "pieces")
     blocks = pieces.where("slot is not null").select("slot", "block")
-    names = _named(blocks, ["block"], "name").select("slot", "name")
+    buckets = _buckets(blocks.count())
+    names = _named(blocks, ["block"], "name", buckets).select("slot", "name")
     rows = pieces.where("row is not null")
     occurrences = rows.select("row", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("pos", "slot"))
     level = written(occurrences.join(names, "slot").select("row", "n_blocks", "pos", "name"), "names")
@@ -96,32 +105,32 @@ def identities(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"),
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"),
         )
-        distinct = _named(pairs.select("left", "right").distinct(), ["left", "right"], "name")
+        distinct = _named(pairs.select("left", "right").distinct(), ["left", "right"], "name", buckets)
         level = written(
             pairs.join(distinct, ["left", "right"]).select("row", F.expr("cast((width + 1) div 2 as int)").alias("width"), "pos", "name"), "names"
         )
         done = done.unionByName(level.where("width = 1").select("row", "name"))
         level = level.where("width > 1")
         most = (most + 1) // 2
-    heads = rows.select("row", "id", "sha", F.size("blocks").alias("n_blocks"))
+    heads = rows.select("row", "given", "id", "sha", F.size("blocks").alias("n_blocks"))
     return heads.join(done, "row")
 
 
-def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Groups of equal texts: id, keep_id, group_size, kept, sha and row, one row per input row.
+def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, row_col: str | None = None) -> DataFrame:
+    """Groups of equal texts: id, keep_id, group_size, kept, sha and given (row_col, if named), one row per input row.
 
     The row with the largest id of a group stays; of repeated rows with that id exactly one
     does. Null text equals empty text. A null id is smaller than any other, so keep_id is null
     only where all ids of the group are. An empty table gives an empty result; other columns
     of documents are not read.
     """
-    named = written(identities(documents, id_col, text_col, block_bytes), "identities")
+    named = written(identities(documents, id_col, text_col, block_bytes, row_col), "identities")
     # written, so that the join can split the rows of a large group over tasks
     groups = written(
         named.groupBy("n_blocks", "name").agg(F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups"
     )
     joined = named.join(groups, ["n_blocks", "name"])
-    return joined.select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "sha", "row")
+    return joined.select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "sha", "given")
 
 
 def drop_exact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,16 +139,7 @@ def drop_exact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The largest id of each group of equal texts stays; where several rows have that id and
     text, one of them stays. Rows with null ids stay only where their group has no other id.
     """
-    groups = exact_groups(documents, id_col, text_col).where("kept")
-    known, missing, sha, copy = fresh(documents, "_id", "_no_id", "_sha", "_copy")
-    keys = [known, missing, sha]
-
-    def keyed(ident: Column, digest: Column) -> dict[str, Column]:
-        return {known: F.coalesce(ident.cast("long"), F.lit(0)), missing: ident.isNull(), sha: digest}
-
-    kept = groups.select(*[c.alias(n) for n, c in keyed(F.col("id"), F.col("sha")).items()])
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = documents.withColumns(keyed(F.col(id_col), F.sha2(text, 256)))
-    # join and window deal out by the same keys, so texts are shuffled once
-    first = Window.partitionBy(*keys).orderBy(row_hash(documents))
-    return rows.join(kept, keys, "left_semi").withColumn(copy, F.row_number().over(first)).where(F.col(copy) == 1).select(*[f"`{c}`" for c in documents.columns])
+    (row,) = fresh(documents, "_row")
+    rows = numbered(documents, row)
+    kept = exact_groups(rows, id_col, text_col, row_col=row).where("kept").select(F.col("given").alias(row))
+    return rows.join(kept, row, "left_semi").select(*[f"`{c}`" for c in documents.columns])

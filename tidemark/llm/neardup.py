@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import fresh, row_hash, written
+from tidemark.llm.shared import fresh, numbered, written
 from tidemark.llm.textscan import chunks, column_bytes, mix64, word_hashes, word_spans
 
 WORDS = 5
@@ -313,14 +313,16 @@ def _block_pairs(stars: DataFrame, known: DataFrame, texts: DataFrame) -> DataFr
 
 
 def drop_near(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of documents that stay: of each group the one with the smallest id.
+    """The rows of documents that stay: of each group of linked rows one with the smallest id.
 
-    Rows with null ids stay. Of rows that repeat an id one stays.
+    Rows are linked by their own sets, so rows that repeat an id and differ in text stay apart;
+    of equal rows one stays. Null and empty texts and rows with null ids stay. All columns pass
+    through; an empty table gives an empty result.
     """
-    groups = near_groups(documents, id_col, text_col)
-    known, copy = fresh(documents, "_id", "_copy")
-    kept = groups.where("kept and id is not null").select(F.col("id").alias(known)).distinct()
-    rows = documents.withColumn(known, F.col(id_col).cast("long"))
-    first = Window.partitionBy(known).orderBy(row_hash(documents))
-    stay = rows.join(kept, known, "left_semi").withColumn(copy, F.row_number().over(first)).where(F.col(copy) == 1)
-    return stay.select(*[f"`{c}`" for c in documents.columns]).unionByName(documents.where(F.col(id_col).isNull()))
+    (row,) = fresh(documents, "_row")
+    rows = numbered(documents, row)
+    groups = near_groups(rows.where(F.col(id_col).isNotNull()), row, text_col).select(F.col("id").alias(row), "component_id")
+    ids = written(groups.join(rows.select(row, F.col(id_col).cast("long").alias("own")), row), "grouped")
+    kept = ids.groupBy("component_id").agg(F.min(F.struct("own", row))[row].alias(row)).select(row)
+    stay = rows.join(kept, row, "left_semi").unionByName(rows.where(F.col(id_col).isNull()))
+    return stay.select(*[f"`{c}`" for c in documents.columns])

@@ -11,7 +11,7 @@ documents turns it into a probability.
 The field is fitted on at most SAMPLE labelled documents, up to half of them of each label,
 chosen by a hash of their ids; each weighs as many labelled documents as it stands for, so
 that scores follow the shares of all labels. Only line features of the sample reach the
-driver. Every document is scored over its whole text.
+driver, at most CHAIN x CHAINS lines of a text. Every document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import label_sample, written
+from tidemark.llm.shared import label_sample, labelled_texts, written
 from tidemark.llm.textscan import chunks, column_bytes, word_hashes, word_spans
 
 SAMPLE = 4_000  # labelled documents that fit the field
 ROUNDS, STEPS, RATE, DECAY = 3, 150, 0.1, 1e-3
 CHAIN = 64  # lines of a training chain; longer texts give several, each with its outer neighbours' features
+CHAINS = 64  # of a training text; of a text with more lines so many chains teach, evenly spread over it
 
 LINE_FEATURES = ["log_bytes", "log_words", "word_length", "upper", "lower", "digits", "stops", "exclamation", "bars", "signs", "repeats", "near_repeats", "capital_start", "wide"]
 
@@ -217,6 +218,14 @@ def fit(features: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, labels: np.
     return field
 
 
+def _spread(lines: np.ndarray) -> np.ndarray:
+    """The lines, or CHAINS chains evenly spread over them where there are more."""
+    if len(lines) <= CHAIN * CHAINS:
+        return lines
+    begins = np.linspace(0, len(lines) - CHAIN, CHAINS).astype(int)
+    return np.concatenate([lines[a : a + CHAIN] for a in begins])
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, label, stands_for and the bytes of each document's line features, with line sizes as last column."""
     for batch in batches:
@@ -226,7 +235,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = offsets[a : b + 1]
             features, sizes, firsts = line_features(data[part[0] : part[-1]], part - part[0])
             rows = np.column_stack([features, sizes]).astype(np.float32)
-            out += [rows[x:y].tobytes() for x, y in zip(firsts[:-1], firsts[1:], strict=True)]
+            out += [_spread(rows[x:y]).tobytes() for x, y in zip(firsts[:-1], firsts[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.binary())], ["doc_id", "label", "stands_for", "lines"])
 
 
@@ -240,8 +249,7 @@ def train(documents: DataFrame, labels: DataFrame, text_col: str = "text") -> Li
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("_other"))
     known = known.where("label = _other").where(~held_out(F.col("doc_id")))
     chosen = written(label_sample(known, SAMPLE), "chosen")
-    texts = documents.select("doc_id", F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = texts.select("text", "doc_id", "label", "stands_for").mapInArrow(_lines, "doc_id long, label long, stands_for double, lines binary").collect()
+    sample = labelled_texts(documents, chosen, text_col).select("text", "doc_id", "label", "stands_for").mapInArrow(_lines, "doc_id long, label long, stands_for double, lines binary").collect()
     sample.sort(key=lambda r: (r["doc_id"], r["lines"]))
     labels_found = np.array([r["label"] for r in sample], float)
     stands_for = np.array([r["stands_for"] for r in sample], float)
@@ -278,7 +286,10 @@ def scored(documents: DataFrame, model: LineField | float, text_col: str = "text
 
 
 def line_labels(documents: DataFrame, model: LineField, text_col: str = "text") -> DataFrame:
-    """doc_id, line (counted from 0 among non-blank lines), n_bytes and good, the marginal, for every line."""
+    """doc_id, line (counted from 0 among non-blank lines), n_bytes and good, the marginal, for every line.
+
+    Null texts and texts of white space have no lines; repeated rows give their lines each; null ids stay null.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,8 +313,10 @@ def quality(documents: DataFrame, labels: DataFrame, text_col: str = "text") ->
 
     Labels are learned only from rows that are not held out, with quality 0 or 1; an id with
     both labels is left out. Null and empty texts and texts of white space have no lines and
-    the score of a text whose lines are all good. With no training row of one of the labels
-    every score is the smoothed share of good ones. Other columns are not read.
+    the score of a text whose lines are all good; very long texts are scored whole. With no
+    training row of one of the labels every score is the smoothed share of good ones. Repeated
+    rows are scored each, an empty table gives an empty result, and other columns are not read.
+    doc_id has to be a number.
     """
     score = scored(documents, train(documents, labels, text_col), text_col)
     return score.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

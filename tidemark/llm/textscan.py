@@ -12,22 +12,30 @@ import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 
+
 class WordTable:
-    """Results by word in bounded memory: when the young half is full the old half goes."""
+    """Results by word in bounded memory: when the young half is full the old half goes.
+
+    The bound is in characters, each word counting WORD_COST more; a word beyond LONGEST is made each time.
+    """
+
+    WORD_COST, LONGEST = 200, 4096
 
-    def __init__(self, words: int):
+    def __init__(self, characters: int):
         self.young: dict = {}
         self.old: dict = {}
-        self.half = max(1, words // 2)
+        self.half, self.held = characters // 2, 0
 
     def put(self, word: str, make):
         """What is known of word, from the old half or made now; it is young afterwards."""
         found = self.old.get(word)
         if found is None:
             found = make(word)
-        if len(self.young) >= self.half:
-            self.old, self.young = self.young, {}
-        self.young[word] = found
+        if len(word) <= self.LONGEST:
+            self.held += len(word) + self.WORD_COST
+            if self.held > self.half:
+                self.old, self.young, self.held = self.young, {}, len(word) + self.WORD_COST
+            self.young[word] = found
         return found
 
 

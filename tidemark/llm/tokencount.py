@@ -22,7 +22,7 @@ from tidemark.llm.textscan import WordTable
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 160_000  # some 200 bytes each
+CACHE = 32_000_000  # characters of the table of known words, each counting 200 more
 
 
 def read_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -36,7 +36,7 @@ def read_vocabulary(path: str) -> list[tuple[str, float]]:
 class CountViterbi:
     """Best score and piece count of a text; 0 pieces for an empty one."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]], cache_words: int = CACHE_WORDS):
+    def __init__(self, vocabulary: list[tuple[str, float]], cache: int = CACHE):
         import ahocorasick
 
         if any(SPACE in piece.lstrip(SPACE) for piece, _ in vocabulary) or any("\n" in piece for piece, _ in vocabulary):
@@ -49,7 +49,7 @@ class CountViterbi:
         self.unknown = min(scores.values()) - UNKNOWN_PENALTY
         self.bytes = all(f"<0x{b:02X}>" in scores for b in range(256))
         self.singles = {p for p in scores if len(p) == 1}
-        self.words = WordTable(cache_words)
+        self.words = WordTable(cache)
 
     def word(self, word: str) -> tuple[int, float]:
         """Count and score of one unit without inner cut points."""
@@ -115,8 +115,8 @@ class CountViterbi:
 def count_tokens(documents: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, n_tokens (long) and score (double), the best path's total.
 
-    Null and empty texts have 0 tokens and score 0. Repeated rows give repeated results, and
-    other columns of documents are not read. The vocabulary is read from the driver's path and
+    Null and empty texts have 0 tokens and score 0; very long texts are counted whole. Repeated
+    rows give repeated results, an empty table an empty one, and other columns are not read. The vocabulary is read from the driver's path and
     broadcast; its size does not depend on the input.
     """
     shared = documents.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))

@@ -24,7 +24,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import label_sample, written
+from tidemark.llm.shared import label_sample, labelled_texts, written
 from tidemark.llm.textscan import chunks, column_bytes, mix64, word_hashes
 
 SAMPLE = 12_000  # documents that fit lexicon, trees and calibration together
@@ -210,12 +210,13 @@ def toxicity(documents: DataFrame, labels: DataFrame, text_col: str = "text") ->
     Labels are learned only from rows that are not held out, with toxic 0 or 1; an id with
     both labels is left out. Null and empty texts are scored like texts without words. With
     no training row of one of the labels every score is the share of toxic training rows,
-    smoothed. Repeated rows are scored each; no other column of documents is read.
+    smoothed. Repeated rows are scored each, an empty table gives an empty result, and no other
+    column of documents is read. doc_id has to be a number.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("_other"))
     known = known.where("label = _other").where(~held_out(F.col("doc_id")))
     chosen = written(label_sample(known, SAMPLE), "chosen")
-    texts = documents.select("doc_id", F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = labelled_texts(documents, chosen, text_col)
     sample = written(texts.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CALIBRATION_PARTS)) == 0), "sample")
     counts = {(r[0], r[1]): r[2] for r in sample.groupBy("calibrates", "label").agg(F.sum("stands_for")).collect()}
     toxic = sum(n for (_, label), n in counts.items() if label)
