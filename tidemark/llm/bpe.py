@@ -33,6 +33,7 @@ from tidemark.llm.textscan import chunks, column_bytes
 PART_CHARS = 1 << 21  # of text that are encoded at a time
 END = 256  # the symbol that closes a word
 ARC_SLOTS = 1 << 20  # remembered arcs, eight bytes each
+WINDOW = 1 << 18  # tokens of long words whose arcs are looked up together
 LOCKSTEP = 128  # places of a word up to which all words go on together; the rest of a longer word goes alone
 
 # The byte alphabet of byte-level vocabularies. Printable bytes stand for
@@ -196,18 +197,21 @@ class TokenizationAutomaton:
         return self._labels(starts, ends, last, size)
 
     def _go_on(self, begin, stop, token, last, size) -> None:
-        """The places of long words beyond LOCKSTEP, one after the other."""
+        """The places of long words beyond LOCKSTEP, one after the other; the arcs that can matter are looked up ahead, WINDOW tokens at a time."""
         order = np.argsort(stop, kind="stable")
-        known: dict[int, bool] = {}
-        for b, e, t in zip(begin[order].tolist(), stop[order].tolist(), token[order].tolist(), strict=True):
-            before = int(last[b])
-            pair = before * self.size + t
-            if pair not in known:
-                if len(known) >= ARC_SLOTS:
-                    known.clear()
-                known[pair] = bool(self._walk(self.leads[[before]], np.array([t], np.int32))[0])
-            if known[pair]:
-                last[e], size[e] = t, e - b
+        begin, stop, token = begin[order], stop[order], token[order]
+        for a in range(0, len(begin), WINDOW):
+            b, e, t = begin[a : a + WINDOW], stop[a : a + WINDOW], token[a : a + WINDOW]
+            low, high = np.searchsorted(stop, b), np.searchsorted(stop, b, side="right")
+            counts = high - low
+            before = token[np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+            settled = size[b] > 0
+            pairs = np.unique(np.concatenate([before * np.int64(self.size) + np.repeat(t, counts), last[b[settled]] * np.int64(self.size) + t[settled]]))
+            found = self.has_arcs((pairs // self.size).astype(np.int32), (pairs % self.size).astype(np.int32))
+            on = set(pairs[found].tolist())
+            for x, y, z in zip(b.tolist(), e.tolist(), t.tolist(), strict=True):
+                if int(last[x]) * self.size + z in on:
+                    last[y], size[y] = z, y - x
 
     @staticmethod
     def _labels(starts, ends, last, size) -> tuple[np.ndarray, np.ndarray]:
