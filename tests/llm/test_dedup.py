@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, embdedup, exact, neardup, queries
+from tidemark.llm import components, embdedup, exact, neardup, queries, shared
 from tidemark.llm.shared import shared_dir
 from tests.llm.conftest import odd_rows
 
@@ -99,8 +99,10 @@ def test_near_matches_brute_force(spark, sf_dir, texts):
     assert all(r["n_shingles"] == len(sets_of(texts[r["doc_id"]])) and r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
-def test_near_large_group(spark):
+@pytest.mark.parametrize("block", [24, 2048])
+def test_near_large_group(spark, monkeypatch, block):
     """A bucket of hundreds of near copies in chains, with pivots that do not link to all."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = np.random.default_rng(3)
     rows, base = [], [f"w{k}" for k in range(60)]
     for i in range(400):
@@ -130,6 +132,26 @@ def test_near_odd_rows(odd, empty):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, -1, 1, 4, 5, 6, 7, 8, 9, 11, 12]
 
 
+def test_near_rows_that_repeat_an_id(spark):
+    """Rows with one id and different texts both stay; of equal and near ones the smallest id stays."""
+    base = " ".join(f"w{k}" for k in range(80))
+    rows = [(5, base), (5, "quite another text with more than five words in it"), (5, base), (9, base + " more"), (None, base), (3, None), (3, "")]
+    kept = neardup.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:5]) for r in kept) == [(0, base[:5]), (3, ""), (3, ""), (5, "quite"), (5, base[:5])]
+
+
+def test_third_of_all_rows_is_one_text(spark):
+    """Exact groups and the mix with one text, id and source that hold a third of all rows."""
+    same = "the same words again and again in every copy"
+    rows = [(7, same, "hot")] * 400 + [(100 + i, f"text {i} " + "word " * (i % 9), f"s{i % 4}") for i in range(800)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    groups = exact.exact_groups(table).where("id = 7").collect()
+    assert len(groups) == 400 and {(r["keep_id"], r["group_size"]) for r in groups} == {(7, 400)} and sum(r["kept"] for r in groups) == 1
+    kept = exact.drop_exact(table).collect()
+    assert len(kept) == len({t for _, t, _ in rows})
+    assert neardup.near_groups(table).where("id = 7 and component_id = 7").count() == 400
+
+
 def test_odd_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for share in (0.75, 0.9):
@@ -176,14 +198,19 @@ def vectors_brute(rows):
 
 def test_vectors_against_brute_force(spark, sf_dir):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
-    links, _ = vectors_brute(rows)
-    found = {r["vec_id"]: r["n_links"] for r in queries.op7_lattice(spark, sf_dir).collect()}
+    links, forest = vectors_brute(rows)
+    tops = {i: forest.top(i) for i, _, _ in rows}
+    found = {r["vec_id"]: r for r in queries.op7_lattice(spark, sf_dir).collect()}
     assert len(found) == len(rows)
-    assert all(found[i] <= links[n] for n, (i, _, _) in enumerate(rows))
-    assert sum(found.values()) >= 0.9 * sum(links.values())
+    assert all(found[i]["n_links"] <= links[n] and found[i]["component_id"] >= tops[i] for n, (i, _, _) in enumerate(rows))
+    assert sum(r["n_links"] for r in found.values()) >= 0.99 * sum(links.values())
+    assert all(r["kept"] == (i == r["component_id"]) for i, r in found.items()) and sum(r["component_id"] == tops[i] for i, r in found.items()) >= 0.99 * len(rows)
 
 
-def test_vectors_recall_and_odd_rows(spark):
+@pytest.mark.parametrize("block", [40, 4096])
+def test_vectors_recall_and_odd_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(embdedup, "BLOCK", block)
+    monkeypatch.setattr(embdedup, "ROWS", 16)
     rng = np.random.default_rng(11)
     rows = []
     for c in range(20):
@@ -199,7 +226,10 @@ def test_vectors_recall_and_odd_rows(spark):
     found = {r["vec_id"]: r for r in embdedup.near_vectors(table).collect()}
     assert len(found) == len(rows)
     assert all(found[i]["n_links"] <= links[n] for n, (i, _, _) in enumerate(rows))
-    assert sum(r["n_links"] for r in found.values()) >= 0.9 * sum(links.values())
+    assert sum(r["n_links"] for r in found.values()) >= 0.999 * sum(links.values())
+    tops = {i: forest.top(i) for i, _, _ in rows}
+    assert all(r["component_id"] >= tops[i] and r["kept"] == (i == r["component_id"]) for i, r in found.items())
+    assert sum(r["component_id"] == tops[i] for i, r in found.items()) >= 0.995 * len(rows)
     assert found[1000]["n_links"] >= 600 and found[2008]["component_id"] == found[1000]["component_id"]
     for i in (2000, 2001, 2002, 2003, 2004, 2005, 2006):
         assert (found[i]["n_links"], found[i]["component_id"], found[i]["kept"]) == (0, i, True)
@@ -234,6 +264,24 @@ def test_e8_decoding_is_nearest():
     assert len(embdedup.ROOTS) == 240 and np.allclose((embdedup.ROOTS**2).sum(1), 2)
 
 
+def test_shared_helpers(spark, odd):
+    assert shared.fresh(odd, "id", "ID", "new") == ["__id", "___ID", "new"]
+    hashes = odd.select("doc_id", shared.row_hash(odd).alias("h")).collect()
+    assert len({r["h"] for r in hashes if r["doc_id"] == 3}) == 1 and len({r["h"] for r in hashes}) == len(odd_rows()) - 1
+    table = spark.range(1000).select((F.col("id") % 37).alias("k"), F.col("id").alias("n"), F.lit(2).cast("long").alias("two"))
+    found = shared.running_sums(table, ["k", "n"], {"n": "before", "two": "place"}).orderBy("k", "n").collect()
+    total = 0
+    for at, r in enumerate(found):
+        assert (r["before"], r["place"]) == (total, 2 * at)
+        total += r["n"]
+    assert shared.running_sums(table.limit(0), ["k"], {"n": "before"}).count() == 0
+    with shared.scratch(spark) as folder:
+        inside = shared.written(table, "kept")
+        assert inside.inputFiles()[0].split("file:")[-1].lstrip("/").startswith(folder.split("file:")[-1].lstrip("/"))
+    with pytest.raises(Exception):
+        inside.count()
+
+
 def test_tables_lie_in_the_checkpoint_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert shared_dir(spark).startswith(named.rstrip("/"))

@@ -10,9 +10,12 @@ Each band bucket names one pivot: the member whose buckets are largest in sum, w
 of copies is the text they were made from. First every member is decided against its pivots: a
 few pairs for each document, however large its buckets. The members of one pivot then form a
 group, in which every bucket with that pivot is contained. Groups that still hold several
-components are dealt into blocks of bounded size, large components into blocks of their own, and
-pairs of blocks of different components are compared inside tasks, by sketch and then by the full
-sets. Only links leave the tasks, and no pair that could link goes untried.
+components are dealt into blocks of bounded size, large components into blocks of their own. The
+blocks of a group span a grid; a task gets the members of one cell, two blocks, and compares those
+of different components by sketch and then by the full sets, so a member is sent once for each
+block of its group that holds another component. Only links leave the tasks. A pair at the
+threshold is missed if it shares no band or if its sketches differ by far more than is likely; the
+README gives the rate of both.
 """
 
 from __future__ import annotations
@@ -41,8 +44,9 @@ SKETCH_LONGS = SKETCH_BITS // 64
 #: 0.75 it lies over 4.5 standard deviations of the estimate away.
 SKETCH_FLOOR = 0.55
 #: A block holds about so many members, or so many bytes of text for each that it could hold.
-BLOCK = 512
+BLOCK = 2048
 MEMBER_BYTES = 8192
+MEMBER = ["id", "component", "n", *[f"s{i}" for i in range(SKETCH_LONGS)], "text"]
 COLUMNS = 8192  # of a table of shingles and members that are held at a time
 
 _rng = np.random.default_rng(20240229)
@@ -201,10 +205,12 @@ def _across(one: pa.StructArray, two: pa.StructArray | None) -> list[tuple[int,
 
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the members of each cell; those of its second block are marked."""
     for batch in batches:
         for row in range(batch.num_rows):
-            one, two = (c.slice(row, 1) for c in batch.columns)
-            links = _across(one.flatten(), None if two.null_count else two.flatten())
+            second, *fields = batch.column(0).slice(row, 1).flatten().flatten()
+            members = pa.StructArray.from_arrays(fields, MEMBER)
+            links = _across(members.filter(pc.invert(second)), members.filter(second) if pc.any(second).as_py() else None)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*links, strict=True)], ["a", "b"])
 
@@ -281,35 +287,33 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one, two = known.alias("one"), known.alias("two")
     pairs = stars.withColumnRenamed("id", "member").join(one, F.col("pivot") == F.col("one.id"))
     links.test(written(_pairs(pairs.join(two, (F.col("member") == F.col("two.id")) & _close("one", "two"))), "pairs"))
-    links.add(_block_pairs(links.label(stars, "id", "component"), known, links.texts).mapInArrow(_crossed, "a long, b long"))
+    links.add(_cells(links.label(stars, "id", "component"), known, links.texts).mapInArrow(_crossed, "a long, b long"))
 
     rows = sketched.select("id", "n", "set_0", "set_1").join(sets, ["set_0", "set_1", "n"], "left")
     rows = links.label(rows.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))), "rep", "component_id")
     return rows.select("id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _block_pairs(stars: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of blocks of the members of a pivot, where these lie in several components.
-
-    two is null where a block is to be compared within itself.
-    """
+def _cells(stars: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """members of each cell, two blocks or one, of the groups that lie in several components."""
     split = stars.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("pivot")
-    placed = written(stars.join(split, "pivot").join(known, "id").withColumn("cost", F.greatest(F.lit(1.0), F.col("bytes") / MEMBER_BYTES)), "placed")
+    placed = stars.join(split, "pivot").join(known.select("id", "bytes"), "id").withColumn("cost", F.greatest(F.lit(1.0), F.col("bytes") / MEMBER_BYTES))
+    placed = written(placed.select("pivot", "id", "component", "cost"), "placed")
     costs = placed.groupBy("pivot", "component").agg(F.sum("cost").alias("own"))
     others = costs.groupBy("pivot").agg(F.sum(F.when(F.col("own") < BLOCK, F.col("own"))).alias("mixed"))
     costs = written(costs.join(others, "pivot"), "costs")
     large = F.col("own") >= BLOCK
     part = F.xxhash64("component", F.pmod(F.xxhash64("id"), F.ceil(F.col("own") / BLOCK)))
     shared = F.pmod(F.xxhash64("component"), F.ceil(F.col("mixed") / BLOCK))
-    placed = placed.join(costs, ["pivot", "component"]).withColumn("place", F.struct(large.alias("large"), F.when(large, part).otherwise(shared).alias("slot")))
-    placed = placed.select("pivot", "place", "id", "component", "n", *[f"s{i}" for i in range(SKETCH_LONGS)]).join(texts, "id")
-    member = F.struct("id", "component", "n", *[f"s{i}" for i in range(SKETCH_LONGS)], "text")
-    blocks = placed.groupBy("pivot", "place").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.collect_list(member).alias("members"))
-    blocks = written(blocks, "blocks")
-    within = blocks.where("low != high").select(F.col("members").alias("one"), F.lit(None).cast(blocks.schema["members"].dataType).alias("two"))
+    place = F.struct(large.alias("large"), F.when(large, part).otherwise(shared).alias("slot"))
+    placed = written(placed.join(costs, ["pivot", "component"]).select("pivot", "id", "component", place.alias("place")), "dealt")
+    blocks = written(placed.groupBy("pivot", "place").agg(F.min("component").alias("low"), F.max("component").alias("high")), "blocks")
     x, y = blocks.alias("x"), blocks.alias("y")
-    joined = x.join(y, "pivot").where("x.place < y.place and least(x.low, y.low) != greatest(x.high, y.high)")
-    return within.unionByName(joined.select(F.col("x.members").alias("one"), F.col("y.members").alias("two")))
+    grid = x.join(y, "pivot").where("x.place <= y.place and least(x.low, y.low) != greatest(x.high, y.high)")
+    grid = written(grid.select("pivot", F.col("x.place").alias("one"), F.col("y.place").alias("two")), "grid")
+    sides = grid.select("*", F.col("one").alias("place"), F.lit(False).alias("second")).unionByName(grid.where("one < two").select("*", F.col("two").alias("place"), F.lit(True).alias("second")))
+    sent = placed.join(sides, ["pivot", "place"]).join(known.drop("bytes"), "id").join(texts, "id")
+    return sent.groupBy("pivot", "one", "two").agg(F.collect_list(F.struct("second", *MEMBER)).alias("members")).select("members")
 
 
 def drop_near(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

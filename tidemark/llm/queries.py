@@ -16,44 +16,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and decisions of every document; labels learned outside the held-out third. Nulls, empty texts and repeated rows as quality.quality defines them."""
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document under word_bpe_49k; null counts as empty, repeated rows repeat (bpe.digests)."""
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix by weights 5, 2, 1 takes of every document; null texts have size 0, a null source is the last one (mixing.mix_report)."""
     return mixing.mix_report(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, base spans and those of the field; null counts as empty, repeated rows repeat (pii.find)."""
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents; null, empty and white texts link with nothing (neardup.near_groups)."""
     groups = neardup.near_groups(_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and decisions of every document; labels learned outside the held-out fifth. Nulls and empty texts as toxicity.toxicity defines them."""
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors within their labels; unusable vectors link with nothing (embdedup.near_vectors)."""
     return embdedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
 def op8_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document; a null id has slot 0, repeated ids share a shard (placement.place)."""
     return placement.place(_table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "slot", "shard")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents; null equals empty, the largest id stays (exact.exact_groups)."""
     groups = exact.exact_groups(_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document under piece_bpe_32k; null and empty texts have none (tokencount.count_tokens)."""
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
