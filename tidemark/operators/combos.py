@@ -1,7 +1,8 @@
 """Candidate selections: combos (combo_id, slice_ids, label) in a fixed order.
 
 Sets are built by joins: of ids with larger ids, of groups with groups. Counts are known in
-closed form before anything runs, and MAX_CANDIDATES guards against sets that no one can score.
+closed form before anything runs. Candidates are numbered range by range of their order, and
+labels are looked up in one row, so no task sees all candidates.
 """
 
 from __future__ import annotations
@@ -9,13 +10,12 @@ from __future__ import annotations
 import math
 from abc import ABC, abstractmethod
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.order import numbered_in_order
 from tidemark.plans.context import ProblemContext, TimeSlicer
 
-MAX_CANDIDATES = 10_000_000
-
 
 def subsets(items: DataFrame, column: str, k: int) -> DataFrame:
     """All k-subsets of a column's values as ascending arrays in column chosen."""
@@ -25,9 +25,7 @@ def subsets(items: DataFrame, column: str, k: int) -> DataFrame:
     return grown
 
 
-def season(month):
-    """winter, spring, summer or fall of a month number."""
-    return F.when(month.isin(12, 1, 2), "winter").when(month.isin(3, 4, 5), "spring").when(month.isin(6, 7, 8), "summer").otherwise("fall")
+SEASONS = ("winter", "spring", "summer", "fall")  # three months each, from December on
 
 
 class CombinationGenerator(ABC):
@@ -37,17 +35,10 @@ class CombinationGenerator(ABC):
 
     def generate(self, context: ProblemContext) -> DataFrame:
         """combo_id (from 0), slice_ids (array<int>), label."""
-        n = self.count(context)
-        if n > MAX_CANDIDATES:
-            raise ValueError(f"{n} candidates are more than {MAX_CANDIDATES}")
-        names = context.slices.select("slice_id", "slice_label")
-        chosen = self._chosen(context)
-        # ids follow the order of the sets: one sort, then a number per row
-        number = F.row_number().over(Window.orderBy("slice_ids")) - 1
-        numbered = chosen.withColumn("combo_id", number.cast("long"))
-        members = numbered.select("combo_id", F.posexplode("slice_ids").alias("pos", "slice_id")).join(names, "slice_id")
-        labels = members.groupBy("combo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "slice_label"))), lambda m: m["slice_label"]), ", ").alias("label"))
-        return numbered.join(labels, "combo_id").select("combo_id", "slice_ids", "label")
+        names = context.slices.agg(F.transform(F.array_sort(F.collect_list(F.struct("slice_id", "slice_label"))), lambda s: s["slice_label"]).alias("names"))
+        numbered = numbered_in_order(self._chosen(context), ["slice_ids"], "combo_id").crossJoin(F.broadcast(names))  # one row
+        label = F.array_join(F.transform("slice_ids", lambda i: F.col("names")[i]), ", ")
+        return numbered.select("combo_id", "slice_ids", label.alias("label"))
 
     @abstractmethod
     def _chosen(self, context: ProblemContext) -> DataFrame:
@@ -190,8 +181,7 @@ class GroupQuotaHierarchicalCombiGen(ExhaustiveHierarchicalCombiGen):
     def from_slicers_with_seasons(cls, parent_k: int, df: DataFrame, child_slicer: TimeSlicer, group_quota: dict[str, int], ts_col: str = "ts"):
         """Parents are months, groups their seasons."""
         mapping = parents_of(df, child_slicer, TimeSlicer("month"), ts_col)
-        names = {12: "winter", 1: "winter", 2: "winter", 3: "spring", 4: "spring", 5: "spring", 6: "summer", 7: "summer", 8: "summer"}
-        return cls(parent_k, mapping, {p: names.get(int(p[5:7]), "fall") for p in mapping.values()}, group_quota)
+        return cls(parent_k, mapping, {p: SEASONS[int(p[5:7]) % 12 // 3] for p in mapping.values()}, group_quota)
 
     def _sets(self, spark):
         parents = spark.createDataFrame([(p, self.groups[p]) for p in self._parents()], "item string, grp string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.order import numbered_in_order
 from tidemark.operators.policies import ObjectiveSet
 from tidemark.plans.context import ProblemContext
 
@@ -108,9 +109,10 @@ def _with_source(context: ProblemContext, selection: tuple[str, ...], variables:
 
 def ecdf(context: ProblemContext, selection: tuple[str, ...], variables: list[str] | None = None) -> DataFrame:
     """source, variable, value and p, one step per row; of one variable or a grid of several."""
-    per = Window.partitionBy("source", "variable")
-    rows = _with_source(context, selection, variables)
-    return rows.select("source", "variable", "value", (F.row_number().over(per.orderBy("value")) / F.count(F.lit(1)).over(per)).alias("p"))
+    rows = numbered_in_order(_with_source(context, selection, variables), ["source", "variable", "value"], "place")
+    whole = rows.groupBy("source", "variable").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    joined = rows.join(F.broadcast(whole), ["source", "variable"])  # two rows per variable
+    return joined.select("source", "variable", "value", ((F.col("place") - F.col("first") + 1) / F.col("n")).alias("p"))
 
 
 def distribution_histogram(context: ProblemContext, selection: tuple[str, ...], variables: list[str] | None = None, bins: int = 20, norm: str = "probability") -> DataFrame:

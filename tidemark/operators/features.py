@@ -5,6 +5,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +114,7 @@ class StandardStatsFeatureEngineer(FeatureEngineer):
         plain = [c for c in raw.columns if "__" in c and not c.startswith("_")]
         raw = raw.select("slice_id", *plain, *[F.when(few, 0.0).otherwise(fisher(F.col(c))).alias(c[1:]) for c in correlations])
         self._names = raw.columns[1:]
+        raw = raw.persist()  # one row per slice, read for the scale and again to be scaled
         if self.scale == "none":
             return raw.select("slice_id", *[_finite(F.col(c)).alias(c) for c in self._names])
         whole = raw.groupBy().agg(*[F.avg(c).alias(f"_m_{c}") for c in self._names], *[F.stddev_samp(c).alias(f"_s_{c}") for c in self._names])
@@ -170,18 +172,23 @@ class PCAFeatureEngineer(FeatureEngineer):
         p = len(names)
 
         def partial(frames):
-            n, total, square = 0, np.zeros(p), np.zeros((p, p))
+            """Row i of the sums of products of a partition's vectors, the sums themselves as row p, their number as its last entry."""
+            sums = np.zeros((p + 1, p + 1))
             for frame in frames:
-                block = np.array(frame["x"].tolist(), float).reshape(-1, p)
-                n, total, square = n + len(block), total + block.sum(axis=0), square + block.T @ block
-            import pandas as pd
-
-            yield pd.DataFrame({"n": [n], "total": [total.tolist()], "square": [square.ravel().tolist()]})
-
-        parts = x.select("x").mapInPandas(partial, "n long, total array<double>, square array<double>").where("n > 0").collect()
-        n = sum(r["n"] for r in parts)
-        mean = sum((np.array(r["total"]) for r in parts), np.zeros(p)) / max(n, 1)
-        square = sum((np.array(r["square"]).reshape(p, p) for r in parts), np.zeros((p, p)))
+                block = np.column_stack([np.array(frame["x"].tolist(), float).reshape(-1, p), np.ones(len(frame))])
+                sums += block.T @ block
+            yield pd.DataFrame({"i": np.arange(p + 1), "sums": list(sums)})
+
+        def added(frame):
+            return pd.DataFrame({"i": [frame["i"].iloc[0]], "sums": [np.sum(frame["sums"].tolist(), axis=0)]})
+
+        # partitions are added up row by row in tasks, so that one matrix reaches the driver
+        parts = x.select("x").mapInPandas(partial, "i int, sums array<double>").groupBy("i").applyInPandas(added, "i int, sums array<double>").collect()
+        table = np.zeros((p + 1, p + 1))
+        for r in parts:
+            table[r["i"]] = r["sums"]
+        n = int(round(table[p, p]))
+        mean, square = table[p, :p] / max(n, 1), table[:p, :p]
         covariance = (square - n * np.outer(mean, mean)) / max(n - 1, 1)
         values, vectors = np.linalg.eigh(covariance)
         order = np.argsort(-values)[: min(n, p)]

@@ -48,7 +48,8 @@ class KMedoidsClustersizeRepresentation(RepresentationModel):
 
     def weigh(self, combination):
         reps = F.broadcast(self._reps(combination))
-        near = self.context.distances.join(reps, F.col("j") == F.col("rep_slice_id")).groupBy("i").agg(F.min_by("rep_slice_id", F.struct("d", "pos")).alias("rep_slice_id"))
+        d = self.context.distances_to(reps.withColumnRenamed("rep_slice_id", "slice_id"))
+        near = d.join(reps, F.col("j") == F.col("rep_slice_id")).groupBy("i").agg(F.min_by("rep_slice_id", F.struct("d", "pos")).alias("rep_slice_id"))
         shares = near.groupBy("rep_slice_id").agg(F.count(F.lit(1)).alias("n"))
         total = self.context.slices.count()
         joined = reps.select("rep_slice_id").join(shares, "rep_slice_id", "left")
@@ -70,9 +71,9 @@ class BlendedRepresentationModel(RepresentationModel):
 
         def blend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                for s, z in zip(frame["slice_id"], frame["x"], strict=True):
-                    if ids:
-                        yield pd.DataFrame({"slice_id": s, "rep_slice_id": ids, "weight": simplex_weights(np.asarray(z, float), vertices)})
+                if ids and len(frame):
+                    found = np.concatenate([simplex_weights(np.asarray(z, float), vertices) for z in frame["x"]])
+                    yield pd.DataFrame({"slice_id": np.repeat(frame["slice_id"].to_numpy(), len(ids)), "rep_slice_id": np.tile(ids, len(frame)), "weight": found})
 
         return x.mapInPandas(blend, "slice_id int, rep_slice_id int, weight double")
 

@@ -11,11 +11,13 @@ from abc import ABC, abstractmethod
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tidemark.functions.kernels import dtw_abs, dtw_multivariate
+from tidemark.functions.order import numbered_in_order
 from tidemark.operators.combos import members_of
 from tidemark.operators.features import DirectProfileFeatureEngineer
 from tidemark.plans.context import ProblemContext
@@ -33,6 +35,7 @@ class ScoreComponent(ABC):
 
     name: str
     direction: str = "min"
+    empty: float = float("nan")  # of a selection without slices, or without values
 
     def prepare(self, context: ProblemContext) -> None:
         self.context = context
@@ -46,7 +49,7 @@ class ScoreComponent(ABC):
         chosen = self.context.slices.where(F.col("slice_label").isin(list(combination)))
         one = chosen.agg(F.array_sort(F.collect_list("slice_id")).alias("slice_ids")).select(F.lit(0).cast("long").alias("combo_id"), "slice_ids")
         found = self.score_all(members_of(one)).first()
-        return float("nan") if found is None or found["score"] is None else found["score"]
+        return self.empty if found is None or found["score"] is None else found["score"]
 
     def _weight(self, weights: dict[str, float] | None) -> Column:
         known = normalised_weights(weights, self.context.variables)
@@ -61,49 +64,91 @@ def _spread(context: ProblemContext, low: float, high: float) -> DataFrame:
     return found.select("variable", F.when(width == 0, 1.0).otherwise(width).alias("spread"))
 
 
-class WassersteinFidelity(ScoreComponent):
-    """Weighted sum over variables of the first Wasserstein distance to the whole, in quartile ranges.
+class _Curves(ScoreComponent):
+    """Shared by scores that compare whole distributions value by value.
 
-    Each slice holds, per variable, its cumulative counts over the variable's distinct values
-    as one array; a candidate's distribution is the sum of its members' arrays.
+    A variable's distinct values are cut into chunks of CHUNK. Candidates meet a chunk of the
+    whole in groups of GROUP, as one block of arrays, so neither a row nor a task holds a whole
+    distribution.
     """
 
-    name = "wasserstein"
+    CHUNK = 4096
+    GROUP = 512
 
     def __init__(self, variable_weights: dict[str, float] | None = None):
         self.variable_weights = variable_weights
 
     def prepare(self, context):
         super().prepare(context)
-        counts = context.value_counts
-        by_value = Window.partitionBy("variable").orderBy("value")
-        whole = Window.partitionBy("variable")
-        grid = counts.groupBy("variable", "value").agg(F.sum("n").alias("n"))
-        grid = grid.select("variable", "value", (F.row_number().over(by_value)).alias("at"), (F.sum("n").over(by_value) / F.sum("n").over(whole)).alias("cdf"), F.coalesce(F.lead("value").over(by_value) - F.col("value"), F.lit(0.0)).alias("gap")).persist()
-        in_order = F.array_sort(F.collect_list(F.struct("at", "cdf", "gap")))
-        full = grid.groupBy("variable").agg(in_order.alias("g"))
-        full = full.select("variable", F.transform("g", lambda s: s["cdf"]).alias("cdf"), F.transform("g", lambda s: s["gap"]).alias("gap"))
-        self.full = full.join(_spread(context, 0.25, 0.75), "variable")
-        spine = context.slices.select("slice_id").crossJoin(grid.select("variable", "value", "at"))
-        dense = spine.join(counts, ["slice_id", "variable", "value"], "left").select("slice_id", "variable", "at", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
-        up_to = Window.partitionBy("slice_id", "variable").orderBy("at")
-        dense = dense.withColumn("n", F.sum("n").over(up_to))
-        self.arrays = dense.groupBy("slice_id", "variable").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda s: s["n"]).alias("cum")).persist()
+        self.spread = _spread(context, 0.25, 0.75).persist()
+        values = context.value_counts.groupBy("variable", "value").agg(F.sum("n").alias("n"))
+        placed = numbered_in_order(values, ["variable", "value"], "place", {"n": "before"})
+        first = placed.groupBy("variable").agg(F.min("place").alias("place_0"), F.min("before").alias("before_0"), F.sum("n").alias("total"))
+        placed = placed.join(F.broadcast(first), "variable")  # one row per variable
+        #: variable, value, n, at (place among the variable's values), before (rows with smaller values) and total
+        self.grid = placed.select("variable", "value", "n", (F.col("place") - F.col("place_0")).alias("at"), (F.col("before") - F.col("before_0")).alias("before"), "total").persist()
+
+    def _compared(self, own: DataFrame, full: DataFrame, function, schema: str) -> DataFrame:
+        """function(own rows, rows of the whole) for each variable, chunk and group of candidates."""
+        most = own.agg(F.max("combo_id")).first()[0] or 0
+        own = own.withColumn("part", F.expr(f"combo_id div {self.GROUP}"))
+        full = full.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most // self.GROUP).cast("long"))))
+        full = full.select(*[F.col(c).alias(c) for c in full.columns])  # columns of its own, whatever both sides come from
+        keys = ["variable", "chunk", "part"]
+        return own.groupBy(*keys).cogroup(full.groupBy(*keys)).applyInArrow(function, schema)
+
+
+class WassersteinFidelity(_Curves):
+    """Weighted sum over variables of the first Wasserstein distance to the whole, in quartile ranges.
+
+    The distance is the sum over the whole's distinct values of the difference of the two
+    distribution functions times the gap to the next value. A slice holds, per chunk of
+    values, its counts there and how many rows it has below.
+    """
+
+    name = "wasserstein"
+
+    def prepare(self, context):
+        super().prepare(context)
+        chunk = F.expr(f"at div {self.CHUNK}").alias("chunk")
+        following = self.grid.select("variable", (F.col("at") - 1).alias("at"), F.col("value").alias("next"))
+        steps = self.grid.join(following, ["variable", "at"], "left").select("variable", chunk, F.struct("at", ((F.col("before") + F.col("n")) / F.col("total")).alias("cdf"), F.coalesce(F.col("next") - F.col("value"), F.lit(0.0)).alias("gap")).alias("step"))
+        self.full = steps.groupBy("variable", "chunk").agg(F.array_sort(F.collect_list("step")).alias("steps")).persist()
+        counts = context.value_counts.join(self.grid.select("variable", "value", "at"), ["variable", "value"])
+        held = counts.groupBy("slice_id", "variable", chunk).agg(F.collect_list(F.struct("at", "n")).alias("held"), F.sum("n").alias("here"))
+        chunks = self.full.select("variable", "chunk")
+        every = counts.select("slice_id", "variable").distinct().join(chunks, "variable").join(held, ["slice_id", "variable", "chunk"], "left")
+        below = Window.partitionBy("slice_id", "variable").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        every = every.withColumn("below", F.coalesce(F.sum("here").over(below), F.lit(0)))
+        self.held = every.withColumn("rows", F.sum("here").over(Window.partitionBy("slice_id", "variable"))).drop("here").persist()
 
     def score_all(self, members):
-        held = members.join(self.arrays, "slice_id").groupBy("combo_id", "variable").agg(F.collect_list("cum").alias("parts"))
-        total = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.col("parts")[0], lambda s, p: F.zip_with(s, p, lambda a, b: a + b))
-        held = held.select("combo_id", "variable", total.alias("cum")).withColumn("all", F.element_at("cum", -1))
-        held = held.join(F.broadcast(self.full), "variable")  # one row per variable
-        steps = F.zip_with(F.zip_with("cum", "cdf", lambda c, f: F.abs(F.try_divide(c, F.col("all")) - f)), "gap", lambda d, g: d * g)
-        w1 = F.aggregate(steps, F.lit(0.0), lambda s, v: s + v)
-        return held.groupBy("combo_id").agg(F.sum(self._weight(self.variable_weights) * w1 / F.col("spread")).alias("score"))
+        def distances(own: pa.Table, full: pa.Table) -> pa.Table:
+            steps = full.column("steps").combine_chunks().flatten()
+            at, cdf, gap = (steps.field(k).to_numpy(zero_copy_only=False) for k in ("at", "cdf", "gap"))
+            ids, row = np.unique(own.column("combo_id").to_numpy(), return_inverse=True)
+            below, rows = np.zeros(len(ids)), np.zeros(len(ids))
+            np.add.at(below, row, own.column("below").to_numpy())
+            np.add.at(rows, row, own.column("rows").to_numpy())
+            counts = np.zeros((len(ids), len(at)))
+            held = own.column("held").combine_chunks()
+            lengths = held.value_lengths().fill_null(0).to_numpy()
+            entries = held.flatten()
+            if len(at) and len(entries):
+                np.add.at(counts, (np.repeat(row, lengths), entries.field("at").to_numpy() - at[0]), entries.field("n").to_numpy())
+            cdf_own = (below[:, None] + np.cumsum(counts, axis=1)) / rows[:, None]
+            variable = own.column("variable")[0].as_py() if len(ids) else ""
+            return pa.table({"combo_id": ids, "variable": pa.array([variable] * len(ids), pa.string()), "d": np.abs(cdf_own - cdf[None, :]) @ gap})
+
+        own = members.select("combo_id", "slice_id").join(self.held, "slice_id").drop("slice_id")
+        found = self._compared(own, self.full, distances, "combo_id long, variable string, d double").join(F.broadcast(self.spread), "variable")  # one row per variable
+        return found.groupBy("combo_id").agg(F.sum(self._weight(self.variable_weights) * F.col("d") / F.col("spread")).alias("score"))
 
 
 class DurationCurveFidelity(ScoreComponent):
     """Weighted sum of root mean square differences of quantiles, in quartile ranges."""
 
-    name = "nrmse_duration_curve"
+    name, empty = "nrmse_duration_curve", float("inf")
 
     def __init__(self, n_quantiles: int = 101, variable_weights: dict[str, float] | None = None):
         self.points = [float(p) for p in np.linspace(0, 1, n_quantiles)]
@@ -119,37 +164,63 @@ class DurationCurveFidelity(ScoreComponent):
         return own.join(F.broadcast(full), "variable").groupBy("combo_id").agg(F.sum(self._weight(self.variable_weights) * rmse / F.col("spread")).alias("score"))
 
 
-class NRMSEFidelity(ScoreComponent):
+class NRMSEFidelity(_Curves):
     """Weighted sum of root mean square differences of full duration curves, in means.
 
     A candidate's sorted values are resampled to the ranks of the whole, which is its quantile
-    function at i / (n - 1). A variable of negative mean gives a negative term.
+    function at i / (n - 1). A variable of negative mean gives a negative term. Ranks of the
+    whole are compared in chunks, each with the part of the candidate's curve that it needs.
     """
 
-    name = "nrmse"
+    name, empty = "nrmse", float("inf")
 
-    def __init__(self, variable_weights: dict[str, float] | None = None):
-        self.variable_weights = variable_weights
+    def prepare(self, context):
+        super().prepare(context)
+        last = F.col("before") + F.col("n") - 1
+        chunks = F.explode(F.sequence(F.expr(f"before div {self.CHUNK}"), F.expr(f"(before + n - 1) div {self.CHUNK}"))).alias("chunk")
+        runs = self.grid.select("variable", "value", F.col("before").alias("first"), last.alias("last"), "total", chunks)
+        self.full = runs.groupBy("variable", "chunk").agg(F.array_sort(F.collect_list(F.struct("first", "last", "value"))).alias("runs"), F.first("total").alias("total")).persist()
+        self.means = self.grid.groupBy("variable").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.first("total").alias("total")).persist()
 
     def score_all(self, members):
-        @pandas_udf("double")
-        def squares(full: pd.Series, own: pd.Series) -> pd.Series:
+        size = self.CHUNK
+
+        def squares(own: pa.Table, full: pa.Table) -> pa.Table:
+            if not own.num_rows or not full.num_rows:
+                return pa.table({"combo_id": pa.array([], pa.int64()), "variable": pa.array([], pa.string()), "q": pa.array([], pa.float64())})
+            runs = full.column("runs").combine_chunks().flatten()
+            a, b, value = (runs.field(k).to_numpy(zero_copy_only=False) for k in ("first", "last", "value"))
+            chunk, n = own.column("chunk")[0].as_py(), full.column("total")[0].as_py()
+            rank = np.arange(chunk * size, min((chunk + 1) * size, n))
+            whole = value[np.searchsorted(b, rank)]
+            ids, m = own.column("combo_id").to_numpy(), own.column("rows").to_numpy()
+            own_a, own_b, own_value = (own.column(k).to_numpy() for k in ("first", "last", "value"))
+            order = np.lexsort((own_a, ids))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids[order])) + 1, [len(order)]])
             out = []
-            for f, o in zip(full, own, strict=True):
-                whole, part = (np.repeat([r["value"] for r in x], [r["n"] for r in x]) for x in (f, o))
-                at = np.linspace(0, len(part) - 1, len(whole))
-                out.append(float(((np.interp(at, np.arange(len(part)), part) - whole) ** 2).mean()))
-            return pd.Series(out)
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                on = order[x:y]
+                at = rank * ((m[on[0]] - 1) / max(n - 1, 1))
+                knots = np.column_stack([own_a[on], own_b[on]]).ravel()
+                out.append(float(((np.interp(at, knots, np.repeat(own_value[on], 2)) - whole) ** 2).sum()))
+            found = ids[order[cuts[:-1]]]
+            return pa.table({"combo_id": found, "variable": pa.array([own.column("variable")[0].as_py()] * len(found), pa.string()), "q": np.array(out)})
 
         counts = self.context.value_counts
-        curve = F.array_sort(F.collect_list(F.struct("value", "n")))
-        mean = F.sum(F.col("value") * F.col("n")) / F.sum("n")
-        whole = counts.groupBy("variable", "value").agg(F.sum("n").alias("n"))
-        full = whole.groupBy("variable").agg(curve.alias("full"), mean.alias("mean"))
-        own = members.join(counts, "slice_id").groupBy("combo_id", "variable", "value").agg(F.sum("n").alias("n"))
-        own = own.groupBy("combo_id", "variable").agg(curve.alias("own"))
-        term = self._weight(self.variable_weights) * F.sqrt(squares("full", "own")) / (F.col("mean") + TINY)
-        return own.join(full, "variable").withColumn("t", term).groupBy("combo_id").agg(F.sum("t").alias("score"))
+        own = members.select("combo_id", "slice_id").join(counts, "slice_id").groupBy("combo_id", "variable", "value").agg(F.sum("n").alias("n"))
+        whole, upward = Window.partitionBy("combo_id", "variable"), Window.partitionBy("combo_id", "variable").orderBy("value")
+        own = own.withColumns({"last": F.sum("n").over(upward) - 1, "rows": F.sum("n").over(whole)}).withColumn("first", F.col("last") - F.col("n") + 1)
+        own = own.join(F.broadcast(self.means), "variable")  # one row per variable
+        # ranks of the whole that fall between the values before and after this one
+        stretch = (F.col("total") - 1) / F.greatest(F.col("rows") - 1, F.lit(1))
+        low = F.when(F.col("first") == 0, 0).otherwise(F.floor((F.col("first") - 1) * stretch))
+        high = F.when(F.col("last") == F.col("rows") - 1, F.col("total") - 1).otherwise(F.least(F.ceil((F.col("last") + 1) * stretch), F.col("total") - 1))
+        chunks = F.explode(F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))).alias("chunk")
+        own = own.select("combo_id", "variable", "value", "first", "last", "rows", chunks)
+        found = self._compared(own, self.full, squares, "combo_id long, variable string, q double")
+        found = found.groupBy("combo_id", "variable").agg(F.sum("q").alias("q")).join(F.broadcast(self.means), "variable")
+        term = self._weight(self.variable_weights) * F.sqrt(F.col("q") / F.col("total")) / (F.col("mean") + TINY)
+        return found.withColumn("t", term).groupBy("combo_id").agg(F.sum("t").alias("score"))
 
 
 class CorrelationFidelity(ScoreComponent):
@@ -224,7 +295,7 @@ class DiurnalFidelity(_HourProfiles):
 class DiurnalDTWFidelity(_HourProfiles):
     """Sum over variables of warped distances of mean daily profiles, in deviations of the profile."""
 
-    name = "diurnal_dtw"
+    name, empty = "diurnal_dtw", float("inf")
 
     def __init__(self, variable_weights: dict[str, float] | None = None):
         self.variable_weights = variable_weights

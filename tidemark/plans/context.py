@@ -43,8 +43,12 @@ class TimeSlicer:
 
     def unique_slices(self, df: DataFrame, ts_col: str = "ts") -> DataFrame:
         """slice_id, slice_start, slice_label and n_rows of the periods present, numbered from 0 in time order."""
-        found = df.groupBy(self.slice_start(F.col(ts_col)).alias("slice_start")).agg(F.count(F.lit(1)).alias("n_rows")).where("slice_start is not null")
-        # one row per period is left here, so that one task can number them
+        return self.numbered(df.select(self.slice_start(F.col(ts_col)).alias("slice_start")))
+
+    def numbered(self, starts: DataFrame) -> DataFrame:
+        """The same from a column slice_start of all rows."""
+        found = starts.groupBy("slice_start").agg(F.count(F.lit(1)).alias("n_rows")).where("slice_start is not null")
+        # one row per calendar period is left here, so that one task can number them
         number = F.row_number().over(Window.orderBy("slice_start")) - 1
         return found.select(number.cast("int").alias("slice_id"), "slice_start", self.slice_label(F.col("slice_start")).alias("slice_label"), "n_rows")
 
@@ -54,6 +58,11 @@ class TimeSlicer:
         return self.labels_for_index(df, ts_col).where(F.col("slice_label").isin(labels)).select(ts_col)
 
 
+def _distances(one: DataFrame, two: DataFrame) -> DataFrame:
+    square = F.aggregate(F.zip_with("a.x", "b.x", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    return one.alias("a").crossJoin(two.alias("b")).select(F.col("a.slice_id").alias("i"), F.col("b.slice_id").alias("j"), F.sqrt(square).alias("d"))
+
+
 @dataclass(frozen=True)
 class ProblemContext:
     """A series with its slicer, and features once they are computed. Never changed in place.
@@ -71,17 +80,21 @@ class ProblemContext:
     def variables(self) -> list[str]:
         return [f.name for f in self.df.schema.fields if f.name != self.ts_col and isinstance(f.dataType, NumericType)]
 
+    @cached_property
+    def _series(self) -> DataFrame:
+        """ts, slice_start and the variables as doubles without NaN; computed once, whatever reads it."""
+        kinds = {f.name: f.dataType for f in self.df.schema.fields}
+        values = [(F.nanvl(F.col(c), F.lit(None).cast("double")) if isinstance(kinds[c], DoubleType) else F.col(c).cast("double")).alias(c) for c in self.variables]
+        return self.df.select(F.col(self.ts_col).alias("ts"), self.slicer.slice_start(F.col(self.ts_col)).alias("slice_start"), *values).persist()
+
     @cached_property
     def slices(self) -> DataFrame:
-        return self.slicer.unique_slices(self.df, self.ts_col).persist()
+        return self.slicer.numbered(self._series.select("slice_start")).persist()
 
     @cached_property
     def rows(self) -> DataFrame:
         """ts, slice_id and the variables as doubles without NaN."""
-        kinds = {f.name: f.dataType for f in self.df.schema.fields}
-        values = [(F.nanvl(F.col(c), F.lit(None).cast("double")) if isinstance(kinds[c], DoubleType) else F.col(c).cast("double")).alias(c) for c in self.variables]
-        plain = self.df.select(F.col(self.ts_col).alias("ts"), self.slicer.slice_start(F.col(self.ts_col)).alias("slice_start"), *values)
-        return plain.join(self.slices.select("slice_id", "slice_start"), "slice_start").drop("slice_start")
+        return self._series.join(self.slices.select("slice_id", "slice_start"), "slice_start").drop("slice_start")
 
     @cached_property
     def observations(self) -> DataFrame:
@@ -111,10 +124,14 @@ class ProblemContext:
 
     @cached_property
     def distances(self) -> DataFrame:
-        """i, j and d, the Euclidean distance of features, for all pairs of slices."""
+        """i, j and d, the Euclidean distance of features, for all pairs of slices; the square of their number by definition."""
         x = self.feature_vectors().persist()
-        square = F.aggregate(F.zip_with("a.x", "b.x", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-        return x.alias("a").crossJoin(x.alias("b")).select(F.col("a.slice_id").alias("i"), F.col("b.slice_id").alias("j"), F.sqrt(square).alias("d")).persist()
+        return _distances(x, x).persist()
+
+    def distances_to(self, selected: DataFrame) -> DataFrame:
+        """i, j and d from every slice to those in selected (slice_id) alone."""
+        x = self.feature_vectors()
+        return _distances(x, x.join(F.broadcast(selected.select("slice_id")), "slice_id", "left_semi"))
 
     def with_features(self, features: DataFrame) -> ProblemContext:
         """A new context with one row of features per slice; a slice without features is refused."""
