@@ -1,11 +1,13 @@
 """Search algorithms: generate and test, and four constructions.
 
 Constructions work on the slice table: distances and errors are DataFrame jobs per step, and
-what reaches the driver is one row per step or per selected slice.
+what reaches the driver is one row per step or per selected slice, and for merging runs of
+slices one row per slice.
 """
 
 from __future__ import annotations
 
+import heapq
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 
@@ -17,11 +19,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.kernels import nonnegative_weights, simplex_weights
 from tidemark.operators.combos import CombinationGenerator
 from tidemark.operators.policies import ObjectiveSet, SelectionPolicy
-from tidemark.plans.context import ProblemContext
+from tidemark.plans.context import METRICS, ProblemContext
 from tidemark.plans.experiment import RepSetResult, representatives_of
 
-MAX_WARD_SLICES = 20_000
-
 
 class SearchAlgorithm(ABC):
     gives_weights = False
@@ -73,49 +73,96 @@ class ObjectiveDrivenCombinatorialSearchAlgorithm(ObjectiveDrivenSearchAlgorithm
 
 
 class KMedoidsSearch(SearchAlgorithm):
-    """k medoids by alternating assignment and update from a farthest-first start.
-
-    Deterministic: ties go to the smaller slice id. inertia is the sum of distances to the
-    medoids; a cluster's wcss is taken around its centroid.
+    """k medoids on the distances of all pairs of slices.
+
+    method 'alternate' assigns slices and updates each medoid in turn; 'pam' makes the swap of
+    a medoid with another slice that lowers the sum of distances most, as long as one does.
+    init 'k-medoids++' draws starting medoids in proportion to squared distances, with
+    random_state as seed; without one it takes the farthest slice each time, from the most
+    central on. 'random' draws without weights, 'heuristic' takes the k most central slices
+    and 'build' adds the slice that lowers the sum of distances most. Ties go to the smaller
+    slice id. inertia is the sum of distances to the medoids; wcss is taken around centroids.
     """
 
     gives_weights = True
 
-    def __init__(self, k: int, max_iter: int = 50):
-        self.k, self.max_iter = k, max_iter
+    def __init__(self, k: int, metric: str = "euclidean", method: str = "alternate", init: str = "k-medoids++", random_state: int | None = None, max_iter: int = 300):
+        if metric not in METRICS or method not in ("alternate", "pam") or init not in ("k-medoids++", "random", "heuristic", "build"):
+            raise ValueError(f"unknown metric, method or init: {metric!r}, {method!r}, {init!r}")
+        self.k, self.metric, self.method, self.init, self.random_state, self.max_iter = k, metric, method, init, random_state, max_iter
 
-    def _assigned(self, context: ProblemContext, medoids: list[int]) -> DataFrame:
-        near = context.distances.where(F.col("j").isin(medoids))
+    @staticmethod
+    def _assigned(d: DataFrame, medoids: list[int]) -> DataFrame:
+        near = d.where(F.col("j").isin(medoids))
         return near.groupBy(F.col("i").alias("slice_id")).agg(F.min_by("j", F.struct("d", "j")).alias("medoid"), F.min("d").alias("d"))
 
-    def find_selection(self, context):
-        d = context.distances
-        total = d.groupBy("i").agg(F.sum("d").alias("s"))
-        medoids = [total.agg(F.min_by("i", F.struct("s", "i"))).first()[0]]
+    def _drawn(self, step: int):
+        """A number between 0 and 1 for each slice, by seed and step."""
+        return (F.pmod(F.xxhash64("slice_id", F.lit(self.random_state or 0), F.lit(step)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+    def _start(self, context: ProblemContext, d: DataFrame) -> list[int]:
+        central = d.groupBy(F.col("i").alias("slice_id")).agg(F.sum("d").alias("s"))
+        if self.init == "heuristic":
+            return sorted(r["slice_id"] for r in central.orderBy("s", "slice_id").limit(self.k).collect())
+        if self.init == "random":
+            return sorted(r["slice_id"] for r in context.slices.orderBy(self._drawn(0), "slice_id").limit(self.k).collect())
+        by_seed = self.init == "k-medoids++" and self.random_state is not None
+        first = context.slices.agg(F.min_by("slice_id", self._drawn(0))) if by_seed else central.agg(F.min_by("slice_id", F.struct("s", "slice_id")))
+        medoids = [first.first()[0]]
         while len(medoids) < self.k:
-            far = self._assigned(context, medoids).where(~F.col("slice_id").isin(medoids))
-            found = far.agg(F.max_by("slice_id", F.struct("d", -F.col("slice_id")))).first()[0]
-            if found is None:
-                raise ValueError("k is larger than the number of slices")
-            medoids.append(found)
-        medoids.sort()
+            near = self._assigned(d, medoids)
+            far = near.where(~F.col("slice_id").isin(medoids))
+            if self.init == "build":
+                now = near.select(F.col("slice_id").alias("i"), F.col("d").alias("now"))
+                left = d.where(~F.col("j").isin(medoids)).join(now, "i").groupBy("j").agg(F.sum(F.least("d", "now")).alias("s"))
+                found = left.agg(F.min_by("j", F.struct("s", "j")))
+            elif by_seed:
+                # the smallest of exponential waiting times with rates of squared distances
+                wait = F.try_divide(-F.log(self._drawn(len(medoids))), F.col("d") * F.col("d"))
+                found = far.agg(F.min_by("slice_id", F.struct(wait.isNull(), wait, "slice_id")))
+            else:
+                found = far.agg(F.max_by("slice_id", F.struct("d", -F.col("slice_id"))))
+            medoids.append(found.first()[0])
+        return sorted(medoids)
+
+    def _updated(self, d: DataFrame, medoids: list[int]) -> list[int]:
+        """Of each cluster the member with the smallest sum of distances to the others."""
+        a = self._assigned(d, medoids).select(F.col("slice_id").alias("i"), "medoid")
+        inside = d.join(a, "i").join(a.select(F.col("i").alias("j"), F.col("medoid").alias("other")), "j").where("medoid = other")
+        costs = inside.groupBy("medoid", "i").agg(F.sum("d").alias("s"))
+        return sorted(r["m"] for r in costs.groupBy("medoid").agg(F.min_by("i", F.struct("s", "i")).alias("m")).collect())
+
+    def _swapped(self, d: DataFrame, medoids: list[int]) -> list[int]:
+        """Medoids after the best swap; the same where none helps."""
+        held = d.where(F.col("j").isin(medoids)).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("d", "j"))).alias("m"))
+        near = held.select("i", F.col("m")[0]["j"].alias("medoid"), F.col("m")[0]["d"].alias("d1"), F.coalesce(F.get("m", F.lit(1))["d"], F.lit(float("inf"))).alias("d2"))
+        both = d.where(~F.col("j").isin(medoids)).join(near, "i")
+        gain, loss = F.least(F.col("d") - F.col("d1"), F.lit(0.0)), F.least("d", "d2") - F.col("d1")
+        sums = both.groupBy("j", "medoid").agg(F.sum(gain).alias("gain"), F.sum(loss - gain).alias("more"))
+        total = sums.groupBy("j").agg(F.sum("gain").alias("all"))
+        best = sums.join(total, "j").select("j", "medoid", (F.col("all") + F.col("more")).alias("change")).agg(F.min(F.struct("change", "medoid", "j")).alias("best")).first()[0]
+        if best is None or best["change"] >= -1e-12:
+            return medoids
+        return sorted([m for m in medoids if m != best["medoid"]] + [best["j"]])
+
+    def find_selection(self, context):
+        if not 1 <= self.k <= context.slices.count():
+            raise ValueError("k must lie between 1 and the number of slices")
+        d = context.distances_by(self.metric)
+        medoids, steps = self._start(context, d), 0
         for steps in range(1, self.max_iter + 1):
-            assigned = self._assigned(context, medoids)
-            a = assigned.select(F.col("slice_id").alias("i"), "medoid")
-            inside = d.join(a, "i").join(a.select(F.col("i").alias("j"), F.col("medoid").alias("other")), "j").where("medoid = other")
-            costs = inside.groupBy("medoid", F.col("i")).agg(F.sum("d").alias("s"))
-            new = sorted(r["m"] for r in costs.groupBy("medoid").agg(F.min_by("i", F.struct("s", "i")).alias("m")).collect())
+            new = self._updated(d, medoids) if self.method == "alternate" else self._swapped(d, medoids)
             if new == medoids:
                 break
             medoids = new
-        assigned = self._assigned(context, medoids)
-        clusters = cluster_table(context, assigned.select("slice_id", F.col("medoid").alias("cluster")))
-        sizes = {r["cluster"]: r["size"] for r in clusters.collect()}
-        n = sum(sizes.values())
+        assigned = self._assigned(d, medoids)
+        clusters = cluster_table(context, assigned.select("slice_id", F.col("medoid").alias("cluster"))).persist()
+        rows = {r["cluster"]: r for r in clusters.collect()}
+        n, wcss = sum(r["size"] for r in rows.values()), sum(r["wcss"] for r in rows.values())
         inertia = assigned.agg(F.sum("d")).first()[0]
         selection = _labels(context, medoids)
-        weights = _weights(context, [(m, sizes.get(m, 0) / n) for m in medoids])
-        return RepSetResult(context, "subset", selection, {"inertia": inertia}, representatives_of(context, selection), weights, {"inertia": inertia, "n_iter": steps, "cluster_info": clusters})
+        weights = _weights(context, [(m, rows[m]["size"] / n if m in rows else 0.0) for m in medoids])
+        return RepSetResult(context, "subset", selection, {"wcss": wcss}, representatives_of(context, selection), weights, {"inertia": inertia, "n_iter": steps, "cluster_info": clusters})
 
 
 def cluster_table(context: ProblemContext, assigned: DataFrame) -> DataFrame:
@@ -127,12 +174,15 @@ def cluster_table(context: ProblemContext, assigned: DataFrame) -> DataFrame:
 
 
 class CTPCSearch(SearchAlgorithm):
-    """Chronological clusters: runs of consecutive slices.
-
-    linkage 'ward' merges the pair of neighbours whose variance grows least. 'single',
-    'complete' and 'average' on a chain all come to cutting the k - 1 widest gaps between
-    consecutive slices, which needs only a window. Segments are numbered in time order; the
-    representative is the member nearest to the centroid.
+    """Chronological clusters: runs of consecutive slices, merged with a neighbour while there are more than k.
+
+    linkage 'ward' merges the neighbours whose variance grows least, 'complete' and 'average'
+    those with the smallest largest or mean distance between members. 'single' comes to cutting
+    the k - 1 widest gaps between consecutive slices, which needs no merging. (Structured
+    clustering on a chain that never combines distances gives the gap cut for 'complete' and
+    'average' too; here they have their textbook meaning.) Merging is one step after the other,
+    on the feature vectors of all slices, which reach the driver: one row per calendar period.
+    Segments are numbered in time order; the representative is the member nearest to the centroid.
     """
 
     gives_weights = True
@@ -146,31 +196,11 @@ class CTPCSearch(SearchAlgorithm):
         """slice_id and cluster, numbered from 0 in time order."""
         if self.k < 1 or self.k > context.slices.count():
             raise ValueError("k must lie between 1 and the number of slices")
-        return self._ward(context) if self.linkage == "ward" else gap_segments(context, self.k)
-
-    def _ward(self, context: ProblemContext) -> DataFrame:
-        n = context.slices.count()
-        if n > MAX_WARD_SLICES:
-            raise ValueError(f"ward merges at most {MAX_WARD_SLICES} slices; use linkage 'single'")
-        x = context.feature_vectors().orderBy("slice_id").collect()
-        centres = [np.array(r["x"], float) for r in x]
-        sizes, starts = [1] * n, list(range(n))
-
-        def growth(i: int) -> float:
-            gap = centres[i] - centres[i + 1]
-            return sizes[i] * sizes[i + 1] / (sizes[i] + sizes[i + 1]) * float(gap @ gap)
-
-        costs = [growth(i) for i in range(n - 1)]
-        while len(sizes) > self.k:
-            i = int(np.argmin(costs))
-            whole = sizes[i] + sizes[i + 1]
-            centres[i] = (sizes[i] * centres[i] + sizes[i + 1] * centres[i + 1]) / whole
-            sizes[i] = whole
-            del centres[i + 1], sizes[i + 1], starts[i + 1], costs[i]
-            for j in (i - 1, i):
-                if 0 <= j < len(costs):
-                    costs[j] = growth(j)
-        bounds = [(c, int(x[s]["slice_id"]), int(x[s + m - 1]["slice_id"])) for c, (s, m) in enumerate(zip(starts, sizes, strict=True))]
+        if self.linkage == "single":
+            return gap_segments(context, self.k)
+        rows = context.feature_vectors().orderBy("slice_id").collect()
+        starts = merged_runs(np.array([r["x"] for r in rows], float), self.k, self.linkage)
+        bounds = [(c, int(rows[a]["slice_id"]), int(rows[b - 1]["slice_id"])) for c, (a, b) in enumerate(zip(starts, [*starts[1:], len(rows)], strict=True))]
         table = context.slices.sparkSession.createDataFrame(bounds, "cluster int, a int, b int")
         return context.slices.select("slice_id").join(F.broadcast(table), F.col("slice_id").between(F.col("a"), F.col("b"))).select("slice_id", "cluster")
 
@@ -185,12 +215,42 @@ class CTPCSearch(SearchAlgorithm):
         return RepSetResult(context, "chronological", selection, {"wcss": wcss}, representatives_of(context, selection), weights, {"segments": clusters})
 
 
+def merged_runs(x: np.ndarray, k: int, linkage: str) -> list[int]:
+    """First places of the k runs that merging neighbours leaves; of equal costs the earliest pair merges."""
+    n = len(x)
+    sums = np.vstack([np.zeros(x.shape[1]), np.cumsum(x, axis=0)])
+    end = {a: a + 1 for a in range(n)}  # of the run that starts at a
+    begin = {a + 1: a for a in range(n)}  # of the run that ends there
+
+    def cost(a: int, b: int, c: int) -> float:
+        if linkage == "ward":
+            gap = (sums[b] - sums[a]) / (b - a) - (sums[c] - sums[b]) / (c - b)
+            return (b - a) * (c - b) / (c - a) * float(gap @ gap)
+        d = np.sqrt(((x[a:b, None] - x[None, b:c]) ** 2).sum(axis=2))
+        return float(d.max() if linkage == "complete" else d.mean())
+
+    heap = [(cost(a, a + 1, a + 2), a, a + 1, a + 2) for a in range(n - 1)]
+    heapq.heapify(heap)
+    while len(end) > k:
+        _, a, b, c = heapq.heappop(heap)
+        if end.get(a) != b or end.get(b) != c:  # one of the two has merged since
+            continue
+        del end[b], begin[b]
+        end[a], begin[c] = c, a
+        if c in end:
+            heapq.heappush(heap, (cost(a, c, end[c]), a, c, end[c]))
+        if a in begin:
+            heapq.heappush(heap, (cost(begin[a], a, c), begin[a], a, c))
+    return sorted(end)
+
+
 def gap_segments(context: ProblemContext, k: int) -> DataFrame:
     """Runs of slices cut at the k - 1 largest distances between consecutive slices."""
+    x = context.feature_vectors()
+    before = x.select((F.col("slice_id") + 1).alias("slice_id"), F.col("x").alias("_before"))
+    # from here on a slice is a number and a gap: one short row per calendar period
+    gaps = x.join(before, "slice_id", "left").select("slice_id", METRICS["euclidean"]("x", "_before").alias("gap"))
     order = Window.orderBy("slice_id")
-    x = context.feature_vectors().withColumn("_before", F.lag("x").over(order))
-    square = F.aggregate(F.zip_with("x", "_before", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    gaps = x.select("slice_id", F.sqrt(square).alias("gap"))
     rank = F.row_number().over(Window.orderBy(F.col("gap").desc_nulls_last(), "slice_id"))
     cuts = gaps.withColumn("cut", ((rank < k) & F.col("gap").isNotNull()).cast("int"))
     return cuts.select("slice_id", F.sum("cut").over(order).cast("int").alias("cluster"))
@@ -200,6 +260,8 @@ class HullClusteringSearch(SearchAlgorithm):
     """Slices on the hull: the farthest from the mean, then again and again the worst projected one."""
 
     def __init__(self, k: int, hull_type: str = "convex"):
+        if hull_type not in ("convex", "conic"):
+            raise ValueError(f"unknown hull type {hull_type!r}")
         self.k, self.hull_type = k, hull_type
 
     def errors(self, context: ProblemContext, vertices: list[list[float]]) -> DataFrame:

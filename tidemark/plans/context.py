@@ -58,9 +58,28 @@ class TimeSlicer:
         return self.labels_for_index(df, ts_col).where(F.col("slice_label").isin(labels)).select(ts_col)
 
 
-def _distances(one: DataFrame, two: DataFrame) -> DataFrame:
-    square = F.aggregate(F.zip_with("a.x", "b.x", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    return one.alias("a").crossJoin(two.alias("b")).select(F.col("a.slice_id").alias("i"), F.col("b.slice_id").alias("j"), F.sqrt(square).alias("d"))
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
+def _cosine(a: str, b: str) -> Column:
+    product, one, two = (_sum(F.zip_with(x, y, lambda p, q: p * q)) for x, y in ((a, b), (a, a), (b, b)))
+    return F.greatest(1 - F.coalesce(F.try_divide(product, F.sqrt(one) * F.sqrt(two)), F.lit(0.0)), F.lit(0.0))
+
+
+#: Distances of two arrays of features.
+METRICS = {
+    "euclidean": lambda a, b: F.sqrt(_sum(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)))),
+    "sqeuclidean": lambda a, b: _sum(F.zip_with(a, b, lambda p, q: (p - q) * (p - q))),
+    "manhattan": lambda a, b: _sum(F.zip_with(a, b, lambda p, q: F.abs(p - q))),
+    "chebyshev": lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, v: F.greatest(s, v)),
+    "cosine": _cosine,
+}
+METRICS |= {"l2": METRICS["euclidean"], "l1": METRICS["manhattan"], "cityblock": METRICS["manhattan"]}
+
+
+def _distances(one: DataFrame, two: DataFrame, metric: str = "euclidean") -> DataFrame:
+    return one.alias("a").crossJoin(two.alias("b")).select(F.col("a.slice_id").alias("i"), F.col("b.slice_id").alias("j"), METRICS[metric]("a.x", "b.x").alias("d"))
 
 
 @dataclass(frozen=True)
@@ -128,6 +147,13 @@ class ProblemContext:
         x = self.feature_vectors().persist()
         return _distances(x, x).persist()
 
+    def distances_by(self, metric: str) -> DataFrame:
+        """The same by another metric of METRICS."""
+        if metric == "euclidean":
+            return self.distances
+        x = self.feature_vectors().persist()
+        return _distances(x, x, metric).persist()
+
     def distances_to(self, selected: DataFrame) -> DataFrame:
         """i, j and d from every slice to those in selected (slice_id) alone."""
         x = self.feature_vectors()
