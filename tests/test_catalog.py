@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidemark.plans import catalog
+from tidemark.plans import catalog, catalog_options  # noqa: F401
 
 
 @pytest.fixture(scope="module")

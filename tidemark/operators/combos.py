@@ -94,9 +94,8 @@ class GroupQuotaCombiGen(CombinationGenerator):
         return list(found.items())
 
     def _chosen(self, context):
-        grouped = self._grouped(context)
-        spark = context.slices.sparkSession
-        return _quota_sets(spark.createDataFrame([(g, i) for g, ids in grouped for i in ids], "grp string, item int"), self.quota).withColumnRenamed("chosen", "slice_ids")
+        rows = [(g, i) for g, ids in self._grouped(context) for i in ids]
+        return _quota_sets(context.slices.sparkSession, rows, "int", self.quota).withColumnRenamed("chosen", "slice_ids")
 
     def count(self, context):
         return math.prod(math.comb(len(ids), self.quota[g]) for g, ids in self._grouped(context))
@@ -108,13 +107,17 @@ class GroupQuotaCombiGen(CombinationGenerator):
         return all(groups.count(g) == q for g, q in self.quota.items())
 
 
-def _quota_sets(items: DataFrame, quota: dict[str, int]) -> DataFrame:
-    """Sets with quota[g] items of each group g, as ascending arrays."""
-    chosen = items.sparkSession.range(1).select(F.expr("array_repeat(0, 0)").alias("chosen"))
+def _quota_sets(spark, rows: list[tuple], kind: str, quota: dict[str, int]) -> DataFrame:
+    """Sets with quota[g] items of each group g, as ascending arrays; rows are (group, item)."""
+    items = spark.createDataFrame(rows, f"grp string, item {kind}").coalesce(1)  # one partition, so that products do not multiply partitions
+    chosen = None
     for group, q in quota.items():
         if q:
             part = subsets(items.where(F.col("grp") == group), "item", q).withColumnRenamed("chosen", "part")
-            chosen = chosen.crossJoin(part).select(F.concat("chosen", "part").alias("chosen"))
+            joined = part.select(F.col("part").alias("chosen")) if chosen is None else chosen.crossJoin(part).select(F.concat("chosen", "part").alias("chosen"))
+            chosen = joined.repartition(spark.sparkContext.defaultParallelism)
+    if chosen is None:
+        return items.limit(0).select(F.array("item").alias("chosen"))
     return chosen.select(F.array_sort("chosen").alias("chosen"))
 
 
@@ -184,13 +187,7 @@ class GroupQuotaHierarchicalCombiGen(ExhaustiveHierarchicalCombiGen):
         return cls(parent_k, mapping, {p: SEASONS[int(p[5:7]) % 12 // 3] for p in mapping.values()}, group_quota)
 
     def _sets(self, spark):
-        parents = spark.createDataFrame([(p, self.groups[p]) for p in self._parents()], "item string, grp string")
-        chosen = spark.range(1).select(F.expr("array_repeat('', 0)").alias("chosen"))
-        for group, q in self.quota.items():
-            if q:
-                part = subsets(parents.where(F.col("grp") == group), "item", q).withColumnRenamed("chosen", "part")
-                chosen = chosen.crossJoin(part).select(F.concat("chosen", "part").alias("chosen"))
-        return chosen.select(F.array_sort("chosen").alias("chosen"))
+        return _quota_sets(spark, [(self.groups[p], p) for p in self._parents()], "string", self.quota)
 
     def count(self, context):
         held = [self.groups[p] for p in self._parents()]

@@ -16,7 +16,7 @@ from tidemark.operators.combos import ExhaustiveCombiGen, ExhaustiveHierarchical
 from tidemark.operators.features import DirectProfileFeatureEngineer, FeaturePipeline, PCAFeatureEngineer, StandardStatsFeatureEngineer, slice_stats
 from tidemark.operators.policies import ObjectiveSet, ParetoMaxMinStrategy, ParetoUtopiaPolicy, WeightedSumPolicy
 from tidemark.operators.represent import BlendedRepresentationModel, KMedoidsClustersizeRepresentation, UniformRepresentationModel
-from tidemark.operators.scores import CentroidBalance, CorrelationFidelity, CoverageBalance, DiurnalDTWFidelity, DiurnalFidelity, DiversityReward, DTWFidelity, DurationCurveFidelity, NRMSEFidelity, ScoreComponent, WassersteinFidelity
+from tidemark.operators.scores import CentroidBalance, CorrelationFidelity, CoverageBalance, DiurnalFidelity, DiversityReward, DurationCurveFidelity, NRMSEFidelity, ScoreComponent, WassersteinFidelity
 from tidemark.operators.search import CTPCSearch, HullClusteringSearch, KMedoidsSearch, ObjectiveDrivenCombinatorialSearchAlgorithm, SnippetSearch, cluster_table
 from tidemark.plans.context import UNITS, ProblemContext, TimeSlicer
 from tidemark.plans.experiment import RepSetExperiment, Workflow, representatives_of
@@ -244,8 +244,6 @@ _query("score_centroid_balance", f"WITH {_HOURLY}, c AS (SELECT combo_id, f, avg
 _query("score_coverage_balance", f"""WITH {_HOURLY}, mass AS (SELECT j AS slice_id, sum(exp(-1e-7 * d * d)) AS mass FROM dist GROUP BY j),
     h AS (SELECT combo_id, mass / sum(mass) OVER (PARTITION BY combo_id) - 0.5 AS e FROM members JOIN mass USING (slice_id))
     SELECT combo_id, round(sqrt(sum(e * e)), 6) AS score FROM h GROUP BY combo_id""")(lambda spark, d: _scored(CoverageBalance(1e-7), _profiled(spark, d), 2))
-_query("score_diurnal_dtw")(lambda spark, d: _scored(DiurnalDTWFidelity(), _events(spark, d), 2))
-_query("score_dtw")(lambda spark, d: _scored(DTWFidelity(), _events(spark, d), 2))
 
 
 class _Column(ScoreComponent):
@@ -408,5 +406,3 @@ def months_experiment(spark: SparkSession, d: str, k: int = 2) -> DataFrame:
     named = context.slices.select(F.col("slice_id").alias("rep_slice_id"), "slice_label")
     return result.weights.join(named, "rep_slice_id").select("rep_slice_id", "slice_label", "weight")
 
-
-_query("experiment_months")(months_experiment)
