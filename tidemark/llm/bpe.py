@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.textscan import chunks, column_bytes
 
-PART_CHARS = 1 << 21  # of text that are encoded at a time
+PART_CHARS = 1 << 20  # of text that are encoded at a time
 END = 256  # the symbol that closes a word
+SYMBOLS = 257
 ARC_SLOTS = 1 << 20  # remembered arcs, eight bytes each
 WINDOW = 1 << 18  # tokens of long words whose arcs are looked up together
 LOCKSTEP = 128  # places of a word up to which all words go on together; the rest of a longer word goes alone
@@ -96,28 +97,25 @@ class TokenizationAutomaton:
         self.arcs = np.full(ARC_SLOTS, -1, np.int64)
 
     def _build_trie(self, pieces: dict[int, list[int]]) -> None:
-        """step[node, symbol] is the next node, 0 for none; nodes that go on come first. token[node] ends there, -1 for none."""
-        trie: list[dict[int, int]] = [{}]
+        """Sorted keys of node and symbol, and the node that each leads to; token[node] ends there, -1 for none."""
+        edges: dict[int, int] = {}
         ends = {}
         for i, piece in pieces.items():
             node = 0
             for symbol in piece:
-                if symbol not in trie[node]:
-                    trie[node][symbol] = len(trie)
-                    trie.append({})
-                node = trie[node][symbol]
+                node = edges.setdefault(node * SYMBOLS + symbol, len(edges) + 1)
             ends[node] = i
-        order = sorted(range(len(trie)), key=lambda n: not trie[n])
-        place = np.empty(len(trie), np.int32)
-        place[order] = np.arange(len(trie))
-        self.inner = sum(1 for t in trie if t)
-        self.step = np.zeros((self.inner, END + 1), np.int32)
-        for node, children in enumerate(trie):
-            for symbol, child in children.items():
-                self.step[place[node], symbol] = place[child]
-        self.token = np.full(len(trie), -1, np.int32)
-        for node, i in ends.items():
-            self.token[place[node]] = i
+        keys, nodes = np.fromiter(edges, np.int32, len(edges)), np.fromiter(edges.values(), np.int32, len(edges))
+        order = np.argsort(keys)
+        self.keys, self.nodes = keys[order], nodes[order]
+        self.token = np.full(len(edges) + 1, -1, np.int32)
+        self.token[list(ends)] = list(ends.values())
+
+    def _step(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next node of the trie, 0 for none."""
+        key = node * np.int32(SYMBOLS) + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.nodes[at], 0)
 
     def _walk(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Whether each token leads out of its state: no state that it was copied from, nor itself, lost that arc."""
@@ -156,14 +154,14 @@ class TokenizationAutomaton:
         n = len(offsets) - 1
         ends = offsets[1:] + np.arange(1, n + 1)
         starts = ends - np.diff(offsets) - 1
-        symbols = np.full(len(data) + n, END, np.int16)
+        symbols = np.full(len(data) + n, END, np.int32)
         plain = np.ones(len(symbols), bool)
         plain[ends - 1] = False
         symbols[plain] = data
         first = np.repeat(starts, ends - starts)
 
-        begin, node, length = np.flatnonzero(plain), None, 1
-        node = self.step[0, symbols[begin]]
+        begin, length = np.flatnonzero(plain), 1
+        node = self._step(np.zeros(len(begin), np.int32), symbols[begin])
         begins, stops, tokens = [], [], []
         while len(begin):
             token = self.token[node]
@@ -171,9 +169,9 @@ class TokenizationAutomaton:
             begins.append(begin[hit])
             stops.append(begin[hit] + length)
             tokens.append(token[hit])
-            on = np.flatnonzero(node < self.inner)
+            on = np.flatnonzero(symbols[begin + length - 1] != END)  # a word ends there
             begin = begin[on]
-            node = self.step[node[on], symbols[begin + length]]
+            node = self._step(node[on], symbols[begin + length])
             on = np.flatnonzero(node)
             begin, node = begin[on], node[on]
             length += 1
