@@ -5,9 +5,10 @@ The automaton reads tokens. It starts as one state that loops on every symbol. E
 an arc labelled uv spans both, and u now leads to a copy of that state without the arc v.
 What remains are the paths that byte-pair encoding itself produces, one for each word.
 
-Since all arcs with one label lead to one state, the automaton is held in integer tables: the
-state that each token leads to, and of each state the one it was copied from and the arc it
-lost. Arcs that were asked for stay in a table of fixed size. Symbols are bytes and an end
+Since all arcs with one label lead to one state, and a state differs from the one it was copied
+from by one arc, the automaton is held in integer tables: the parts of each token, the number
+of the gadget that made it, and the gadgets in the order of the arcs they took away. Arcs that
+were asked for stay in a table of fixed size. Symbols are bytes and an end
 mark; a second table, the trie of all tokens, lists the tokens that begin at each symbol.
 
 Texts are encoded many at a time, all distinct words of a part together: at each place of a
@@ -33,6 +34,7 @@ from tidemark.llm.textscan import chunks, column_bytes
 PART_CHARS = 1 << 20  # of text that are encoded at a time
 END = 256  # the symbol that closes a word
 SYMBOLS = 257
+NEVER = np.int32(2**31 - 1)  # comes after every merge
 ARC_SLOTS = 1 << 20  # remembered arcs, eight bytes each
 WINDOW = 1 << 18  # tokens of long words whose arcs are looked up together
 LOCKSTEP = 128  # places of a word up to which all words go on together; the rest of a longer word goes alone
@@ -76,20 +78,21 @@ class TokenizationAutomaton:
         used = {s for p in pieces.values() for s in p} - {END}
         if not used <= alone or not used <= closed:
             raise ValueError("a symbol of the vocabulary is no token of its own")
-        # State 0 is the start: every arc. State s > 0 was made by merge s - 1.
-        self.leads = np.zeros(self.size, np.int32)
-        self.left, self.made = np.zeros(self.size, np.int32), np.zeros(self.size, np.int32)
-        self.parent, self.lost = np.full(len(merges) + 1, -1, np.int32), np.full(len(merges) + 1, -1, np.int32)
+        # Merge k, from 1 on, is a gadget: it left of arc v out of the state that u leads to only those before it.
+        self.left, self.right, self.made = (np.zeros(self.size, np.int32) for _ in range(3))
+        pairs, numbers = np.zeros(len(merges), np.int64), np.arange(1, len(merges) + 1, dtype=np.int32)
         for k, (a, b) in enumerate(merges, 1):
             u, v, uv = vocabulary[a], vocabulary[b], vocabulary[a + b]
-            if self.made[uv]:
+            if self.made[uv] or uv in (u, v):
                 raise ValueError(f"two merges make {a + b!r}")
-            self.leads[uv] = self.leads[v]
-            self.left[uv], self.made[uv] = u, k
-            self.parent[k], self.lost[k] = self.leads[u], v
-            self.leads[u] = k
+            self.left[uv], self.right[uv], self.made[uv] = u, v, k
+            pairs[k - 1] = u * self.size + v
+        order = np.argsort(pairs, kind="stable")
+        self.pairs, self.numbers = pairs[order], numbers[order]
+        if len(merges) and (np.maximum(self.made[self.pairs // self.size], self.made[self.pairs % self.size]) >= self.numbers).any():
+            raise ValueError("a merge comes before one that makes its parts")
         # a merge that finds no arc to span, or a part that no path holds, leaves its token on no path
-        applies = self._walk(self.parent[1:], self.lost[1:])
+        applies = self._keeps((pairs // self.size).astype(np.int32), (pairs % self.size).astype(np.int32), numbers)
         for (a, b), works in zip(merges, applies.tolist(), strict=True):
             if not (works and vocabulary[a] in pieces and vocabulary[b] in pieces):
                 del pieces[vocabulary[a + b]]
@@ -117,22 +120,34 @@ class TokenizationAutomaton:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.nodes[at], 0)
 
-    def _walk(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """Whether each token leads out of its state: no state that it was copied from, nor itself, lost that arc."""
-        found = np.ones(len(states), bool)
-        at = np.flatnonzero(states)
-        s, t = states[at], tokens[at]
+    def _gadget(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The number of the merge of u and v, NEVER where there is none."""
+        key = u.astype(np.int64) * self.size + v
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.numbers[at], NEVER) if len(self.pairs) else np.full(len(key), NEVER)
+
+    def _keeps(self, before: np.ndarray, tokens: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
+        """Whether the state that a token leads to has an arc for the next; until: after the gadgets before these numbers, all by default.
+
+        A state is a copy of the one its token's right part led to when the token was made, and
+        lost an arc by each later gadget of the token; so back to the start. An arc younger than
+        a gadget went wherever its left part went.
+        """
+        found = np.ones(len(before), bool)
+        at, u = np.arange(len(before)), before
+        until = np.full(len(before), NEVER) if until is None else until
         while len(at):
-            # an arc that is younger than the state went wherever its left part already went
-            younger = self.made[t] >= s
-            while younger.any():
-                t = np.where(younger, self.left[t], t)
-                younger = self.made[t] >= s
-            lost = t == self.lost[s]
+            lost = np.zeros(len(at), bool)
+            row, v, younger = np.arange(len(at)), tokens[at], np.full(len(at), NEVER)
+            while len(row):
+                gadget = self._gadget(u[row], v)
+                hit = (gadget < until[row]) & (gadget <= younger)
+                lost[row[hit]] = True
+                on = ~hit & (self.made[v] > 0)
+                row, v, younger = row[on], self.left[v[on]], self.made[v[on]]
             found[at[lost]] = False
-            s = self.parent[s]
-            on = ~lost & (s > 0)
-            at, s, t = at[on], s[on], t[on]
+            on = ~lost & (self.made[u] > 0)
+            at, u, until = at[on], self.right[u[on]], self.made[u[on]]
         return found
 
     def has_arcs(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -144,7 +159,7 @@ class TokenizationAutomaton:
         missing = np.flatnonzero(held >> 1 != pair)
         if len(missing):
             new, back = np.unique(pair[missing], return_inverse=True)
-            known = self._walk(self.leads[new // self.size], (new % self.size).astype(np.int32))
+            known = self._keeps((new // self.size).astype(np.int32), (new % self.size).astype(np.int32))
             self.arcs[(new * 0x9E3779B1 >> 11) & (ARC_SLOTS - 1)] = new << 1 | known
             found[missing] = known[back]
         return found
