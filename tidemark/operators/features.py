@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.context import ProblemContext
+from tidemark.sources.tables import stored
 
 STATS = ("mean", "std", "q10", "q50", "q90", "iqr", "neg_share", "ramp_std")
 SATURATED = 3.8  # what stands for the Fisher transform of a correlation next to 1
@@ -19,7 +20,7 @@ class FeatureEngineer(ABC):
     """Computes features; run gives a new context that holds them."""
 
     def run(self, context: ProblemContext) -> ProblemContext:
-        return context.with_features(self.calc_and_get_features_df(context).persist())
+        return context.with_features(stored(self.calc_and_get_features_df(context), "features"))
 
     @abstractmethod
     def calc_and_get_features_df(self, context: ProblemContext) -> DataFrame:
@@ -35,7 +36,7 @@ class FeaturePipeline(FeatureEngineer):
     def calc_and_get_features_df(self, context: ProblemContext) -> DataFrame:
         features: DataFrame | None = None
         for engineer in self.engineers.values():
-            own = engineer.calc_and_get_features_df(context).persist()
+            own = stored(engineer.calc_and_get_features_df(context), "features")
             features = own if features is None else features.join(own, "slice_id")
             context = context.with_features(features)
         if features is None:
@@ -114,7 +115,7 @@ class StandardStatsFeatureEngineer(FeatureEngineer):
         plain = [c for c in raw.columns if "__" in c and not c.startswith("_")]
         raw = raw.select("slice_id", *plain, *[F.when(few, 0.0).otherwise(fisher(F.col(c))).alias(c[1:]) for c in correlations])
         self._names = raw.columns[1:]
-        raw = raw.persist()  # one row per slice, read for the scale and again to be scaled
+        raw = stored(raw, "statistics")  # one row per slice, read for the scale and again to be scaled
         if self.scale == "none":
             return raw.select("slice_id", *[_finite(F.col(c)).alias(c) for c in self._names])
         whole = raw.groupBy().agg(*[F.avg(c).alias(f"_m_{c}") for c in self._names], *[F.stddev_samp(c).alias(f"_s_{c}") for c in self._names])

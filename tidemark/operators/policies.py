@@ -16,6 +16,7 @@ from tidemark.functions.order import numbered_in_order
 from tidemark.operators.combos import members_of
 from tidemark.operators.scores import ScoreComponent
 from tidemark.plans.context import ProblemContext
+from tidemark.sources.tables import stored
 
 
 BLOCK = 512  # rows compared with each other at a time
@@ -49,10 +50,10 @@ class ObjectiveSet:
 
     def evaluate_all(self, combos: DataFrame) -> DataFrame:
         """combos with a column of scores for each component."""
-        members = members_of(combos).persist()
-        out = combos
+        combos = stored(combos, "combos")
+        members, out = members_of(combos), combos
         for name, spec in self.specs.items():
-            out = out.join(spec.component.score_all(members).withColumnRenamed("score", name), "combo_id", "left")
+            out = out.join(stored(spec.component.score_all(members).withColumnRenamed("score", name), "scores"), "combo_id", "left")
         return out
 
     def evaluate(self, combination: tuple[str, ...]) -> dict[str, float]:
@@ -170,7 +171,7 @@ def with_front(df: DataFrame, names: list[str], eps: float = 1e-9) -> DataFrame:
     """
     columns = [f"_y_{n}" for n in names]
     complete = reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in columns], F.col("feasible_mask"))
-    rows = df.where(complete).select("combo_id", *[F.col(c).cast("double").alias(c) for c in columns]).persist()
+    rows = df.where(complete).select("combo_id", *[F.col(c).cast("double").alias(c) for c in columns]).transform(stored, "points")
     schema = ", ".join(f"`{c}` double" for c in columns)
 
     def survivors(batches):
@@ -182,7 +183,7 @@ def with_front(df: DataFrame, names: list[str], eps: float = 1e-9) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T], columns)
 
     local = rows.select(*columns).mapInArrow(survivors, schema)
-    best = numbered_in_order(local.coalesce(1).mapInArrow(survivors, schema), columns, "_nth").persist()
+    best = numbered_in_order(local.coalesce(1).mapInArrow(survivors, schema), columns, "_nth").transform(stored, "front")
     left = rows
     for low in range(0, best.count(), DOMINATORS):
         some = best.where(F.col("_nth").between(low, low + DOMINATORS - 1)).select(*columns).toPandas().to_numpy(float)
@@ -220,7 +221,7 @@ class ParetoUtopiaPolicy(SelectionPolicy):
             raise ValueError(f"unknown scores: {sorted(unknown)}")
         feasible = reduce(lambda p, q: p & q, [F.col(c) <= t for c, t in self.constraints.items()], F.lit(True))
         df = oriented(evaluations, {n: meta[n] for n in names}).withColumn("feasible_mask", F.coalesce(feasible, F.lit(False)))
-        z = normalised(with_front(df.persist(), names, self.eps), names, self.normalization)
+        z = normalised(with_front(stored(df, "oriented"), names, self.eps), names, self.normalization)
         ideal = z.where("feasible_mask").agg(*[F.min(f"_z_{n}").alias(f"_i_{n}") for n in names])
         return z.crossJoin(F.broadcast(ideal)), names  # one row
 

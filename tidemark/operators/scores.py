@@ -21,6 +21,7 @@ from tidemark.functions.order import numbered_in_order
 from tidemark.operators.combos import members_of
 from tidemark.operators.features import DirectProfileFeatureEngineer
 from tidemark.plans.context import ProblemContext
+from tidemark.sources.tables import stored
 
 TINY = 1e-12
 
@@ -86,7 +87,7 @@ class _Curves(ScoreComponent):
         first = placed.groupBy("variable").agg(F.min("place").alias("place_0"), F.min("before").alias("before_0"), F.sum("n").alias("total"))
         placed = placed.join(F.broadcast(first), "variable")  # one row per variable
         #: variable, value, n, at (place among the variable's values), before (rows with smaller values) and total
-        self.grid = placed.select("variable", "value", "n", (F.col("place") - F.col("place_0")).alias("at"), (F.col("before") - F.col("before_0")).alias("before"), "total").persist()
+        self.grid = placed.select("variable", "value", "n", (F.col("place") - F.col("place_0")).alias("at"), (F.col("before") - F.col("before_0")).alias("before"), "total").transform(stored, "grid")
 
     def _compared(self, own: DataFrame, full: DataFrame, function, schema: str) -> DataFrame:
         """function(own rows, rows of the whole) for each variable, chunk and group of candidates."""
@@ -113,14 +114,14 @@ class WassersteinFidelity(_Curves):
         chunk = F.expr(f"at div {self.CHUNK}").alias("chunk")
         following = self.grid.select("variable", (F.col("at") - 1).alias("at"), F.col("value").alias("next"))
         steps = self.grid.join(following, ["variable", "at"], "left").select("variable", chunk, F.struct("at", ((F.col("before") + F.col("n")) / F.col("total")).alias("cdf"), F.coalesce(F.col("next") - F.col("value"), F.lit(0.0)).alias("gap")).alias("step"))
-        self.full = steps.groupBy("variable", "chunk").agg(F.array_sort(F.collect_list("step")).alias("steps")).persist()
+        self.full = steps.groupBy("variable", "chunk").agg(F.array_sort(F.collect_list("step")).alias("steps")).transform(stored, "steps")
         counts = context.value_counts.join(self.grid.select("variable", "value", "at"), ["variable", "value"])
         held = counts.groupBy("slice_id", "variable", chunk).agg(F.collect_list(F.struct("at", "n")).alias("held"), F.sum("n").alias("here"))
         chunks = self.full.select("variable", "chunk")
         every = counts.select("slice_id", "variable").distinct().join(chunks, "variable").join(held, ["slice_id", "variable", "chunk"], "left")
         below = Window.partitionBy("slice_id", "variable").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         every = every.withColumn("below", F.coalesce(F.sum("here").over(below), F.lit(0)))
-        self.held = every.withColumn("rows", F.sum("here").over(Window.partitionBy("slice_id", "variable"))).drop("here").persist()
+        self.held = every.withColumn("rows", F.sum("here").over(Window.partitionBy("slice_id", "variable"))).drop("here").transform(stored, "held")
 
     def score_all(self, members):
         def distances(own: pa.Table, full: pa.Table) -> pa.Table:
@@ -179,7 +180,7 @@ class NRMSEFidelity(_Curves):
         last = F.col("before") + F.col("n") - 1
         chunks = F.explode(F.sequence(F.expr(f"before div {self.CHUNK}"), F.expr(f"(before + n - 1) div {self.CHUNK}"))).alias("chunk")
         runs = self.grid.select("variable", "value", F.col("before").alias("first"), last.alias("last"), "total", chunks)
-        self.full = runs.groupBy("variable", "chunk").agg(F.array_sort(F.collect_list(F.struct("first", "last", "value"))).alias("runs"), F.first("total").alias("total")).persist()
+        self.full = runs.groupBy("variable", "chunk").agg(F.array_sort(F.collect_list(F.struct("first", "last", "value"))).alias("runs"), F.first("total").alias("total")).transform(stored, "runs")
         self.means = self.grid.groupBy("variable").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.first("total").alias("total")).persist()
 
     def score_all(self, members):
@@ -244,7 +245,7 @@ class CorrelationFidelity(ScoreComponent):
             for key, value in (("n", F.when(both, 1.0)), ("x", x), ("y", y), ("xx", x * x), ("yy", y * y), ("xy", x * y)):
                 sums.append(F.coalesce(F.sum(value), F.lit(0.0)).alias(f"{key}_{a}_{b}"))
         sums = sums or [F.count(F.lit(1)).alias("n")]
-        self.moments = centred.groupBy("slice_id").agg(*sums).persist()
+        self.moments = stored(centred.groupBy("slice_id").agg(*sums), "moments")
         self.columns = [c for c in self.moments.columns if c != "slice_id"]
         self.full = self._correlations(self.moments.agg(*[F.sum(c).alias(c) for c in self.columns])).first()
 
@@ -274,7 +275,7 @@ class _HourProfiles(ScoreComponent):
 
     def prepare(self, context):
         super().prepare(context)
-        self.hours = context.observations.groupBy("slice_id", "variable", F.hour("ts").alias("hour")).agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n")).persist()
+        self.hours = context.observations.groupBy("slice_id", "variable", F.hour("ts").alias("hour")).agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n")).transform(stored, "hours")
         self.full = self.hours.groupBy("variable", "hour").agg((F.sum("s") / F.sum("n")).alias("a"))
 
     def _own(self, members: DataFrame) -> DataFrame:
@@ -332,8 +333,8 @@ class DTWFidelity(ScoreComponent):
         p = DirectProfileFeatureEngineer().profiles(context).persist()
         pairs = p.alias("a").join(p.alias("b"), F.col("a.slice_id") < F.col("b.slice_id"))
         pairs = pairs.repartition(p.sparkSession.sparkContext.defaultParallelism * 4, "a.slice_id", "b.slice_id")
-        half = pairs.select(F.col("a.slice_id").alias("i"), F.col("b.slice_id").alias("j"), warped("a.profile", "b.profile").alias("d")).persist()
-        self.pairs = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "d")).persist()
+        half = pairs.select(F.col("a.slice_id").alias("i"), F.col("b.slice_id").alias("j"), warped("a.profile", "b.profile").alias("d")).transform(stored, "pairs")
+        self.pairs = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
 
     def score_all(self, members):
         near = members.select("combo_id", F.col("slice_id").alias("j")).join(self.pairs, "j")
@@ -377,7 +378,7 @@ class CoverageBalance(ScoreComponent):
     def prepare(self, context):
         super().prepare(context)
         kernel = F.exp(-self.gamma * F.col("d") * F.col("d"))
-        self.mass = context.distances.groupBy(F.col("j").alias("slice_id")).agg(F.sum(kernel).alias("mass")).persist()
+        self.mass = context.distances.groupBy(F.col("j").alias("slice_id")).agg(F.sum(kernel).alias("mass")).transform(stored, "mass")
 
     def score_all(self, members):
         per = Window.partitionBy("combo_id")

@@ -21,6 +21,7 @@ from tidemark.operators.combos import CombinationGenerator
 from tidemark.operators.policies import ObjectiveSet, SelectionPolicy
 from tidemark.plans.context import METRICS, ProblemContext
 from tidemark.plans.experiment import RepSetResult, representatives_of
+from tidemark.sources.tables import stored
 
 
 class SearchAlgorithm(ABC):
@@ -63,7 +64,7 @@ class ObjectiveDrivenCombinatorialSearchAlgorithm(ObjectiveDrivenSearchAlgorithm
         return self._scores
 
     def find_selection(self, context):
-        self._scores = self.evaluations(context).persist()
+        self._scores = stored(self.evaluations(context), "evaluations")
         best = self.selection_policy.select_best(self._scores, self.objective_set).first()
         if best is None:
             raise ValueError("there is no candidate")

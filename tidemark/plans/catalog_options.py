@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from tidemark.operators.search import SnippetSearch
 from tidemark.plans.catalog import _DAILY, _FEATURES, _HOURLY, _NORMAL, _OBJECTIVES, _SOURCES, _STATS, _SUPPLIERS, DAYS, ORACLES, QUERIES, _events, _long, _means, _profiled, _query, _r, _scored, _shipments, _suppliers, months_experiment
 from tidemark.plans.context import ProblemContext, TimeSlicer
 from tidemark.sources.series import EVENT_TYPES, daily_shipments, hourly_events, read_csv_series
+from tidemark.sources.tables import shared_folder, stored
 
 # Sources and context
 
@@ -25,10 +25,7 @@ from tidemark.sources.series import EVENT_TYPES, daily_shipments, hourly_events,
 @_query("csv_series", ORACLES["hourly_pivot"])
 def csv_series(spark: SparkSession, d: str) -> DataFrame:
     """The hourly series, written as CSV and loaded again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    path = f"{folder or tempfile.mkdtemp(prefix='tidemark-')}/series-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     hourly_events(spark, d).write.csv(path, header=True)
     return read_csv_series(spark, path).select("ts", *[_r(v).alias(v) for v in EVENT_TYPES])
 
@@ -265,4 +262,4 @@ def _all_additive() -> ObjectiveSet:
 @_query("pareto_all")
 def pareto_all(spark, d):
     """The Pareto front over these scores."""
-    return ParetoUtopiaPolicy().rank_all(scores_all(spark, d).persist(), _all_additive()).select("combo_id", "label", "pareto_mask", "policy_score")
+    return ParetoUtopiaPolicy().rank_all(stored(scores_all(spark, d), "scored"), _all_additive()).select("combo_id", "label", "pareto_mask", "policy_score")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, NumericType
 
+from tidemark.sources.tables import stored
+
 UNITS = ("year", "month", "week", "day", "hour")
 _LABELS = {"year": "yyyy", "month": "yyyy-MM", "day": "yyyy-MM-dd", "hour": "yyyy-MM-dd HH:mm:ss"}
 
@@ -104,16 +106,17 @@ class ProblemContext:
         """ts, slice_start and the variables as doubles without NaN; computed once, whatever reads it."""
         kinds = {f.name: f.dataType for f in self.df.schema.fields}
         values = [(F.nanvl(F.col(c), F.lit(None).cast("double")) if isinstance(kinds[c], DoubleType) else F.col(c).cast("double")).alias(c) for c in self.variables]
-        return self.df.select(F.col(self.ts_col).alias("ts"), self.slicer.slice_start(F.col(self.ts_col)).alias("slice_start"), *values).persist()
+        plain = self.df.select(F.col(self.ts_col).alias("ts"), self.slicer.slice_start(F.col(self.ts_col)).alias("slice_start"), *values)
+        return stored(plain, "series")
 
     @cached_property
     def slices(self) -> DataFrame:
-        return self.slicer.numbered(self._series.select("slice_start")).persist()
+        return stored(self.slicer.numbered(self._series.select("slice_start")), "slices")
 
     @cached_property
     def rows(self) -> DataFrame:
         """ts, slice_id and the variables as doubles without NaN."""
-        return self._series.join(self.slices.select("slice_id", "slice_start"), "slice_start").drop("slice_start")
+        return stored(self._series.join(self.slices.select("slice_id", "slice_start"), "slice_start").drop("slice_start"), "rows")
 
     @cached_property
     def observations(self) -> DataFrame:
@@ -123,7 +126,7 @@ class ProblemContext:
     @cached_property
     def value_counts(self) -> DataFrame:
         """slice_id, variable, value, n: all that distribution scores need of the series."""
-        return self.observations.groupBy("slice_id", "variable", "value").agg(F.count(F.lit(1)).alias("n")).persist()
+        return self.observations.groupBy("slice_id", "variable", "value").agg(F.count(F.lit(1)).alias("n")).transform(stored, "values")
 
     @property
     def features(self) -> DataFrame:
