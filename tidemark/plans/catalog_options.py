@@ -191,6 +191,16 @@ def snippet_best(spark, d):
     return SnippetSearch(2, first_pick="best").find_selection(_profiled(spark, d)).diagnostics["assignment"].select("i", "w", _r("d", 4).alias("d"))
 
 
+@_query("snippet_k3", f"""WITH {_HOURLY}, w AS (SELECT unnest(range(24)) AS w), dw AS (SELECT i, w, min(d * d) AS d FROM dist JOIN w ON j BETWEEN w AND w + 6 GROUP BY i, w),
+    now AS (SELECT i, d FROM dw WHERE w = 0), second AS (SELECT dw.w FROM dw JOIN now USING (i) WHERE w > 0 GROUP BY dw.w ORDER BY sum(least(dw.d, now.d)), dw.w LIMIT 1),
+    later AS (SELECT i, min(d) AS d FROM dw WHERE w = 0 OR w IN (SELECT w FROM second) GROUP BY i),
+    third AS (SELECT dw.w FROM dw JOIN later USING (i) WHERE dw.w > 0 AND dw.w NOT IN (SELECT w FROM second) GROUP BY dw.w ORDER BY sum(least(dw.d, later.d)), dw.w LIMIT 1),
+    c AS (SELECT 0 AS w, 0 AS pos UNION ALL SELECT w, 1 FROM second UNION ALL SELECT w, 2 FROM third)
+    SELECT i, CAST(arg_min(dw.w, {{'d': d, 'p': pos}}) AS INTEGER) AS w, round(min(d), 4) AS d FROM dw JOIN c USING (w) GROUP BY i""")
+def snippet_k3(spark, d):
+    return SnippetSearch(3).find_selection(_profiled(spark, d)).diagnostics["assignment"].select("i", "w", _r("d", 4).alias("d"))
+
+
 _BLENDED = ORACLES["weights_blended_k2"]
 
 
