@@ -40,9 +40,9 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 SKETCH_LONGS = SKETCH_BITS // 64
-#: Sketches whose estimate is below this are not compared further: at a true similarity of
-#: 0.75 it lies over 4.5 standard deviations of the estimate away.
-SKETCH_FLOOR = 0.55
+#: Sketches whose estimate is below this are not compared further. In a trial of 400,000 pairs of
+#: a true similarity of 0.75 no estimate was (8 were below 0.55).
+SKETCH_FLOOR = 0.45
 #: A block holds about so many members, or so many bytes of text for each that it could hold.
 BLOCK = 2048
 MEMBER_BYTES = 8192
