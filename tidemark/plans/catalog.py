@@ -29,7 +29,8 @@ ORACLES: dict[str, str] = {}
 DAYS = ("2024-01-05", "2024-01-16", "2024-01-28")
 
 _HOURLY = """
-    spine AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS ts),
+    span AS (SELECT CAST(date_trunc('day', min(ts)) AS TIMESTAMP) AS a, CAST(date_trunc('day', max(ts)) AS TIMESTAMP) + INTERVAL 23 HOUR AS b FROM events),
+    spine AS (SELECT unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM span),
     kinds AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS variable),
     sums AS (SELECT date_trunc('hour', ts) AS ts, event_type AS variable, sum(value) AS s FROM events GROUP BY 1, 2),
     obs AS (

@@ -19,9 +19,16 @@ def read_csv_series(spark: SparkSession, path: str, ts_col: str = "ts", value_co
     return raw.select(F.col(time).cast("timestamp_ntz").alias(ts_col), *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in values])
 
 
-def hourly_events(spark: SparkSession, sf_dir: str, first: str = "2024-01-01", days: int = 30) -> DataFrame:
-    """Sum of event values by hour and type, 0 where there is none, over a gap-free range of hours."""
+def hourly_events(spark: SparkSession, sf_dir: str, first: str | None = None, days: int | None = None) -> DataFrame:
+    """Sum of event values by hour and type, 0 where there is none, over a gap-free range of whole days.
+
+    The range is that of the events where first and days do not say otherwise.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_type", "value")
+    if first is None or days is None:
+        day = F.date_trunc("day", F.col("ts")).cast("date")
+        low, span = events.agg(F.min(day).cast("string"), F.datediff(F.max(day), F.min(day)) + 1).first()
+        first, days = first or low or "1970-01-01", days if days is not None else span or 0
     hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
     sums = events.groupBy(hour.alias("ts")).pivot("event_type", list(EVENT_TYPES)).agg(F.sum("value"))
     spine = spark.range(24 * days).select(F.expr(f"TIMESTAMP_NTZ '{first} 00:00:00' + make_dt_interval(0, cast(id AS int))").alias("ts"))
