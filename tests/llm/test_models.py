@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.llm import pii, quality, queries, toxicity
@@ -91,6 +92,47 @@ def test_toxicity_scores_do_not_depend_on_the_sample(spark, monkeypatch):
     assert abs(whole - part).mean() < 0.09 and abs(whole.mean() - part.mean()) < 0.05, (abs(whole - part).mean(), whole.mean(), part.mean())
 
 
+def lexicon_of(*entries: tuple[str, int]) -> np.ndarray:
+    """Keys of words (0), of their first five (1) or first four bytes (2)."""
+    keys = [toxicity._keys(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[k, 0] for w, k in entries]
+    return np.sort(np.array(keys, np.uint64))
+
+
+def plain_features(text: str) -> list[float]:
+    """The dense features of an ASCII text by loops, for the lexicon idiot, stupi- and hate-."""
+    raw = re.findall(r"[A-Za-z0-9@$]+", text)
+    words = ["".join(toxicity.LOOK_ALIKES.get(c, c) for c in w).lower() for w in raw]
+    n, size = max(1, len(words)), max(1, len(text))
+    held = [w == "idiot" for w in words]
+    stems = [h or (len(w) > 5 and w[:5] == "stupi") or (len(w) > 4 and w[:4] == "hate") for h, w in zip(held, words, strict=True)]
+    person = [w in toxicity.SECOND_PERSON for w in words]
+    near = [s and any(person[max(0, i - toxicity.REACH) : i + toxicity.REACH + 1]) for i, s in enumerate(stems)]
+    letters = [any(c.isalpha() for c in w) for w in raw]
+    obfuscated = [l and any(c in toxicity.LOOK_ALIKES for c in w) for l, w in zip(letters, raw, strict=True)]
+    capitals = [w.isalpha() and w.isupper() and len(w) > 1 for w in raw]
+    repeated = [i > 0 and words[i] == words[i - 1] for i in range(len(words))]
+    punctuation = sum(33 <= ord(c) < 127 and not c.isalnum() for c in text)
+    return [np.log1p(len(words)), sum(held) / n, sum(held), sum(stems) / n, sum(stems), sum(near) / n, sum(person) / n, sum(c.isupper() for c in text) / size, sum(capitals) / n, punctuation / size, text.count("!") / size, sum(obfuscated) / n, sum(repeated) / n]
+
+
+def test_dense_features_against_loops():
+    rng = np.random.default_rng(13)
+    words = ["you", "YOU", "1d10t", "idiot", "Stupidly", "stupi", "hated", "hate", "the", "mill", "$ay", "42", "ur!!", "a-b", "...", "walk", "WALK"]
+    texts = ["", "!!!", "idiot", *(" ".join(rng.choice(words, int(rng.integers(1, 40)))) for _ in range(60))]
+    found = toxicity.dense_features(pa.array([*texts, None]), lexicon_of(("idiot", 0), ("stupid", 1), ("hated", 2)))
+    assert found.shape == (len(texts) + 1, len(toxicity.FEATURES)) and not found[-1].any()
+    for text, row in zip(texts, found, strict=False):
+        assert np.allclose(row, plain_features(text)), (text, dict(zip(toxicity.FEATURES, zip(row, plain_features(text), strict=True), strict=True)))
+
+
+def test_lexicon_holds_what_toxic_documents_hold(spark):
+    rows = [(f"some plain words number{i} gronk", 1) for i in range(30)] + [(f"some plain words number{i} mill", 0) for i in range(60)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label long"))
+    assert np.isin(lexicon_of(("gronk", 0)), lexicon).all()
+    assert not np.isin(lexicon_of(("plain", 0), ("mill", 0), ("words", 2)), lexicon).any()
+    assert len(toxicity.learn_lexicon(spark.createDataFrame(rows[:5], "text string, label long"))) == 0
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(6)
     firsts = np.array([0, 3, 3, 4, 9])
