@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import fresh, numbered, row_hash, running_sums, written
-from tidemark.llm.textscan import mix64, word_counts
+from tidemark.llm.textscan import chunks, column_bytes, mix64, word_counts
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -269,27 +269,31 @@ def mixed_documents(documents: DataFrame, text_col: str = "text", chars_col: str
     names = documents.columns
     place, chars = names.index(text_col), names.index(chars_col) if chars_col in names else None
 
+    def cut_part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, out = [], []
+        columns = batch.column(0).flatten()
+        for row, (text, runs) in enumerate(zip(columns[place].to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            spans = [m.span() for m in _WORD.finditer(text)]
+            for copy in range(1, max(r["copies"] for r in runs) + 1):
+                stretches: list[list[int]] = []
+                for r in runs:
+                    if r["copies"] < copy:
+                        continue
+                    if stretches and stretches[-1][1] == r["first"]:
+                        stretches[-1][1] += r["words"]
+                    else:
+                        stretches.append([r["first"], r["first"] + r["words"]])
+                rows.append(row)
+                out.append("\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in stretches))
+        columns = [c.take(pa.array(rows, pa.int64())) for c in columns]
+        columns[place] = pa.array(out, pa.string())
+        if chars is not None:
+            columns[chars] = pa.array([len(t) for t in out], pa.int64()).cast(columns[chars].type)
+        return pa.RecordBatch.from_arrays(columns, names)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, out = [], []
-            columns = batch.column(0).flatten()
-            for row, (text, runs) in enumerate(zip(columns[place].to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                spans = [m.span() for m in _WORD.finditer(text)]
-                for copy in range(1, max(r["copies"] for r in runs) + 1):
-                    stretches: list[list[int]] = []
-                    for r in runs:
-                        if r["copies"] < copy:
-                            continue
-                        if stretches and stretches[-1][1] == r["first"]:
-                            stretches[-1][1] += r["words"]
-                        else:
-                            stretches.append([r["first"], r["first"] + r["words"]])
-                    rows.append(row)
-                    out.append("\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in stretches))
-            columns = [c.take(pa.array(rows, pa.int64())) for c in columns]
-            columns[place] = pa.array(out, pa.string())
-            if chars is not None:
-                columns[chars] = pa.array([len(t) for t in out], pa.int64()).cast(columns[chars].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+        for whole in batches:
+            for a, b in chunks(column_bytes(whole.column(0).field(place))[1]):
+                yield cut_part(whole.slice(a, b - a))
 
     return texts.mapInArrow(cut, documents.schema)

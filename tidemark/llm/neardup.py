@@ -44,7 +44,7 @@ SKETCH_LONGS = SKETCH_BITS // 64
 #: a true similarity of 0.75 no estimate was (8 were below 0.55).
 SKETCH_FLOOR = 0.45
 #: A block holds about so many members, or so many bytes of text for each that it could hold.
-BLOCK = 2048
+BLOCK = 1024
 MEMBER_BYTES = 8192
 MEMBER = ["id", "component", "n", *[f"s{i}" for i in range(SKETCH_LONGS)], "text"]
 COLUMNS = 8192  # of a table of shingles and members that are held at a time

@@ -108,13 +108,16 @@ def word_counts(column: pa.Array) -> np.ndarray:
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word with A-Z lower-cased, from prefix sums of a polynomial."""
     global _powers, _inverse
-    if len(_powers) <= len(data):
-        n = max(len(data) + 1, 2 * len(_powers))
-        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE, np.uint64)]), dtype=np.uint64)
+    powers, inverse = _powers, _inverse
+    if len(powers) <= len(data):
+        n = len(data) + 1
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE, np.uint64)]), dtype=np.uint64)
         back = pow(_BASE, -1, 1 << 64)
-        _inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, back, np.uint64)]), dtype=np.uint64)
-    terms = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers[: len(data)]
+        inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, back, np.uint64)]), dtype=np.uint64)
+        if n <= 2 * CHUNK_BYTES:  # those of a very long row are not kept
+            _powers, _inverse = powers, inverse
+    terms = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers[: len(data)]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(terms, out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _inverse[starts]
+    raw = (sums[ends] - sums[starts]) * inverse[starts]
     return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
