@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embdedup, exact, mixing, neardup, pii, placement, quality, tokencount, toxicity
+from tidemark.llm import bpe, bytebpe, dialogue, embdedup, exact, mixing, neardup, oracles, pii, placement, quality, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage; nulls become one space (dialogue.repair_report)."""
+    return dialogue.repair_report(_table(spark, sf_dir, "conversations"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document under the ranks of byte_bpe_50k; null counts as empty, repeated rows repeat (bytebpe.digests)."""
+    return bytebpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -78,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_placement": op8_placement,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 
@@ -93,6 +105,7 @@ def _placement_sql() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op11_conversation_repair": oracles.CONVERSATION_REPAIR,
     "op8_placement": _placement_sql(),
     "op9_exact_dedup": """
         SELECT doc_id,
