@@ -67,3 +67,23 @@ FROM (SELECT DISTINCT conv_id FROM conversations) AS c
 LEFT JOIN told AS t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN done AS d ON d.conv_id IS NOT DISTINCT FROM c.conv_id
 """
+
+LEXICAL_SEARCH = r"""
+WITH found AS (
+    SELECT row_number() OVER () AS doc, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents),
+held AS (SELECT doc, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM found GROUP BY doc, term),
+sizes AS (SELECT doc, sum(tf)::BIGINT AS n FROM held GROUP BY doc),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, corpus GROUP BY term),
+impacts AS (
+    SELECT doc, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS impact
+    FROM held JOIN sizes USING (doc) JOIN weights USING (term), corpus),
+asked AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+times AS (SELECT item_id, term, count(*) AS q FROM asked GROUP BY item_id, term),
+scores AS (SELECT item_id, doc, any_value(doc_id) AS doc_id, sum(q * impact)::BIGINT AS score FROM times JOIN impacts USING (term) GROUP BY item_id, doc)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY rank <= 20"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, bytebpe, dialogue, embdedup, exact, mixing, neardup, oracles, pii, placement, quality, tokencount, toxicity
+from tidemark.llm import bpe, bytebpe, dialogue, embdedup, exact, lexical, mixing, neardup, oracles, pii, placement, quality, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair_report(_table(spark, sf_dir, "conversations"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item; texts without terms rank nowhere, equal scores by id (lexical.search)."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document under the ranks of byte_bpe_50k; null counts as empty, repeated rows repeat (bytebpe.digests)."""
     return bytebpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_lexical_search": op12_lexical_search,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -105,6 +111,7 @@ def _placement_sql() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op12_lexical_search": oracles.LEXICAL_SEARCH,
     "op11_conversation_repair": oracles.CONVERSATION_REPAIR,
     "op8_placement": _placement_sql(),
     "op9_exact_dedup": """

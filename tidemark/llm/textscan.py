@@ -76,12 +76,33 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         a = b
 
 
+def stretches(data: np.ndarray, begin: int, end: int, table: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """One long row in ranges of at most limit bytes, cut behind bytes outside the table; a longer run of bytes inside stays whole."""
+    while begin < end:
+        stop = min(end, begin + limit)
+        if stop < end:
+            outside = np.flatnonzero(~table[data[begin:stop]])
+            while not len(outside) and stop < end:
+                ahead = min(end, stop + limit)
+                outside = np.flatnonzero(~table[data[stop:ahead]])[:1] + (stop - begin)
+                stop = ahead
+            if len(outside):
+                stop = begin + int(outside[-1]) + 1
+        yield begin, stop
+        begin = stop
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the index of each row's first word (n + 1 of them)."""
+    return spans(data, offsets, ~_SPACE)
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each maximal run of bytes of the table within a row, and the index of each row's first run (n + 1 of them)."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = table[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
