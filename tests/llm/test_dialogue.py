@@ -37,7 +37,7 @@ def all_audits(codes: str):
                     cost += 4
                     continue
                 cost += 3 * (fault == 3)
-                wanted = {"": "su", "s": "u", "u": "a", "a": "u"}[state]
+                wanted = {"": "su", "s": "u", "u": "a", "a": "u", "o": "u"}[state]  # o: illegal already
                 role = "suao"[initial] if edits[i] == "K" else wanted[-1]
                 legal &= fault in (0, 3) and role in wanted
                 cost += 3 * (edits[i] == "R")

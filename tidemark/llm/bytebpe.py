@@ -21,6 +21,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tidemark.llm.shared import fresh
 
@@ -232,7 +233,7 @@ def encode(documents: DataFrame, path: str, pattern: str, text_col: str = "text"
             ids = pa.array(coder.encode([t or "" for t in batch.column(text).to_pylist()]), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([c for n, c in zip(batch.schema.names, batch.columns) if n != text] + [ids], [n for n in batch.schema.names if n != text] + ["ids"])
 
-    schema = kept.schema.add("ids", "array<int>")
+    schema = StructType([*kept.schema.fields, StructField("ids", ArrayType(IntegerType()))])
     return kept.withColumn(text, kept[f"`{text_col}`"].cast("string")).mapInArrow(run, schema)
 
 
@@ -251,7 +252,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             texts = pa.array([coder.decode(ids or []).decode("utf-8", "replace") for ids in batch.column(ids_col).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "text"])
 
-    return kept.mapInArrow(run, kept.schema.add("text", "string"))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("text", StringType())]))
 
 
 def digests(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

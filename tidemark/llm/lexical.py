@@ -71,11 +71,11 @@ def _matches(column: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int, np
     """Ranges of rows: the first row, terms of each row with repeats, and (row, term, count) of the vocabulary's terms, sorted."""
     data, offsets = column_bytes(column)
     size = max(1, len(vocabulary.lengths))
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, CHUNK_BYTES):
         lengths = np.zeros(b - a, np.int64)
         keys, counts = [], []
         whole = offsets[b] - offsets[a] <= CHUNK_BYTES
-        for x, y in [(offsets[a], offsets[b])] if whole else stretches(data, offsets[a], offsets[b], TERM):
+        for x, y in [(offsets[a], offsets[b])] if whole else stretches(data, offsets[a], offsets[b], TERM, CHUNK_BYTES):
             part = data[x:y]
             rows = offsets[a : b + 1] - x if whole else np.array([0, y - x])
             starts, ends, firsts = spans(part, rows, TERM)
@@ -98,7 +98,7 @@ def terms_of(texts: pa.Array) -> list[dict[bytes, int]]:
     data, offsets = column_bytes(texts)
     for x, y in zip(offsets[:-1], offsets[1:]):
         found: dict[bytes, int] = {}
-        for u, v in stretches(data, x, y, TERM):
+        for u, v in stretches(data, x, y, TERM, CHUNK_BYTES):
             part = _LOWER[data[u:v]]
             starts, ends, _ = spans(part, np.array([0, v - u]), TERM)
             raw = part.tobytes()
