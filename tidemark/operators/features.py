@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.order import quantiles, value_grid
 from tidemark.plans.context import ProblemContext
 from tidemark.sources.tables import stored
 
@@ -47,8 +48,9 @@ class FeaturePipeline(FeatureEngineer):
 def slice_stats(context: ProblemContext) -> DataFrame:
     """The statistics of each slice before scaling: {stat}__{variable} and corr__{a}__{b}.
 
-    One aggregation by slice over one scan. iqr is the range from the 10 % to the 90 %
-    quantile, ramp_std the deviation of differences of consecutive rows within the slice.
+    One aggregation by slice over one scan, and quantiles by rank over the sorted values of all
+    slices. iqr is the range from the 10 % to the 90 % quantile, ramp_std the deviation of
+    differences of consecutive rows within the slice.
     """
     names = context.variables
     in_time = Window.partitionBy("slice_id").orderBy("ts")
@@ -56,14 +58,17 @@ def slice_stats(context: ProblemContext) -> DataFrame:
     aggregates = [F.count(F.lit(1)).alias("_rows")]
     for c in names:
         aggregates += [
-            F.avg(c).alias(f"mean__{c}"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"std__{c}"), F.percentile(c, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias(f"_q_{c}"),
+            F.avg(c).alias(f"mean__{c}"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"std__{c}"),
             F.coalesce(F.try_divide(F.count_if(F.col(c) < 0), F.count(c)), F.lit(0.0)).alias(f"neg_share__{c}"),
             F.when(F.count(f"_ramp_{c}") == 0, 0.0).otherwise(F.stddev_samp(f"_ramp_{c}")).alias(f"ramp_std__{c}"),
         ]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     for a, b in pairs:
         aggregates += _moments(a, b)
-    found = rows.groupBy("slice_id").agg(*aggregates)
+    values = context.value_counts.select(F.struct("slice_id", "variable").alias("of"), "value", "n")
+    q = quantiles(value_grid(values, "of", few=False), [0.1, 0.5, 0.9], "of").select("of.*", "q")
+    q = q.groupBy("slice_id").agg(*[F.first(F.when(F.col("variable") == c, F.col("q")), ignorenulls=True).alias(f"_q_{c}") for c in names])
+    found = rows.groupBy("slice_id").agg(*aggregates).join(q, "slice_id", "left")
     columns = {}
     for c in names:
         q = F.col(f"_q_{c}")

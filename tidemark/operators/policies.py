@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.order import numbered_in_order
+from tidemark.functions.order import numbered_in_order, quantiles, value_grid
 from tidemark.operators.combos import members_of
 from tidemark.operators.scores import ScoreComponent
 from tidemark.plans.context import ProblemContext
@@ -87,8 +87,11 @@ def normalised(df: DataFrame, names: list[str], mode: str) -> DataFrame:
     if mode not in ("robust_minmax", "zscore_iqr"):
         raise ValueError(f"unknown normalisation {mode!r}")
     points = (0.05, 0.95) if mode == "robust_minmax" else (0.25, 0.5, 0.75)
-    whole = df.agg(*[F.percentile(f"_y_{n}", F.array(*map(F.lit, points))).alias(f"_q_{n}") for n in names])
-    out = df.crossJoin(F.broadcast(whole))  # one row
+    long = df.unpivot([], [f"_y_{n}" for n in names], "name", "value").where("value is not null")
+    found = quantiles(value_grid(long.withColumn("n", F.lit(1)), "name"), points, "name")
+    whole = found.groupBy().pivot("name", [f"_y_{n}" for n in names]).agg(F.first("q"))  # one row
+    whole = whole.select(*[F.col(f"`_y_{n}`").alias(f"_q_{n}") for n in names])
+    out = df.crossJoin(F.broadcast(whole))
     columns = {}
     for n in names:
         q, y = F.col(f"_q_{n}"), F.col(f"_y_{n}")

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tidemark.functions.kernels import dtw_abs, dtw_multivariate
-from tidemark.functions.order import numbered_in_order
+from tidemark.functions.order import quantiles
 from tidemark.operators.combos import members_of
 from tidemark.operators.features import DirectProfileFeatureEngineer
-from tidemark.plans.context import ProblemContext
+from tidemark.plans.context import CHUNK, ProblemContext
 from tidemark.sources.tables import stored
 
 TINY = 1e-12
@@ -57,14 +57,6 @@ class ScoreComponent(ABC):
         return F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.col("variable"))
 
 
-def _spread(context: ProblemContext, low: float, high: float) -> DataFrame:
-    """variable and spread, the range between two quantiles, 1 where it is 0."""
-    q = F.percentile("value", F.array(F.lit(low), F.lit(high)), F.col("n"))
-    found = context.value_counts.groupBy("variable").agg(q.alias("q"))
-    width = F.col("q")[1] - F.col("q")[0]
-    return found.select("variable", F.when(width == 0, 1.0).otherwise(width).alias("spread"))
-
-
 class _Curves(ScoreComponent):
     """Shared by scores that compare whole distributions value by value.
 
@@ -73,7 +65,6 @@ class _Curves(ScoreComponent):
     distribution.
     """
 
-    CHUNK = 4096
     GROUP = 512
 
     def __init__(self, variable_weights: dict[str, float] | None = None):
@@ -81,17 +72,11 @@ class _Curves(ScoreComponent):
 
     def prepare(self, context):
         super().prepare(context)
-        self.spread = _spread(context, 0.25, 0.75).persist()
-        values = context.value_counts.groupBy("variable", "value").agg(F.sum("n").alias("n"))
-        placed = numbered_in_order(values, ["variable", "value"], "place", {"n": "before"})
-        first = placed.groupBy("variable").agg(F.min("place").alias("place_0"), F.min("before").alias("before_0"), F.sum("n").alias("total"))
-        placed = placed.join(F.broadcast(first), "variable")  # one row per variable
-        #: variable, value, n, at (place among the variable's values), before (rows with smaller values) and total
-        self.grid = placed.select("variable", "value", "n", (F.col("place") - F.col("place_0")).alias("at"), (F.col("before") - F.col("before_0")).alias("before"), "total").transform(stored, "grid")
-
-    def _compared(self, own: DataFrame, full: DataFrame, function, schema: str) -> DataFrame:
+        self.grid, self.spread = context.grid, context.spread
+
+    def _compared(self, members: DataFrame, own: DataFrame, full: DataFrame, function, schema: str) -> DataFrame:
         """function(own rows, rows of the whole) for each variable, chunk and group of candidates."""
-        most = own.agg(F.max("combo_id")).first()[0] or 0
+        most = members.agg(F.max("combo_id")).first()[0] or 0
         own = own.withColumn("part", F.expr(f"combo_id div {self.GROUP}"))
         full = full.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most // self.GROUP).cast("long"))))
         full = full.select(*[F.col(c).alias(c) for c in full.columns])  # columns of its own, whatever both sides come from
@@ -111,17 +96,11 @@ class WassersteinFidelity(_Curves):
 
     def prepare(self, context):
         super().prepare(context)
-        chunk = F.expr(f"at div {self.CHUNK}").alias("chunk")
+        chunk = F.expr(f"at div {CHUNK}").alias("chunk")
         following = self.grid.select("variable", (F.col("at") - 1).alias("at"), F.col("value").alias("next"))
         steps = self.grid.join(following, ["variable", "at"], "left").select("variable", chunk, F.struct("at", ((F.col("before") + F.col("n")) / F.col("total")).alias("cdf"), F.coalesce(F.col("next") - F.col("value"), F.lit(0.0)).alias("gap")).alias("step"))
         self.full = steps.groupBy("variable", "chunk").agg(F.array_sort(F.collect_list("step")).alias("steps")).transform(stored, "steps")
-        counts = context.value_counts.join(self.grid.select("variable", "value", "at"), ["variable", "value"])
-        held = counts.groupBy("slice_id", "variable", chunk).agg(F.collect_list(F.struct("at", "n")).alias("held"), F.sum("n").alias("here"))
-        chunks = self.full.select("variable", "chunk")
-        every = counts.select("slice_id", "variable").distinct().join(chunks, "variable").join(held, ["slice_id", "variable", "chunk"], "left")
-        below = Window.partitionBy("slice_id", "variable").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-        every = every.withColumn("below", F.coalesce(F.sum("here").over(below), F.lit(0)))
-        self.held = every.withColumn("rows", F.sum("here").over(Window.partitionBy("slice_id", "variable"))).drop("here").transform(stored, "held")
+        self.held = context.held
 
     def score_all(self, members):
         def distances(own: pa.Table, full: pa.Table) -> pa.Table:
@@ -141,28 +120,68 @@ class WassersteinFidelity(_Curves):
             variable = own.column("variable")[0].as_py() if len(ids) else ""
             return pa.table({"combo_id": ids, "variable": pa.array([variable] * len(ids), pa.string()), "d": np.abs(cdf_own - cdf[None, :]) @ gap})
 
-        own = members.select("combo_id", "slice_id").join(self.held, "slice_id").drop("slice_id")
-        found = self._compared(own, self.full, distances, "combo_id long, variable string, d double").join(F.broadcast(self.spread), "variable")  # one row per variable
+        own = members.select("combo_id", "slice_id").join(self.held.drop("here"), "slice_id").drop("slice_id")
+        found = self._compared(members, own, self.full, distances, "combo_id long, variable string, d double").join(F.broadcast(self.spread), "variable")  # one row per variable
         return found.groupBy("combo_id").agg(F.sum(self._weight(self.variable_weights) * F.col("d") / F.col("spread")).alias("score"))
 
 
-class DurationCurveFidelity(ScoreComponent):
-    """Weighted sum of root mean square differences of quantiles, in quartile ranges."""
+class DurationCurveFidelity(_Curves):
+    """Weighted sum of root mean square differences of quantiles, in quartile ranges.
+
+    A candidate's quantiles are order statistics of its slices' values together. Chunk by chunk of
+    the whole's values the slices' counts add up, so a chunk knows which of the wanted ranks lie in
+    it; a rank that falls there is looked up and gives its part of the interpolation.
+    """
 
     name, empty = "nrmse_duration_curve", float("inf")
 
     def __init__(self, n_quantiles: int = 101, variable_weights: dict[str, float] | None = None):
+        super().__init__(variable_weights)
         self.points = [float(p) for p in np.linspace(0, 1, n_quantiles)]
-        self.variable_weights = variable_weights
+
+    def prepare(self, context):
+        super().prepare(context)
+        whole = quantiles(self.grid, self.points).select("variable", F.posexplode("q").alias("point", "whole"))
+        self.whole = whole.transform(stored, "quantiles")
+        values = self.grid.groupBy("variable", F.expr(f"at div {CHUNK}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("steps"))
+        self.full = values.select("variable", "chunk", F.transform("steps", lambda s: s["value"]).alias("values")).transform(stored, "curve")
+        self.held = context.held
 
     def score_all(self, members):
-        points = F.array(*map(F.lit, self.points))
-        counts = self.context.value_counts
-        full = counts.groupBy("variable").agg(F.percentile("value", points, F.col("n")).alias("full")).join(_spread(self.context, 0.25, 0.75), "variable")
-        own = members.join(counts, "slice_id").groupBy("combo_id", "variable").agg(F.percentile("value", points, F.col("n")).alias("own"))
-        square = F.aggregate(F.zip_with("own", "full", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        rmse = F.sqrt(square / len(self.points))
-        return own.join(F.broadcast(full), "variable").groupBy("combo_id").agg(F.sum(self._weight(self.variable_weights) * rmse / F.col("spread")).alias("score"))
+        points = np.array(self.points)
+
+        def parts(own: pa.Table, full: pa.Table) -> pa.Table:
+            value = full.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            ids, row = np.unique(own.column("combo_id").to_numpy(), return_inverse=True)
+            sums = np.zeros((2, len(ids)), np.int64)
+            for k, name in enumerate(("below", "rows")):
+                np.add.at(sums[k], row, own.column(name).to_numpy())
+            counts = np.zeros((len(ids), len(value)), np.int64)
+            held = own.column("held").combine_chunks()
+            entries = held.flatten()
+            if len(value) and len(entries):
+                at = entries.field("at").to_numpy() - own.column("chunk")[0].as_py() * CHUNK
+                np.add.at(counts, (np.repeat(row, held.value_lengths().fill_null(0).to_numpy()), at), entries.field("n").to_numpy())
+            ends = np.cumsum(counts, axis=1)
+            out = []
+            for i in range(len(ids)):
+                rank = points * (sums[1, i] - 1)
+                low = np.floor(rank)
+                share = np.stack([low + 1 - rank, rank - low])  # of the rank below and the one above
+                places = np.stack([low, low + 1]).astype(np.int64) - sums[0, i]
+                k, p = np.nonzero((places >= 0) & (places < (ends[i, -1] if len(value) else 0)) & (share > 0))
+                found = value[np.searchsorted(ends[i], places[k, p], side="right")] * share[k, p]
+                out.append((np.full(len(p), ids[i]), p, found))
+            ids, p, found = (np.concatenate([o[j] for o in out]) if out else np.zeros(0) for j in range(3))
+            variable = own.column("variable")[0].as_py() if own.num_rows else ""
+            return pa.table({"combo_id": pa.array(ids.astype(np.int64)), "variable": pa.array([variable] * len(ids), pa.string()), "point": pa.array(p.astype(np.int32)), "part": pa.array(found.astype(float))})
+
+        # a chunk needs what all slices have below it, those without values in it too
+        own = members.select("combo_id", "slice_id").join(self.held.drop("here"), "slice_id").drop("slice_id")
+        found = self._compared(members, own, self.full, parts, "combo_id long, variable string, point int, part double")
+        off = found.groupBy("combo_id", "variable", "point").agg(F.sum("part").alias("own")).join(F.broadcast(self.whole), ["variable", "point"])  # points of each variable
+        rmse = off.groupBy("combo_id", "variable").agg(F.sqrt(F.sum((F.col("own") - F.col("whole")) ** 2) / len(self.points)).alias("rmse")).join(F.broadcast(self.spread), "variable")
+        return rmse.groupBy("combo_id").agg(F.sum(self._weight(self.variable_weights) * F.col("rmse") / F.col("spread")).alias("score"))
 
 
 class NRMSEFidelity(_Curves):
@@ -178,13 +197,13 @@ class NRMSEFidelity(_Curves):
     def prepare(self, context):
         super().prepare(context)
         last = F.col("before") + F.col("n") - 1
-        chunks = F.explode(F.sequence(F.expr(f"before div {self.CHUNK}"), F.expr(f"(before + n - 1) div {self.CHUNK}"))).alias("chunk")
+        chunks = F.explode(F.sequence(F.expr(f"before div {CHUNK}"), F.expr(f"(before + n - 1) div {CHUNK}"))).alias("chunk")
         runs = self.grid.select("variable", "value", F.col("before").alias("first"), last.alias("last"), "total", chunks)
         self.full = runs.groupBy("variable", "chunk").agg(F.array_sort(F.collect_list(F.struct("first", "last", "value"))).alias("runs"), F.first("total").alias("total")).transform(stored, "runs")
-        self.means = self.grid.groupBy("variable").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.first("total").alias("total")).persist()
+        self.means = self.grid.groupBy("variable").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.first("total").alias("total")).transform(stored, "means")
 
     def score_all(self, members):
-        size = self.CHUNK
+        size = CHUNK
 
         def squares(own: pa.Table, full: pa.Table) -> pa.Table:
             if not own.num_rows or not full.num_rows:
@@ -218,7 +237,7 @@ class NRMSEFidelity(_Curves):
         high = F.when(F.col("last") == F.col("rows") - 1, F.col("total") - 1).otherwise(F.least(F.ceil((F.col("last") + 1) * stretch), F.col("total") - 1))
         chunks = F.explode(F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))).alias("chunk")
         own = own.select("combo_id", "variable", "value", "first", "last", "rows", chunks)
-        found = self._compared(own, self.full, squares, "combo_id long, variable string, q double")
+        found = self._compared(members, own, self.full, squares, "combo_id long, variable string, q double")
         found = found.groupBy("combo_id", "variable").agg(F.sum("q").alias("q")).join(F.broadcast(self.means), "variable")
         term = self._weight(self.variable_weights) * F.sqrt(F.col("q") / F.col("total")) / (F.col("mean") + TINY)
         return found.withColumn("t", term).groupBy("combo_id").agg(F.sum("t").alias("score"))

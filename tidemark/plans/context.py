@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, NumericType
 
+from tidemark.functions.order import quantiles, value_grid
 from tidemark.sources.tables import stored
 
+CHUNK = 4096  # distinct values of a variable that are compared at once
 UNITS = ("year", "month", "week", "day", "hour")
 _LABELS = {"year": "yyyy", "month": "yyyy-MM", "day": "yyyy-MM-dd", "hour": "yyyy-MM-dd HH:mm:ss"}
 
@@ -116,7 +118,7 @@ class ProblemContext:
     @cached_property
     def rows(self) -> DataFrame:
         """ts, slice_id and the variables as doubles without NaN."""
-        return stored(self._series.join(self.slices.select("slice_id", "slice_start"), "slice_start").drop("slice_start"), "rows")
+        return self._series.join(self.slices.select("slice_id", "slice_start"), "slice_start").drop("slice_start")
 
     @cached_property
     def observations(self) -> DataFrame:
@@ -128,6 +130,33 @@ class ProblemContext:
         """slice_id, variable, value, n: all that distribution scores need of the series."""
         return self.observations.groupBy("slice_id", "variable", "value").agg(F.count(F.lit(1)).alias("n")).transform(stored, "values")
 
+    @cached_property
+    def grid(self) -> DataFrame:
+        """The distinct values of each variable in order: variable, value, n, at, before, total; computed once for all scores."""
+        return value_grid(self.value_counts)
+
+    @cached_property
+    def spread(self) -> DataFrame:
+        """variable and spread, the range between its quartiles, 1 where it is 0."""
+        width = F.col("q")[1] - F.col("q")[0]
+        return quantiles(self.grid, [0.25, 0.75]).select("variable", F.when(width == 0, 1.0).otherwise(width).alias("spread")).transform(stored, "spread")
+
+    @cached_property
+    def held(self) -> DataFrame:
+        """slice_id, variable, chunk, held (at, n), here, below and rows: a slice's values in each chunk of CHUNK of the grid.
+
+        here counts its rows in the chunk, below those in earlier chunks, rows all of the slice. A slice has a
+        row for every chunk of the variable, with held null where it has no value.
+        """
+        chunk = F.expr(f"at div {CHUNK}").alias("chunk")
+        counts = self.value_counts.join(self.grid.select("variable", "value", "at"), ["variable", "value"])
+        found = counts.groupBy("slice_id", "variable", chunk).agg(F.collect_list(F.struct("at", "n")).alias("held"), F.sum("n").alias("here"))
+        chunks = self.grid.groupBy("variable").agg(F.max(chunk).alias("last")).select("variable", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("chunk"))
+        every = found.select("slice_id", "variable").distinct().join(F.broadcast(chunks), "variable").join(found, ["slice_id", "variable", "chunk"], "left")
+        below = Window.partitionBy("slice_id", "variable").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        every = every.withColumn("here", F.coalesce("here", F.lit(0))).withColumn("below", F.coalesce(F.sum("here").over(below), F.lit(0)))
+        return every.withColumn("rows", F.sum("here").over(Window.partitionBy("slice_id", "variable"))).transform(stored, "held")
+
     @property
     def features(self) -> DataFrame:
         if self.df_features is None:
