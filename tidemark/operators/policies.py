@@ -7,22 +7,17 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.order import numbered_in_order, quantiles, value_grid
+from tidemark.functions.order import quantiles, value_grid
+from tidemark.functions.skyline import undominated
 from tidemark.operators.combos import members_of
 from tidemark.operators.scores import ScoreComponent
 from tidemark.plans.context import ProblemContext
 from tidemark.sources.tables import stored
 
 
-BLOCK = 512  # rows compared with each other at a time
-DOMINATORS = 16_384  # rows sent to all tasks at a time
-
-
 @dataclass(frozen=True)
 class ObjectiveSpec:
     component: ScoreComponent
@@ -138,68 +133,18 @@ class WeightedSumPolicy(SelectionPolicy):
         return z.withColumn("policy_score", total).select(*evaluations.columns, "policy_score")
 
 
-def _minimal(points: np.ndarray) -> np.ndarray:
-    """Places of the points that no other point is at most equal to everywhere, one of equal points; by ascending sums."""
-    order = np.lexsort((*points.T[::-1], points.sum(axis=1)))
-    front = np.zeros((0, points.shape[1]))
-    kept = []
-    for a in range(0, len(order), BLOCK):
-        own = order[a : a + BLOCK]
-        own = own[~_any(front, points[own], lambda p, q: (p <= q).all(axis=2))]
-        for i in own.tolist():  # what is left of a block is compared in order
-            if not len(front) or not (front <= points[i]).all(axis=1).any():
-                front = np.vstack([front, points[i]])
-                kept.append(i)
-    return np.array(kept, int)
-
-
-def _any(dominators: np.ndarray, points: np.ndarray, test) -> np.ndarray:
-    """Whether the test holds for each point with any of the dominators, BLOCK of them at a time."""
-    found = np.zeros(len(points), bool)
-    for a in range(0, len(dominators), BLOCK):
-        left = np.flatnonzero(~found)
-        for b in range(0, len(left), BLOCK):
-            rows = left[b : b + BLOCK]
-            found[rows] = test(dominators[None, a : a + BLOCK], points[rows][:, None]).any(axis=1)
-    return found
-
-
 def with_front(df: DataFrame, names: list[str], eps: float = 1e-9) -> DataFrame:
     """df with pareto_mask: feasible rows that no feasible row dominates in the columns _y_name.
 
     a dominates b if it is at most b + eps everywhere and less than b - eps somewhere. Nulls
-    are never dominated nor dominate. Who is dominated at all is dominated by one of the rows
-    that no other row undercuts everywhere. These are found per partition and then among the
-    partitions' survivors, and all rows are tested against them, DOMINATORS at a time.
+    are never dominated nor dominate.
     """
     columns = [f"_y_{n}" for n in names]
     complete = reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in columns], F.col("feasible_mask"))
-    rows = df.where(complete).select("combo_id", *[F.col(c).cast("double").alias(c) for c in columns]).transform(stored, "points")
-    schema = ", ".join(f"`{c}` double" for c in columns)
-
-    def survivors(batches):
-        found = np.zeros((0, len(columns)))
-        for batch in batches:
-            points = np.vstack([found, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])])
-            found = points[_minimal(points)]
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T], columns)
-
-    local = rows.select(*columns).mapInArrow(survivors, schema)
-    best = numbered_in_order(local.coalesce(1).mapInArrow(survivors, schema), columns, "_nth").transform(stored, "front")
-    left = rows
-    for low in range(0, best.count(), DOMINATORS):
-        some = best.where(F.col("_nth").between(low, low + DOMINATORS - 1)).select(*columns).toPandas().to_numpy(float)
-
-        def undominated(batches, some=some):
-            for batch in batches:
-                points = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
-                out = _any(some, points, lambda p, q: (p <= q + eps).all(axis=2) & (p < q - eps).any(axis=2))
-                yield batch.filter(pa.array(~out))
-
-        left = left.mapInArrow(undominated, left.schema)
+    rows = df.where(complete).select(F.col("combo_id").alias("id"), *[F.col(c).cast("double").alias(c) for c in columns]).transform(stored, "points")
+    left = undominated(rows, columns, eps).select(F.col("id").alias("combo_id"))
     incomplete = df.where(F.col("feasible_mask") & ~complete).select("combo_id")
-    front = left.select("combo_id").unionByName(incomplete).withColumn("pareto_mask", F.lit(True))
+    front = left.unionByName(incomplete).withColumn("pareto_mask", F.lit(True))
     return df.join(front, "combo_id", "left").withColumn("pareto_mask", F.coalesce("pareto_mask", F.lit(False)))
 
 
