@@ -16,17 +16,16 @@ up to BROADCAST_SOURCES rows and joined like others beyond.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import fresh, numbered, row_hash, running_sums, written
-from tidemark.llm.textscan import chunks, column_bytes, mix64, word_counts
+from tidemark.llm.textscan import chunks, column_bytes, mix64, word_counts, word_spans
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -36,8 +35,6 @@ GROUP = 4096  # sources of a group in the draw
 BROADCAST_SOURCES = 100_000
 SEED = 20240229
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
 
 def permuted(positions: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A pseudorandom permutation of range(n) for each key, at the given positions.
@@ -174,12 +171,13 @@ class Mix:
         groups, parts = totals["group"].to_numpy(), totals["total"].to_numpy(float)
         seed = self.seed
 
-        def over_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for shard, n in zip(frame["shard"].tolist(), frame["n"].tolist(), strict=True):
+        def over_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard, n in zip(*[batch.column(c).to_pylist() for c in ("shard", "n")], strict=True):
                     if len(parts):
-                        counts = np.random.default_rng([seed, round_, shard]).multinomial(n, parts / parts.sum())
-                        yield pd.DataFrame({"shard": shard, "group": groups, "n": counts})[counts > 0]
+                        counts = np.random.default_rng([seed, round_, shard]).multinomial(n, parts / parts.sum()).astype(np.int64)
+                        some = np.flatnonzero(counts)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard)), pa.array(groups[some]), pa.array(counts[some])], ["shard", "group", "n"])
 
         def over_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -188,7 +186,8 @@ class Mix:
                     counts = np.random.default_rng([seed, round_, row["shard"], row["group"]]).multinomial(row["n"], own / own.sum())
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ranks), row["shard"])), pa.array(ranks), pa.array(counts.astype(np.int64))], ["shard", "rank", "count"])
 
-        drawn = need.mapInPandas(over_groups, "shard long, group long, n long").join(self._beside(lists.select("group", "members")), "group")
+        # written, so that a task has one Python worker and not one for each draw
+        drawn = written(need.select("shard", "n").mapInArrow(over_groups, "shard long, group long, n long"), "group-draws").join(self._beside(lists.select("group", "members")), "group")
         return drawn.select("shard", "group", "n", "members").mapInArrow(over_members, "shard long, rank long, count long").where("count > 0")
 
     def pieces(self) -> DataFrame:
@@ -228,16 +227,24 @@ def mixed_blocks(documents: DataFrame, text_col: str = "text", **options) -> Dat
     rows are documents of their own; an empty table gives an empty result.
     """
     mix, texts = _with_runs(documents, text_col, options)
-    place = documents.columns.index(text_col)
+    place, size = documents.columns.index(text_col), mix.block_words
+
+    def cut_part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ranks, ats, blocks, out = [], [], [], []
+        rank, offset = (batch.column(c).to_pylist() for c in ("rank", "offset"))
+        for row, word, first, end, copies in _cuts(batch, place):
+            for k in np.flatnonzero(copies).tolist():
+                ranks.append(rank[row])
+                ats.append(offset[row] + int(first[k]))
+                blocks.append(ats[-1] // size)
+                out.append(b" ".join([word(w, w + 1) for w in range(first[k], end[k])]))
+        columns = [pa.array(c, pa.int64()) for c in (ranks, blocks, ats)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary()).cast(pa.string())], ["rank", "block", "at", "words"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, runs in zip(batch.column(0).field(place).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = _WORD.findall(text)
-                out += [(r["rank"], r["block"], r["offset"] + r["first"], " ".join(found[r["first"] : r["first"] + r["words"]])) for r in runs if r["copies"]]
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())], ["rank", "block", "at", "words"])
+        for whole in batches:
+            for a, b in chunks(column_bytes(whole.column(0).field(place))[1]):
+                yield cut_part(whole.slice(a, b - a))
 
     parts = texts.mapInArrow(cut, "rank long, block long, at long, words string")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda p: p["words"]), " ")
@@ -246,14 +253,34 @@ def mixed_blocks(documents: DataFrame, text_col: str = "text", **options) -> Dat
 
 
 def _with_runs(documents: DataFrame, text_col: str, options: dict) -> tuple[Mix, DataFrame]:
-    """The mix; and row, each row of documents as a struct, with runs, the blocks its words lie in. Rows of which nothing is taken are left out."""
+    """The mix; and row, each row of documents as a struct, with rank, offset and runs, where its part of each block begins and how often that is taken.
+
+    Rows of which nothing is taken are left out.
+    """
     (number,) = fresh(documents, "_row")
     rows = numbered(documents, number)
     mix = Mix(rows, text_col=text_col, row_col=number, **options)
     row = F.struct(*[F.col(text_col).cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns])
-    runs = mix.pieces().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "words", "copies", "block", "rank", "offset"))).alias("runs"), F.max("copies").alias("most"))
-    runs = runs.where("most > 0").select(F.col("row").alias(number), "runs")
-    return mix, rows.select(row.alias("row"), number).join(runs, number).select("row", "runs")
+    runs = mix.pieces().groupBy("row").agg(F.first("rank").alias("rank"), F.first("offset").alias("offset"), F.array_sort(F.collect_list(F.struct("first", "copies"))).alias("runs"), F.max("copies").alias("most"))
+    runs = runs.where("most > 0").select(F.col("row").alias(number), "rank", "offset", "runs")
+    return mix, rows.select(row.alias("row"), number).join(runs, number).select("row", "rank", "offset", "runs")
+
+
+def _cuts(batch: pa.RecordBatch, place: int):
+    """For each row its number, a function that gives the bytes from one word up to another, and first word, end and copies of its parts of blocks."""
+    data, offsets = column_bytes(batch.column(0).field(place))
+    starts, ends, firsts = word_spans(data, offsets)
+    runs = batch.column("runs")
+    lists = runs.offsets.to_numpy() - runs.offsets[0].as_py()
+    values = runs.flatten()
+    first, copies = (values.field(c).to_numpy() for c in ("first", "copies"))
+    for row in range(batch.num_rows):
+        base, part = firsts[row], slice(lists[row], lists[row + 1])
+
+        def between(a: int, b: int, base=base) -> bytes:
+            return data[starts[base + a] : ends[base + b - 1]].tobytes()
+
+        yield row, between, first[part], np.append(first[part][1:], firsts[row + 1] - base), copies[part]
 
 
 def mixed_documents(documents: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
@@ -272,23 +299,16 @@ def mixed_documents(documents: DataFrame, text_col: str = "text", chars_col: str
     def cut_part(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, out = [], []
         columns = batch.column(0).flatten()
-        for row, (text, runs) in enumerate(zip(columns[place].to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            spans = [m.span() for m in _WORD.finditer(text)]
-            for copy in range(1, max(r["copies"] for r in runs) + 1):
-                stretches: list[list[int]] = []
-                for r in runs:
-                    if r["copies"] < copy:
-                        continue
-                    if stretches and stretches[-1][1] == r["first"]:
-                        stretches[-1][1] += r["words"]
-                    else:
-                        stretches.append([r["first"], r["first"] + r["words"]])
+        for row, between, first, end, copies in _cuts(batch, place):
+            for copy in range(1, int(copies.max()) + 1):
+                taken = np.concatenate([[0], copies >= copy, [0]])
+                heads, tails = np.flatnonzero(np.diff(taken) == 1), np.flatnonzero(np.diff(taken) == -1) - 1
                 rows.append(row)
-                out.append("\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in stretches))
+                out.append(b"\n".join([between(a, b) for a, b in zip(first[heads].tolist(), end[tails].tolist())]))
         columns = [c.take(pa.array(rows, pa.int64())) for c in columns]
-        columns[place] = pa.array(out, pa.string())
+        columns[place] = pa.array(out, pa.binary()).cast(pa.string())
         if chars is not None:
-            columns[chars] = pa.array([len(t) for t in out], pa.int64()).cast(columns[chars].type)
+            columns[chars] = pc.utf8_length(columns[place]).cast(columns[chars].type)
         return pa.RecordBatch.from_arrays(columns, names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18  # a scan makes some 40 bytes of arrays for each
 
 
 class WordTable:
@@ -135,7 +135,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE, np.uint64)]), dtype=np.uint64)
         back = pow(_BASE, -1, 1 << 64)
         inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, back, np.uint64)]), dtype=np.uint64)
-        if n <= 2 * CHUNK_BYTES:  # those of a very long row are not kept
+        if n <= 4 * CHUNK_BYTES:  # those of a very long row are not kept
             _powers, _inverse = powers, inverse
     terms = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers[: len(data)]
     sums = np.zeros(len(data) + 1, np.uint64)
