@@ -14,7 +14,8 @@ from tidemark.functions.order import numbered_in_order
 from tidemark.operators import diagnostics as diag
 from tidemark.operators.combos import ExhaustiveCombiGen, members_of
 from tidemark.operators.features import DirectProfileFeatureEngineer, FeaturePipeline, PCAFeatureEngineer, StandardStatsFeatureEngineer
-from tidemark.operators.policies import ObjectiveSet, ParetoUtopiaPolicy, WeightedSumPolicy, _minimal, with_front
+from tidemark.functions.skyline import minimal
+from tidemark.operators.policies import ObjectiveSet, ParetoUtopiaPolicy, WeightedSumPolicy, with_front
 from tidemark.operators.represent import BlendedRepresentationModel, KMedoidsClustersizeRepresentation, UniformRepresentationModel, aggregated
 from tidemark.operators.scores import CorrelationFidelity, DiurnalDTWFidelity, DurationCurveFidelity, NRMSEFidelity, WassersteinFidelity
 from tidemark.operators.search import CTPCSearch, HullClusteringSearch, KMedoidsSearch, OptimizationSearch, SnippetSearch, merged_runs
@@ -271,17 +272,22 @@ def brute_nrmse(whole: np.ndarray, part: np.ndarray) -> float:
     return float(np.sqrt(((np.interp(at, np.arange(len(o)), o) - f) ** 2).mean()) / (f.mean() + 1e-12))
 
 
+def brute_duration(whole: np.ndarray, part: np.ndarray) -> float:
+    points = np.linspace(0, 1, 101)
+    q = np.quantile(whole, 0.75) - np.quantile(whole, 0.25)
+    return float(np.sqrt(((np.quantile(part, points) - np.quantile(whole, points)) ** 2).mean()) / (q or 1.0))
+
+
 @pytest.mark.parametrize(("chunk", "group"), [(4096, 512), (5, 2), (1, 1)])
 def test_distribution_scores_in_chunks(spark, monkeypatch, chunk, group):
     """Scores do not depend on how values and candidates are cut; ties, nulls and a constant variable included."""
     rng = np.random.default_rng(6)
     values = np.column_stack([rng.integers(0, 9, 24 * 5), rng.standard_normal(24 * 5) + 5, np.full(24 * 5, 2.0)]).astype(float)
     values[3, 1] = np.nan
-    context = ProblemContext(series(spark, values), TimeSlicer("day"))
+    context = ProblemContext(series(spark, values), TimeSlicer("day"), chunk=chunk)
     combos = ExhaustiveCombiGen(2).generate(context).collect()
-    for kind, brute in ((WassersteinFidelity, brute_wasserstein), (NRMSEFidelity, brute_nrmse)):
-        component = kind({"a": 1.0, "b": 2.0})
-        monkeypatch.setattr(component, "CHUNK", chunk)
+    for kind, brute in ((WassersteinFidelity, brute_wasserstein), (NRMSEFidelity, brute_nrmse), (DurationCurveFidelity, brute_duration)):
+        component = kind(variable_weights={"a": 1.0, "b": 2.0})
         monkeypatch.setattr(component, "GROUP", group)
         component.prepare(context)
         found = {r["combo_id"]: r["score"] for r in component.score_all(members_of(ExhaustiveCombiGen(2).generate(context))).collect()}
@@ -328,7 +334,7 @@ def test_front_is_exact(spark):
     usable = [i for i in range(120) if i % 7]
     front = {i for i in usable if not any((points[j] <= points[i] + 1e-9).all() and (points[j] < points[i] - 1e-9).any() for j in usable)}
     assert found == front | {500}
-    kept = points[_minimal(points)]
+    kept = points[minimal(points)]
     assert len(np.unique(kept, axis=0)) == len(kept) and all((kept <= p).all(axis=1).any() for p in points)
     none = with_front(df.withColumn("feasible_mask", F.lit(False)), ["p"])
     assert none.where("pareto_mask").count() == 0

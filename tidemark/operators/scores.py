@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tidemark.functions.blocks import distance_matrix, sums_by_slice
 from tidemark.functions.kernels import dtw_abs, dtw_multivariate
 from tidemark.functions.order import quantiles
 from tidemark.operators.combos import members_of
 from tidemark.operators.features import DirectProfileFeatureEngineer
-from tidemark.plans.context import CHUNK, ProblemContext
+from tidemark.plans.context import ProblemContext
 from tidemark.sources.tables import stored
 
 TINY = 1e-12
@@ -60,7 +61,7 @@ class ScoreComponent(ABC):
 class _Curves(ScoreComponent):
     """Shared by scores that compare whole distributions value by value.
 
-    A variable's distinct values are cut into chunks of CHUNK. Candidates meet a chunk of the
+    A variable's distinct values are cut into chunks of the context's size. Candidates meet a chunk of the
     whole in groups of GROUP, as one block of arrays, so neither a row nor a task holds a whole
     distribution.
     """
@@ -96,7 +97,7 @@ class WassersteinFidelity(_Curves):
 
     def prepare(self, context):
         super().prepare(context)
-        chunk = F.expr(f"at div {CHUNK}").alias("chunk")
+        chunk = F.expr(f"at div {context.chunk}").alias("chunk")
         following = self.grid.select("variable", (F.col("at") - 1).alias("at"), F.col("value").alias("next"))
         steps = self.grid.join(following, ["variable", "at"], "left").select("variable", chunk, F.struct("at", ((F.col("before") + F.col("n")) / F.col("total")).alias("cdf"), F.coalesce(F.col("next") - F.col("value"), F.lit(0.0)).alias("gap")).alias("step"))
         self.full = steps.groupBy("variable", "chunk").agg(F.array_sort(F.collect_list("step")).alias("steps")).transform(stored, "steps")
@@ -143,12 +144,12 @@ class DurationCurveFidelity(_Curves):
         super().prepare(context)
         whole = quantiles(self.grid, self.points).select("variable", F.posexplode("q").alias("point", "whole"))
         self.whole = whole.transform(stored, "quantiles")
-        values = self.grid.groupBy("variable", F.expr(f"at div {CHUNK}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("steps"))
+        values = self.grid.groupBy("variable", F.expr(f"at div {context.chunk}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("steps"))
         self.full = values.select("variable", "chunk", F.transform("steps", lambda s: s["value"]).alias("values")).transform(stored, "curve")
         self.held = context.held
 
     def score_all(self, members):
-        points = np.array(self.points)
+        points, size = np.array(self.points), self.context.chunk
 
         def parts(own: pa.Table, full: pa.Table) -> pa.Table:
             value = full.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -160,7 +161,7 @@ class DurationCurveFidelity(_Curves):
             held = own.column("held").combine_chunks()
             entries = held.flatten()
             if len(value) and len(entries):
-                at = entries.field("at").to_numpy() - own.column("chunk")[0].as_py() * CHUNK
+                at = entries.field("at").to_numpy() - own.column("chunk")[0].as_py() * size
                 np.add.at(counts, (np.repeat(row, held.value_lengths().fill_null(0).to_numpy()), at), entries.field("n").to_numpy())
             ends = np.cumsum(counts, axis=1)
             out = []
@@ -197,13 +198,13 @@ class NRMSEFidelity(_Curves):
     def prepare(self, context):
         super().prepare(context)
         last = F.col("before") + F.col("n") - 1
-        chunks = F.explode(F.sequence(F.expr(f"before div {CHUNK}"), F.expr(f"(before + n - 1) div {CHUNK}"))).alias("chunk")
+        chunks = F.explode(F.sequence(F.expr(f"before div {context.chunk}"), F.expr(f"(before + n - 1) div {context.chunk}"))).alias("chunk")
         runs = self.grid.select("variable", "value", F.col("before").alias("first"), last.alias("last"), "total", chunks)
         self.full = runs.groupBy("variable", "chunk").agg(F.array_sort(F.collect_list(F.struct("first", "last", "value"))).alias("runs"), F.first("total").alias("total")).transform(stored, "runs")
         self.means = self.grid.groupBy("variable").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.first("total").alias("total")).transform(stored, "means")
 
     def score_all(self, members):
-        size = CHUNK
+        size = self.context.chunk
 
         def squares(own: pa.Table, full: pa.Table) -> pa.Table:
             if not own.num_rows or not full.num_rows:
@@ -367,13 +368,36 @@ class DiversityReward(ScoreComponent):
 
     name, direction = "diversity", "max"
 
+    SENT = 64 << 20  # bytes of feature vectors that are sent to all tasks
+
     def score_all(self, members):
-        a, b = members.alias("a"), members.alias("b")
-        pairs = a.join(b, (F.col("a.combo_id") == F.col("b.combo_id")) & (F.col("a.pos") < F.col("b.pos")))
-        pairs = pairs.select("a.combo_id", F.col("a.slice_id").alias("i"), F.col("b.slice_id").alias("j"))
-        means = pairs.join(self.context.distances, ["i", "j"]).groupBy("combo_id").agg(F.avg("d").alias("m"))
+        if self.context.slices.count() * len(self.context.feature_columns) * 8 <= self.SENT:
+            means = self._by_candidate(members)
+        else:
+            a, b = members.alias("a"), members.alias("b")
+            both = a.join(b, (F.col("a.combo_id") == F.col("b.combo_id")) & (F.col("a.pos") < F.col("b.pos")))
+            both = both.select("a.combo_id", F.col("a.slice_id").alias("i"), F.col("b.slice_id").alias("j"))
+            means = both.join(self.context.distances, ["i", "j"]).groupBy("combo_id").agg(F.avg("d").alias("m"))
         return members.select("combo_id").distinct().join(means, "combo_id", "left").select("combo_id", F.coalesce("m", F.lit(0.0)).alias("score"))
 
+    def _by_candidate(self, members: DataFrame) -> DataFrame:
+        """combo_id and m, distances being made for each candidate from the vectors of all slices."""
+        rows = self.context.feature_vectors().orderBy("slice_id").collect()  # at most SENT bytes
+        shared = members.sparkSession.sparkContext.broadcast((np.array([r["slice_id"] for r in rows]), np.array([r["x"] for r in rows], float)))
+
+        def means(batches):
+            ids, x = shared.value
+            for batch in batches:
+                out = []
+                for chosen in batch.column("ids").to_pylist():
+                    v = x[np.searchsorted(ids, chosen)]
+                    d = distance_matrix(v, v, "euclidean")
+                    out.append(float(d[np.triu_indices(len(v), 1)].mean()))
+                yield pa.RecordBatch.from_arrays([batch.column("combo_id"), pa.array(out, pa.float64())], ["combo_id", "m"])
+
+        lists = members.groupBy("combo_id").agg(F.sort_array(F.collect_list("slice_id")).alias("ids")).where(F.size("ids") > 1)
+        return lists.mapInArrow(means, "combo_id long, m double")
+
 
 class CentroidBalance(ScoreComponent):
     """Distance of the selection's mean feature vector from the origin, the centre of scaled features."""
@@ -396,8 +420,9 @@ class CoverageBalance(ScoreComponent):
 
     def prepare(self, context):
         super().prepare(context)
-        kernel = F.exp(-self.gamma * F.col("d") * F.col("d"))
-        self.mass = context.distances.groupBy(F.col("j").alias("slice_id")).agg(F.sum(kernel).alias("mass")).transform(stored, "mass")
+        gamma = self.gamma
+        mass = sums_by_slice(context.feature_vectors(), "euclidean", lambda d: np.exp(-gamma * d * d))
+        self.mass = stored(mass.withColumnRenamed("s", "mass"), "mass")
 
     def score_all(self, members):
         per = Window.partitionBy("combo_id")

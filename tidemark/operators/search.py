@@ -13,9 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import BLOCK, distance_matrix, reduced, sums_by_slice
 from tidemark.functions.kernels import nonnegative_weights, simplex_weights
 from tidemark.operators.combos import CombinationGenerator
 from tidemark.operators.policies import ObjectiveSet, SelectionPolicy
@@ -74,10 +76,11 @@ class ObjectiveDrivenCombinatorialSearchAlgorithm(ObjectiveDrivenSearchAlgorithm
 
 
 class KMedoidsSearch(SearchAlgorithm):
-    """k medoids on the distances of all pairs of slices.
+    """k medoids by distances of feature vectors, made block by block and never kept as a table of all pairs.
 
     method 'alternate' assigns slices and updates each medoid in turn; 'pam' makes the swap of
     a medoid with another slice that lowers the sum of distances most, as long as one does.
+    A table holds each slice's distances to the medoids; a step computes those to new medoids only.
     init 'k-medoids++' draws starting medoids in proportion to squared distances, with
     random_state as seed; without one it takes the farthest slice each time, from the most
     central on. 'random' draws without weights, 'heuristic' takes the k most central slices
@@ -92,54 +95,73 @@ class KMedoidsSearch(SearchAlgorithm):
             raise ValueError(f"unknown metric, method or init: {metric!r}, {method!r}, {init!r}")
         self.k, self.metric, self.method, self.init, self.random_state, self.max_iter = k, metric, method, init, random_state, max_iter
 
-    @staticmethod
-    def _assigned(d: DataFrame, medoids: list[int]) -> DataFrame:
-        near = d.where(F.col("j").isin(medoids))
-        return near.groupBy(F.col("i").alias("slice_id")).agg(F.min_by("j", F.struct("d", "j")).alias("medoid"), F.min("d").alias("d"))
+    def _near(self, table: DataFrame, old: list[int], new: list[int]) -> DataFrame:
+        """slice_id, x, ds (distances to new), medoid (the nearest), d1 and d2 (of the nearest two); stored.
+
+        table has slice_id and x, and ds for the medoids in old; what stays of these is copied.
+        """
+        metric, added = self.metric, [m for m in new if m not in old]
+        rows = {r["slice_id"]: r["x"] for r in table.where(F.col("slice_id").isin(added)).select("slice_id", "x").collect()}  # at most k
+        wanted, places, names = np.array([rows[m] for m in added], float), [old.index(m) if m in old else len(old) + added.index(m) for m in new], np.array(new, np.int32)
+
+        def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.num_rows
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float)
+                fresh = distance_matrix(x, wanted, metric) if len(added) else np.zeros((n, 0))
+                kept = batch.column("ds").flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if old else fresh[:, :0]
+                ds = np.concatenate([kept, fresh], axis=1)[:, places]
+                nearest = ds.argmin(axis=1)
+                first = ds[np.arange(n), nearest]
+                second = np.partition(ds, 1, axis=1)[:, 1] if len(new) > 1 else np.full(n, np.inf)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(new)), pa.array(ds.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("slice_id"), batch.column("x"), lists, pa.array(names[nearest]), pa.array(first), pa.array(second)], ["slice_id", "x", "ds", "medoid", "d1", "d2"])
+
+        columns = ["slice_id", "x"] + (["ds"] if old else [])
+        return stored(table.select(*columns).mapInArrow(measured, "slice_id int, x array<double>, ds array<double>, medoid int, d1 double, d2 double"), "near")
 
     def _drawn(self, step: int):
         """A number between 0 and 1 for each slice, by seed and step."""
         return (F.pmod(F.xxhash64("slice_id", F.lit(self.random_state or 0), F.lit(step)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
-    def _start(self, context: ProblemContext, d: DataFrame) -> list[int]:
-        central = d.groupBy(F.col("i").alias("slice_id")).agg(F.sum("d").alias("s"))
-        if self.init == "heuristic":
-            return sorted(r["slice_id"] for r in central.orderBy("s", "slice_id").limit(self.k).collect())
+    def _start(self, context: ProblemContext, x: DataFrame) -> tuple[list[int], DataFrame]:
+        """Starting medoids in order, and the table of distances to them."""
         if self.init == "random":
-            return sorted(r["slice_id"] for r in context.slices.orderBy(self._drawn(0), "slice_id").limit(self.k).collect())
+            medoids = sorted(r["slice_id"] for r in context.slices.orderBy(self._drawn(0), "slice_id").limit(self.k).collect())
+            return medoids, self._near(x, [], medoids)
         by_seed = self.init == "k-medoids++" and self.random_state is not None
-        first = context.slices.agg(F.min_by("slice_id", self._drawn(0))) if by_seed else central.agg(F.min_by("slice_id", F.struct("s", "slice_id")))
-        medoids = [first.first()[0]]
+        if by_seed:
+            medoids = [context.slices.agg(F.min_by("slice_id", self._drawn(0))).first()[0]]
+        else:
+            central = sums_by_slice(x, self.metric).orderBy("s", "slice_id").limit(self.k if self.init == "heuristic" else 1)
+            medoids = sorted(r["slice_id"] for r in central.collect())
+        near = self._near(x, [], medoids)
         while len(medoids) < self.k:
-            near = self._assigned(d, medoids)
-            far = near.where(~F.col("slice_id").isin(medoids))
             if self.init == "build":
-                now = near.select(F.col("slice_id").alias("i"), F.col("d").alias("now"))
-                left = d.where(~F.col("j").isin(medoids)).join(now, "i").groupBy("j").agg(F.sum(F.least("d", "now")).alias("s"))
-                found = left.agg(F.min_by("j", F.struct("s", "j")))
-            elif by_seed:
-                # the smallest of exponential waiting times with rates of squared distances
-                wait = F.try_divide(-F.log(self._drawn(len(medoids))), F.col("d") * F.col("d"))
-                found = far.agg(F.min_by("slice_id", F.struct(wait.isNull(), wait, "slice_id")))
+                found = reduced(near.select("slice_id", "x", "d1"), self.metric, _covered, "slice_id int, s double")
+                found = found.where(~F.col("slice_id").isin(medoids)).groupBy("slice_id").agg(F.sum("s").alias("s")).agg(F.min_by("slice_id", F.struct("s", "slice_id")))
             else:
-                found = far.agg(F.max_by("slice_id", F.struct("d", -F.col("slice_id"))))
-            medoids.append(found.first()[0])
-        return sorted(medoids)
-
-    def _updated(self, d: DataFrame, medoids: list[int]) -> list[int]:
+                far = near.where(~F.col("slice_id").isin(medoids))
+                if by_seed:
+                    # the smallest of exponential waiting times with rates of squared distances
+                    wait = F.try_divide(-F.log(self._drawn(len(medoids))), F.col("d1") * F.col("d1"))
+                    found = far.agg(F.min_by("slice_id", F.struct(wait.isNull(), wait, "slice_id")))
+                else:
+                    found = far.agg(F.max_by("slice_id", F.struct("d1", -F.col("slice_id"))))
+            grown = [*medoids, found.first()[0]]
+            near, medoids = self._near(near, medoids, grown), grown
+        ordered = sorted(medoids)
+        return ordered, near if ordered == medoids else self._near(near, medoids, ordered)
+
+    def _updated(self, near: DataFrame, medoids: list[int]) -> list[int]:
         """Of each cluster the member with the smallest sum of distances to the others."""
-        a = self._assigned(d, medoids).select(F.col("slice_id").alias("i"), "medoid")
-        inside = d.join(a, "i").join(a.select(F.col("i").alias("j"), F.col("medoid").alias("other")), "j").where("medoid = other")
-        costs = inside.groupBy("medoid", "i").agg(F.sum("d").alias("s"))
-        return sorted(r["m"] for r in costs.groupBy("medoid").agg(F.min_by("i", F.struct("s", "i")).alias("m")).collect())
+        costs = sums_by_slice(near.select("slice_id", "x", "medoid"), self.metric, within="medoid").join(near.select("slice_id", "medoid"), "slice_id")
+        return sorted(r["m"] for r in costs.groupBy("medoid").agg(F.min_by("slice_id", F.struct("s", "slice_id")).alias("m")).collect())
 
-    def _swapped(self, d: DataFrame, medoids: list[int]) -> list[int]:
+    def _swapped(self, near: DataFrame, medoids: list[int]) -> list[int]:
         """Medoids after the best swap; the same where none helps."""
-        held = d.where(F.col("j").isin(medoids)).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("d", "j"))).alias("m"))
-        near = held.select("i", F.col("m")[0]["j"].alias("medoid"), F.col("m")[0]["d"].alias("d1"), F.coalesce(F.get("m", F.lit(1))["d"], F.lit(float("inf"))).alias("d2"))
-        both = d.where(~F.col("j").isin(medoids)).join(near, "i")
-        gain, loss = F.least(F.col("d") - F.col("d1"), F.lit(0.0)), F.least("d", "d2") - F.col("d1")
-        sums = both.groupBy("j", "medoid").agg(F.sum(gain).alias("gain"), F.sum(loss - gain).alias("more"))
+        parts = reduced(near.select("slice_id", "x", "medoid", "d1", "d2"), self.metric, _swap_parts, "j int, medoid int, gain double, more double")
+        sums = parts.where(~F.col("j").isin(medoids)).groupBy("j", "medoid").agg(F.sum("gain").alias("gain"), F.sum("more").alias("more"))
         total = sums.groupBy("j").agg(F.sum("gain").alias("all"))
         best = sums.join(total, "j").select("j", "medoid", (F.col("all") + F.col("more")).alias("change")).agg(F.min(F.struct("change", "medoid", "j")).alias("best")).first()[0]
         if best is None or best["change"] >= -1e-12:
@@ -149,23 +171,37 @@ class KMedoidsSearch(SearchAlgorithm):
     def find_selection(self, context):
         if not 1 <= self.k <= context.slices.count():
             raise ValueError("k must lie between 1 and the number of slices")
-        d = context.distances_by(self.metric)
-        medoids, steps = self._start(context, d), 0
+        medoids, near = self._start(context, stored(context.feature_vectors(), "vectors"))
+        steps = 0
         for steps in range(1, self.max_iter + 1):
-            new = self._updated(d, medoids) if self.method == "alternate" else self._swapped(d, medoids)
+            new = self._updated(near, medoids) if self.method == "alternate" else self._swapped(near, medoids)
             if new == medoids:
                 break
-            medoids = new
-        assigned = self._assigned(d, medoids)
-        clusters = cluster_table(context, assigned.select("slice_id", F.col("medoid").alias("cluster"))).persist()
+            near, medoids = self._near(near, medoids, new), new
+        clusters = stored(cluster_table(context, near.select("slice_id", F.col("medoid").alias("cluster"))), "clusters")
         rows = {r["cluster"]: r for r in clusters.collect()}
         n, wcss = sum(r["size"] for r in rows.values()), sum(r["wcss"] for r in rows.values())
-        inertia = assigned.agg(F.sum("d")).first()[0]
+        inertia = near.agg(F.sum("d1")).first()[0]
         selection = _labels(context, medoids)
         weights = _weights(context, [(m, rows[m]["size"] / n if m in rows else 0.0) for m in medoids])
         return RepSetResult(context, "subset", selection, {"wcss": wcss}, representatives_of(context, selection), weights, {"inertia": inertia, "n_iter": steps, "cluster_info": clusters})
 
 
+def _covered(d: np.ndarray, own: dict, other: dict) -> dict:
+    """For each slice of the other block what the own slices would be away from the nearest medoid if it were one."""
+    return {"slice_id": other["slice_id"].astype(np.int32), "s": np.minimum(d, own["d1"][:, None]).sum(axis=0)}
+
+
+def _swap_parts(d: np.ndarray, own: dict, other: dict) -> dict:
+    """What the own slices gain by each slice j of the other block as a further medoid, by their medoid, and what they lose if that goes."""
+    gain = np.minimum(d - own["d1"][:, None], 0.0)
+    more = np.minimum(d, own["d2"][:, None]) - own["d1"][:, None] - gain
+    names, of = np.unique(own["medoid"], return_inverse=True)
+    sums = [np.stack([part[of == m].sum(axis=0) for m in range(len(names))]) for part in (gain, more)]
+    j = other["slice_id"].astype(np.int32)
+    return {"j": np.tile(j, len(names)), "medoid": np.repeat(names.astype(np.int32), len(j)), "gain": sums[0].ravel(), "more": sums[1].ravel()}
+
+
 def cluster_table(context: ProblemContext, assigned: DataFrame) -> DataFrame:
     """cluster, size, first and last slice, wcss (around the centroid) and nearest, the member nearest to it."""
     x = context.feature_vectors().join(assigned, "slice_id").select("cluster", "slice_id", F.posexplode("x").alias("f", "v"))
@@ -227,8 +263,12 @@ def merged_runs(x: np.ndarray, k: int, linkage: str) -> list[int]:
         if linkage == "ward":
             gap = (sums[b] - sums[a]) / (b - a) - (sums[c] - sums[b]) / (c - b)
             return (b - a) * (c - b) / (c - a) * float(gap @ gap)
-        d = np.sqrt(((x[a:b, None] - x[None, b:c]) ** 2).sum(axis=2))
-        return float(d.max() if linkage == "complete" else d.mean())
+        far, total = 0.0, 0.0  # block by block, so that two long runs need no table of all their pairs
+        for i in range(a, b, BLOCK):
+            for j in range(b, c, BLOCK):
+                d = distance_matrix(x[i : min(i + BLOCK, b)], x[j : min(j + BLOCK, c)], "euclidean")
+                far, total = max(far, float(d.max())), total + float(d.sum())
+        return far if linkage == "complete" else total / ((b - a) * (c - b))
 
     heap = [(cost(a, a + 1, a + 2), a, a + 1, a + 2) for a in range(n - 1)]
     heapq.heapify(heap)
@@ -313,14 +353,15 @@ class SnippetSearch(SearchAlgorithm):
         last = n - self.length
         if last < 0 or last // self.step + 1 < self.k:
             raise ValueError("there are too few windows")
-        starts = context.slices.sparkSession.range(0, last + 1, self.step).select(F.col("id").cast("int").alias("w"))
-        held = starts.select("w", F.explode(F.sequence(F.col("w"), F.col("w") + self.length - 1)).alias("j"))
-        return context.distances.join(held, "j").groupBy("i", "w").agg(F.min(F.col("d") * F.col("d")).alias("d"))
+        # a window that slides over each day's distances in time; every step_days-th one is kept
+        ahead = Window.partitionBy("i").orderBy("j").rowsBetween(0, self.length - 1)
+        least = context.distances.select("i", F.col("j").alias("w"), F.min(F.col("d") * F.col("d")).over(ahead).alias("d"))
+        return least.where((F.col("w") <= last) & (F.col("w") % self.step == 0))
 
     def find_selection(self, context):
         if context.slicer.unit != "day":
             raise ValueError("snippets need slices of a day")
-        d = self.window_distances(context).persist()
+        d = stored(self.window_distances(context), "windows")
         if self.first_pick == "first":
             chosen = [0]
         else:
@@ -330,7 +371,7 @@ class SnippetSearch(SearchAlgorithm):
             left = d.where(~F.col("w").isin(chosen)).join(now, "i").groupBy("w").agg(F.sum(F.least("d", "now")).alias("s"))
             chosen.append(left.agg(F.min_by("w", F.struct("s", "w"))).first()[0])
         order = F.element_at(F.create_map(*[F.lit(v) for i, w in enumerate(chosen) for v in (w, i)]), F.col("w"))
-        near = d.where(F.col("w").isin(chosen)).withColumn("pos", order).groupBy("i").agg(F.min_by("w", F.struct("d", "pos")).alias("w"), F.min("d").alias("d")).persist()
+        near = d.where(F.col("w").isin(chosen)).withColumn("pos", order).groupBy("i").agg(F.min_by("w", F.struct("d", "pos")).alias("w"), F.min("d").alias("d")).transform(stored, "nearest")
         rows = {r["w"]: r for r in near.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("s")).collect()}
         n = sum(r["n"] for r in rows.values())
         selection = _labels(context, chosen)

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, NumericType
 
+from tidemark.functions.blocks import pairs
 from tidemark.functions.order import quantiles, value_grid
 from tidemark.sources.tables import stored
 
-CHUNK = 4096  # distinct values of a variable that are compared at once
 UNITS = ("year", "month", "week", "day", "hour")
 _LABELS = {"year": "yyyy", "month": "yyyy-MM", "day": "yyyy-MM-dd", "hour": "yyyy-MM-dd HH:mm:ss"}
 
@@ -98,6 +98,7 @@ class ProblemContext:
     ts_col: str = "ts"
     metadata: dict[str, Any] = field(default_factory=dict)
     df_features: DataFrame | None = None
+    chunk: int = 4096  # distinct values of a variable that scores compare at once
 
     @cached_property
     def variables(self) -> list[str]:
@@ -143,12 +144,12 @@ class ProblemContext:
 
     @cached_property
     def held(self) -> DataFrame:
-        """slice_id, variable, chunk, held (at, n), here, below and rows: a slice's values in each chunk of CHUNK of the grid.
+        """slice_id, variable, chunk, held (at, n), here, below and rows: a slice's values in each chunk of the grid.
 
         here counts its rows in the chunk, below those in earlier chunks, rows all of the slice. A slice has a
         row for every chunk of the variable, with held null where it has no value.
         """
-        chunk = F.expr(f"at div {CHUNK}").alias("chunk")
+        chunk = F.expr(f"at div {self.chunk}").alias("chunk")
         counts = self.value_counts.join(self.grid.select("variable", "value", "at"), ["variable", "value"])
         found = counts.groupBy("slice_id", "variable", chunk).agg(F.collect_list(F.struct("at", "n")).alias("held"), F.sum("n").alias("here"))
         chunks = self.grid.groupBy("variable").agg(F.max(chunk).alias("last")).select("variable", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("chunk"))
@@ -175,16 +176,8 @@ class ProblemContext:
 
     @cached_property
     def distances(self) -> DataFrame:
-        """i, j and d, the Euclidean distance of features, for all pairs of slices; the square of their number by definition."""
-        x = self.feature_vectors().persist()
-        return _distances(x, x).persist()
-
-    def distances_by(self, metric: str) -> DataFrame:
-        """The same by another metric of METRICS."""
-        if metric == "euclidean":
-            return self.distances
-        x = self.feature_vectors().persist()
-        return _distances(x, x, metric).persist()
+        """i, j and d, the Euclidean distance of features, for all pairs of slices; for readers that need every pair."""
+        return stored(pairs(self.feature_vectors(), "euclidean"), "distances")
 
     def distances_to(self, selected: DataFrame) -> DataFrame:
         """i, j and d from every slice to those in selected (slice_id) alone."""
