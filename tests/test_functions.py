@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import blocks, skyline
+from tidemark.functions.kernels import inversions, kendall_tau
 from tidemark.functions.order import quantiles, value_grid
+from tidemark.operators.combos import unrank
 
 POINTS = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
 
@@ -89,3 +93,29 @@ def test_block_distances(spark, monkeypatch, metric):
     assert sums == pytest.approx(dict(enumerate((d * d).sum(0))))
     within = {r["slice_id"]: r["s"] for r in blocks.sums_by_slice(df, metric, within="part").collect()}
     assert within == pytest.approx({j: sum(d[i, j] for i in range(40) if i % 3 == j % 3) for j in range(40)})
+
+
+def test_kendall_by_inversions():
+    rng = np.random.default_rng(6)
+    for n, values in ((0, 3), (1, 3), (2, 2), (30, 4), (60, 1000)):
+        x, y = rng.integers(0, values, (2, n)).astype(float)
+        assert inversions(x) == sum(x[i] > x[j] for i in range(n) for j in range(i + 1, n))
+        sx, sy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+        with np.errstate(invalid="ignore"):
+            want = (sx * sy).sum() / np.sqrt((sx**2).sum() * (sy**2).sum()) if n else np.nan
+        assert kendall_tau(x, y) == pytest.approx(want, nan_ok=True)
+    x = rng.standard_normal(200_000)
+    assert kendall_tau(x, x) == pytest.approx(1) and kendall_tau(x, -x) == pytest.approx(-1)
+
+
+@pytest.mark.parametrize(("n", "k"), [(1, 1), (5, 1), (6, 3), (9, 4), (7, 7)])
+def test_unranked_sets_are_those_of_itertools(n, k):
+    want = list(itertools.combinations(range(n), k))
+    assert [tuple(r) for r in unrank(np.arange(len(want)), n, k)] == want
+
+
+def test_unranking_far_out():
+    import math
+
+    last = math.comb(2_000, 4) - 1
+    assert unrank(np.array([0, last]), 2_000, 4).tolist() == [[0, 1, 2, 3], [1996, 1997, 1998, 1999]]

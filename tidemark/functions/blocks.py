@@ -33,16 +33,17 @@ def distance_matrix(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(out) if metric in ("euclidean", "l2") else out
 
 
-def reduced(vectors: DataFrame, metric: str, kernel: Callable[[np.ndarray, dict, dict], dict], schema: str, within: str | None = None) -> DataFrame:
+def reduced(vectors: DataFrame, metric: str | None, kernel: Callable[[np.ndarray | None, dict, dict], dict], schema: str, within: str | None = None, size: int | None = None) -> DataFrame:
     """What kernel makes of every pair of blocks, as rows of schema.
 
     vectors: slice_id (whole numbers from 0), x and other columns. kernel gets the distances of a
     block's slices (rows) from another's (columns), and both blocks' columns as arrays; it returns
-    the columns of schema. within: a column; only slices that agree in it meet.
+    the columns of schema. within: a column; only slices that agree in it meet. Without a metric
+    the distances are left to the kernel, and x may differ in length. size: slices of a block.
     """
     keys = ["block"] + ([within] if within else [])
     names = [c for c in vectors.columns if c != "x"]
-    block = F.expr(f"slice_id div {BLOCK}").cast("int").alias("block")
+    block = F.expr(f"slice_id div {size or BLOCK}").cast("int").alias("block")
     blocks = vectors.select("*", block).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*names, "x"))).alias("rows"))
     places = blocks.select(*keys).withColumnRenamed("block", "to")
     if within:
@@ -56,14 +57,15 @@ def reduced(vectors: DataFrame, metric: str, kernel: Callable[[np.ndarray, dict,
     def columns(values: pa.StructArray) -> dict:
         found = {n: values.field(n).to_numpy(zero_copy_only=False) for n in names}
         x = values.field("x")
-        found["x"] = x.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(float)
+        flat = x.flatten().to_numpy(zero_copy_only=False).astype(float)
+        found["x"] = flat.reshape(len(values), -1) if metric else np.split(flat, np.cumsum(x.value_lengths().to_numpy())[:-1])
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 own, other = (columns(batch.column(c).slice(i, 1).flatten()) for c in ("own", "rows"))
-                made = kernel(distance_matrix(own["x"], other["x"], metric), own, other)
+                made = kernel(distance_matrix(own["x"], other["x"], metric) if metric else None, own, other)
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in made.values()], list(made))
 
     return met.repartition(vectors.sparkSession.sparkContext.defaultParallelism * 2).mapInArrow(run, schema)

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import math
 from abc import ABC, abstractmethod
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,20 @@ def subsets(items: DataFrame, column: str, k: int) -> DataFrame:
     return grown
 
 
+def unrank(numbers: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The k-subsets of range(n) with the given numbers in lexicographic order, one a row; by the combinatorial number system."""
+    rest, low = np.asarray(numbers, np.int64).copy(), np.zeros(len(numbers), np.int64)
+    out = np.zeros((len(rest), k), np.int64)
+    for place in range(k):
+        # sets that begin with less than e at this place, those before low taken off
+        below = np.concatenate([[0], np.cumsum([math.comb(n - e - 1, k - place - 1) for e in range(n)])]).astype(np.int64)
+        wanted = rest + below[low]
+        out[:, place] = np.searchsorted(below, wanted, side="right") - 1
+        rest = wanted - below[out[:, place]]
+        low = out[:, place] + 1
+    return out
+
+
 SEASONS = ("winter", "spring", "summer", "fall")  # three months each, from December on
 
 
@@ -35,10 +52,13 @@ class CombinationGenerator(ABC):
 
     def generate(self, context: ProblemContext) -> DataFrame:
         """combo_id (from 0), slice_ids (array<int>), label."""
+        return self._labelled(context, numbered_in_order(self._chosen(context), ["slice_ids"], "combo_id"))
+
+    @staticmethod
+    def _labelled(context: ProblemContext, numbered: DataFrame) -> DataFrame:
         names = context.slices.agg(F.transform(F.array_sort(F.collect_list(F.struct("slice_id", "slice_label"))), lambda s: s["slice_label"]).alias("names"))
-        numbered = numbered_in_order(self._chosen(context), ["slice_ids"], "combo_id").crossJoin(F.broadcast(names))  # one row
         label = F.array_join(F.transform("slice_ids", lambda i: F.col("names")[i]), ", ")
-        return numbered.select("combo_id", "slice_ids", label.alias("label"))
+        return numbered.crossJoin(F.broadcast(names)).select("combo_id", "slice_ids", label.alias("label"))  # one row of names
 
     @abstractmethod
     def _chosen(self, context: ProblemContext) -> DataFrame:
@@ -64,10 +84,21 @@ class ExhaustiveCombiGen(CombinationGenerator):
     def __init__(self, k: int):
         self.k = k
 
+    def generate(self, context):
+        """Candidate number i is unranked where it is needed: there is no join, no sort and no numbering."""
+        numbers = context.slices.sparkSession.range(self.count(context)).select(F.col("id").alias("combo_id"))
+        n, k = context.slices.count(), self.k
+
+        def unranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = unrank(batch.column("combo_id").to_numpy(), n, k).astype(np.int32)
+                offsets = np.arange(len(found) + 1, dtype=np.int32) * k
+                yield pa.RecordBatch.from_arrays([batch.column("combo_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))], ["combo_id", "slice_ids"])
+
+        return self._labelled(context, numbers.mapInArrow(unranked, "combo_id long, slice_ids array<int>"))
+
     def _chosen(self, context):
-        if self.k < 1:
-            return context.slices.limit(0).select(F.array("slice_id").alias("slice_ids"))
-        return subsets(context.slices, "slice_id", self.k).withColumnRenamed("chosen", "slice_ids")
+        return self.generate(context).select("slice_ids")
 
     def count(self, context):
         return math.comb(context.slices.count(), self.k) if self.k >= 1 else 0

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
+from tidemark.functions.kernels import kendall_tau
 from tidemark.functions.order import numbered_in_order
 from tidemark.operators.policies import ObjectiveSet
 from tidemark.plans.context import ProblemContext
@@ -51,6 +55,23 @@ def _long_features(context: ProblemContext, columns: list[str] | None) -> DataFr
     return context.features.unpivot(["slice_id"], names, "feature", "value").where("value is not null")
 
 
+def _kendall(long: DataFrame, lower: bool) -> DataFrame:
+    """a, b and r, Kendall's tau-b of every pair of features; a pair is one row of two arrays, counted in n log n."""
+    rows = long.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("slice_id", "value"))).alias("rows"))
+    known = rows.select("feature", F.transform("rows", lambda r: r["value"]).alias("v"))
+    names = known.agg(F.collect_list("feature").alias("b"))  # one row
+    sent = known.select(F.col("feature").alias("a"), F.col("v").alias("x")).crossJoin(F.broadcast(names)).withColumn("b", F.explode("b"))
+    if lower:
+        sent = sent.where("a > b")
+    both = sent.join(known.select(F.col("feature").alias("b"), F.col("v").alias("y")), "b")
+
+    @pandas_udf("double")
+    def tau(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([kendall_tau(np.asarray(p, float), np.asarray(q, float)) for p, q in zip(x, y, strict=True)], dtype=float)
+
+    return both.select("a", "b", tau("x", "y").alias("r")).select("a", "b", F.nanvl("r", F.lit(None).cast("double")).alias("r"))
+
+
 def feature_correlation(context: ProblemContext, columns: list[str] | None = None, method: str = "pearson", lower: bool = False) -> DataFrame:
     """a, b and r for pairs of features: pearson, spearman (of average ranks) or kendall (tau-b)."""
     long = _long_features(context, columns)
@@ -61,17 +82,13 @@ def feature_correlation(context: ProblemContext, columns: list[str] | None = Non
         long = long.select("slice_id", "feature", (rank + (ties - 1) / 2).alias("value"))
     elif method not in ("pearson", "kendall"):
         raise ValueError(f"unknown method {method!r}")
+    if method == "kendall":
+        return _kendall(long, lower)
     a = long.select("slice_id", F.col("feature").alias("a"), F.col("value").alias("x"))
     b = long.select("slice_id", F.col("feature").alias("b"), F.col("value").alias("y"))
     both = a.join(b, "slice_id")
     if lower:
         both = both.where("a > b")
-    if method == "kendall":
-        one, two = both.alias("p"), both.alias("q")
-        pairs = one.join(two, (F.col("p.a") == F.col("q.a")) & (F.col("p.b") == F.col("q.b")) & (F.col("p.slice_id") < F.col("q.slice_id")))
-        dx, dy = F.signum(F.col("p.x") - F.col("q.x")), F.signum(F.col("p.y") - F.col("q.y"))
-        sums = pairs.groupBy("p.a", "p.b").agg(F.sum(dx * dy).alias("s"), F.sum(F.abs(dx)).alias("nx"), F.sum(F.abs(dy)).alias("ny"))
-        return sums.select("a", "b", F.try_divide("s", F.sqrt(F.col("nx") * F.col("ny"))).alias("r"))
     moments = both.groupBy("a", "b").agg(F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"))
     return moments.select("a", "b", F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy")).alias("r"))
 

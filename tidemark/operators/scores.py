@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tidemark.functions.blocks import distance_matrix, sums_by_slice
+from tidemark.functions.blocks import distance_matrix, reduced, sums_by_slice
 from tidemark.functions.kernels import dtw_abs, dtw_multivariate
 from tidemark.functions.order import quantiles
 from tidemark.operators.combos import members_of
@@ -336,24 +336,22 @@ class DiurnalDTWFidelity(_HourProfiles):
 class DTWFidelity(ScoreComponent):
     """Mean over the slices left out of the smallest warped distance to a selected slice.
 
-    Distances of all pairs of slices are computed once, in Arrow batches; candidates are joined.
+    Distances of all pairs of slices are computed once, candidates are joined. Profiles meet in
+    blocks of BLOCK, so a profile is sent once for each block and not for each pair.
     """
 
-    name = "dtw"
+    name, BLOCK = "dtw", 8
 
     def prepare(self, context):
         super().prepare(context)
         width = len(context.variables)
 
-        @pandas_udf("double")
-        def warped(a: pd.Series, b: pd.Series) -> pd.Series:
-            shape = lambda v: np.asarray(v, float).reshape(-1, width)
-            return pd.Series([dtw_multivariate(shape(x), shape(y)) for x, y in zip(a, b, strict=True)])
+        def warped(_, own: dict, other: dict) -> dict:
+            rows = [(i, j, dtw_multivariate(x.reshape(-1, width), y.reshape(-1, width))) for i, x in zip(own["slice_id"], own["x"], strict=True) for j, y in zip(other["slice_id"], other["x"], strict=True) if i < j]
+            return {n: np.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate((("i", np.int32), ("j", np.int32), ("d", float)))}
 
-        p = DirectProfileFeatureEngineer().profiles(context).persist()
-        pairs = p.alias("a").join(p.alias("b"), F.col("a.slice_id") < F.col("b.slice_id"))
-        pairs = pairs.repartition(p.sparkSession.sparkContext.defaultParallelism * 4, "a.slice_id", "b.slice_id")
-        half = pairs.select(F.col("a.slice_id").alias("i"), F.col("b.slice_id").alias("j"), warped("a.profile", "b.profile").alias("d")).transform(stored, "pairs")
+        profiles = DirectProfileFeatureEngineer().profiles(context).select("slice_id", F.col("profile").alias("x"))
+        half = reduced(profiles, None, warped, "i int, j int, d double", size=self.BLOCK).transform(stored, "pairs")
         self.pairs = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
 
     def score_all(self, members):
