@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.llm import pii, quality, queries, toxicity
+from tidemark.llm import neardup, pii, quality, queries, textscan, toxicity
+from tidemark.llm.textscan import column_bytes, word_hashes, word_spans
 from tests.llm.conftest import odd_rows
 
 
@@ -254,6 +255,37 @@ def test_messages_with_loops_come_near():
     assert np.abs(field.beliefs(local, linked, hub, 2) - enumerated(field, local, linked, hub, 2)).max() < 0.05
 
 
+def test_messages_settle_on_texts_that_swing():
+    """Few values again and again close many loops; the rounds stay bounded and do not grow with the text."""
+    rng = np.random.default_rng(11)
+    field = pii.fit(["mail jo@example.org or call +49 30 1234 5678, host 10.0.0.1, card 4111 1111 1111 1111"] * 3)
+    pool = ["jo@example.org", "10.0.0.1", "4111", "1111", "+49", "30", "1234", "x7", "word", "55512345"]
+    for n in (500, 2_000, 8_000, 100_000):
+        field.spans(" ".join(rng.choice(pool, n)))
+        assert field.rounds < 200, n
+
+
+def test_memory_of_long_texts():
+    """Scans of one text of 20 MB take arrays for its words and none of eight bytes for each byte."""
+    import tracemalloc
+
+    text = pa.array(["a quick Brown fox! 42 | you #1\n" * (20_000_000 // 31)])
+    for scan in (lambda c: quality.line_features(*column_bytes(c)), lambda c: toxicity.dense_features(c, np.zeros(0, np.uint64)), lambda c: list(neardup.shingle_sets(c))):
+        tracemalloc.start()
+        scan(text)
+        assert tracemalloc.get_traced_memory()[1] < 30 * 20_000_000  # words of four bytes; longer ones take less
+        tracemalloc.stop()
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    data, offsets = column_bytes(pa.array(["Some words, ONE " + "long" * 40 + " here", "", "x y z " * 30]))
+    starts, ends, _ = word_spans(data, offsets)
+    whole = word_hashes(data, starts, ends)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(textscan, "CHUNK_BYTES", size)
+        assert (word_hashes(data, starts, ends) == whole).all()
+
+
 def test_repeated_tokens_share_a_hub():
     """A token that looks like nothing takes the label of its like elsewhere in the text, however short or far away."""
     tokens = pii.Tokens("id 41111111 then many words and id 41111111 again, 10.0.0.1 and 10.0.0.1, 7 alone")

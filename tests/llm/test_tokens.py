@@ -45,6 +45,18 @@ def test_bpe_digests_match_the_library(spark, sf_dir, texts, library):
         assert r["decoded_sha256"] == hexed(library.decode(ids, skip_special_tokens=False))
 
 
+def test_bpe_of_every_code_point(library, encoder):
+    """Alone, doubled, between letters and among marks: classes, lower case and normalisation are those of the library."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for shape in ("a{0}b {0}{0} 1{0}'s", "e\u0315{0}\u0301 {0}\u0334", "\U00011935{0} q\u0323{0}"):
+        texts = [shape.format(c) for c in points]
+        for a in range(0, len(texts), 200_000):
+            ids, offsets = encoder.encode(texts[a : a + 200_000])
+            ids = ids.tolist()
+            for text, found, x, y in zip(texts[a : a + 200_000], library.encode_batch(texts[a : a + 200_000], add_special_tokens=False), offsets[:-1].tolist(), offsets[1:].tolist()):
+                assert ids[x:y] == found.ids, [hex(ord(c)) for c in text]
+
+
 ASSIGNED = st.characters(exclude_categories=["Cn", "Cs"])
 
 

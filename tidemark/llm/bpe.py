@@ -58,6 +58,29 @@ SPLITTING = [
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
 SPACE, LETTER, NUMBER, SIGN, SPECIAL = range(5)
+
+# Ranges of letters and numbers that the tokenizers library knows and this Python's Unicode database may not.
+NEWER_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEWER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+# Capital letters that the library lowers and this Python may not, and the distances to the small ones.
+NEWER_CAPITALS = [
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1),
+    (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+]
+# Ranges of marks that the library's normaliser does not know, so that it neither moves nor joins them.
+UNKNOWN_MARKS = [
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA),
+    (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B),
+    (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47),
+    (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136),
+    (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+_MARKS = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in UNKNOWN_MARKS) + "])")
+_LOWERED = {c: c + by for a, b, by in NEWER_CAPITALS for c in range(a, b + 1)} | {ord("Σ"): "σ"}  # capital sigma as it stands, not by its place in the word
 HOLD = 0xD800  # surrogates, which no text holds, stand for special tokens
 
 
@@ -262,12 +285,15 @@ class TokenizationAutomaton:
 
 
 def _kinds() -> np.ndarray:
-    """The kind of each code point. Those that Unicode 15 did not assign are signs, whatever they became later."""
+    """The kind of each code point, as the library's patterns see it."""
     kinds = np.full(0x110000, SIGN, np.uint8)
     for code in range(0x110000):
         category = unicodedata.category(chr(code))
         if category[0] in "LN":
             kinds[code] = LETTER if category[0] == "L" else NUMBER
+    for kind, ranges in ((LETTER, NEWER_LETTERS), (NUMBER, NEWER_NUMBERS)):
+        for a, b in ranges:
+            kinds[a : b + 1] = kind
     kinds[WHITE] = SPACE
     kinds[HOLD : HOLD + 0x800] = SPECIAL
     return kinds
@@ -278,7 +304,7 @@ class TextEncoder:
 
     Reads a tokenizer file with NFC, white space and lower-case normalisation, the splitting
     pattern above, byte-level symbols, an end-of-word mark and no decoder; any other raises
-    ValueError. Letters whose lower case Unicode 16 or a later version added keep their case.
+    ValueError. Classes of characters, lower case and normalisation are those of the library.
     """
 
     def __init__(self, spec: str):
@@ -308,8 +334,13 @@ class TextEncoder:
 
     @staticmethod
     def _plain(text: str) -> str:
-        # capital sigma is lowered as it stands, not by its place in the word
-        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if text.isascii():
+            return text.lower()
+        if _MARKS.search(text):
+            text = "".join([unicodedata.normalize("NFC", part) for part in _MARKS.split(text)])
+        else:
+            text = unicodedata.normalize("NFC", text)
+        return text.translate(_LOWERED).lower()
 
     def _word_starts(self, codes: np.ndarray, kinds: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         """Whether a word starts at each code point; firsts are the places where texts start."""

@@ -38,7 +38,9 @@ STEPS, RATE, DECAY = 250, 0.1, 1e-3
 STRETCH = 20_000  # characters of a training text; longer ones give several
 TINY = 1e-200  # keeps messages above zero
 SETTLED = 1e-6  # messages that change by no more are done
-UNDAMPED, LOOPS = 50, 1_000  # rounds before messages are averaged with the last ones; rounds beyond one for each token
+ROUNDS = 400  # of messages at most
+STALE, FALLEN = 8, 0.9  # rounds in which the largest change has not fallen to that share before messages are damped more
+DAMPED = 0.875  # at most
 PIECE = 65_536  # tokens whose features are held at a time
 
 # The base patterns.
@@ -230,8 +232,8 @@ class SkipChain:
 
         if not len(one) and not len(held):
             return gathered()
-        # without loops the messages are exact after as many rounds as the longest path has edges
-        for round_ in range(len(own) + LOOPS):
+        kept, least, stale = 0.0, np.inf, 0  # share of the last messages that stays in the new ones
+        for self.rounds in range(1, ROUNDS + 1):
             all_in = gathered()
             up = np.log(_unit((all_in[held] / down) @ favour))
             total = np.stack([np.bincount(of, up[:, k], hubs) for k in range(up.shape[1])], axis=1)
@@ -241,12 +243,14 @@ class SkipChain:
                 _unit((all_in[one + 1] / ahead) @ step.T),
                 _unit(np.exp(rest - rest.max(axis=1, keepdims=True)) @ favour.T),
             ]
-            if round_ >= max(UNDAMPED, len(own)):
-                new = [(x + y) / 2 for x, y in zip(new, (ahead, back, down), strict=True)]
             change = max(np.abs(x - y).max() if len(x) else 0.0 for x, y in zip(new, (ahead, back, down), strict=True))
-            ahead, back, down = new
             if change <= SETTLED:
+                ahead, back, down = new
                 break
+            least, stale = (change, 0) if change < FALLEN * least else (least, stale + 1)
+            if stale == STALE:  # loops keep messages swinging
+                kept, least, stale = min((1 + kept) / 2, DAMPED), np.inf, 0
+            ahead, back, down = ((1 - kept) * x + kept * y for x, y in zip(new, (ahead, back, down), strict=True))
         return gathered()
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import label_sample, labelled_texts, written
-from tidemark.llm.textscan import chunks, column_bytes, word_hashes, word_spans
+from tidemark.llm.textscan import chunks, column_bytes, sums_between, word_hashes, word_spans
 
 SAMPLE = 4_000  # labelled documents that fit the field
 ROUNDS, STEPS, RATE, DECAY = 3, 150, 0.1, 1e-3
@@ -47,9 +47,9 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     starts, ends, firsts = word_spans(data, offsets)
     if not len(starts):
         return np.zeros((0, len(LINE_FEATURES))), np.zeros(0), np.zeros(len(offsets), np.int64)
-    line_ends = np.concatenate([[0], np.cumsum(data == 10)])
+    line_ends = np.flatnonzero(data == 10)
     fresh = np.ones(len(starts), bool)
-    fresh[1:] = line_ends[starts[1:]] > line_ends[ends[:-1]]
+    fresh[1:] = np.searchsorted(line_ends, starts[1:]) > np.searchsorted(line_ends, ends[:-1])
     fresh[firsts[:-1][np.diff(firsts) > 0]] = True
     heads = np.flatnonzero(fresh)  # first word of each line
     tails = np.concatenate([heads[1:], [len(starts)]])
@@ -57,12 +57,10 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     size, words = (b - a).astype(float), (tails - heads).astype(float)
 
     def share(table: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(table[data])])
-        return (total[b] - total[a]) / size
+        return sums_between(table[data].view(np.uint8), a, b) / size
 
     def only(code: int) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(data == code)])
-        return (total[b] - total[a]) / words
+        return sums_between((data == code).view(np.uint8), a, b) / words
 
     hashes = word_hashes(data, starts, ends)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))

@@ -127,7 +127,22 @@ def word_counts(column: pa.Array) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased, from prefix sums of a polynomial."""
+    """A 64-bit hash of each word with A-Z lower-cased, from prefix sums of a polynomial.
+
+    Words stand in order and do not overlap. They are hashed some CHUNK_BYTES of data at a time, a longer word alone.
+    """
+    if not len(starts) or ends[-1] - starts[0] <= CHUNK_BYTES:
+        return _hashes(data, starts, ends)
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, side="right")))
+        low = starts[i]
+        out[i:j] = _hashes(data[low : ends[j - 1]], starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     global _powers, _inverse
     powers, inverse = _powers, _inverse
     if len(powers) <= len(data):
@@ -135,10 +150,19 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE, np.uint64)]), dtype=np.uint64)
         back = pow(_BASE, -1, 1 << 64)
         inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, back, np.uint64)]), dtype=np.uint64)
-        if n <= 4 * CHUNK_BYTES:  # those of a very long row are not kept
+        if n <= 4 * CHUNK_BYTES:  # those of a very long word are not kept
             _powers, _inverse = powers, inverse
     terms = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers[: len(data)]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(terms, out=sums[1:])
     raw = (sums[ends] - sums[starts]) * inverse[starts]
     return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def sums_between(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of small whole numbers over ranges that stand in order, do not overlap and are not empty."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    bounds = np.column_stack([starts, ends]).ravel()
+    bounds = bounds[:-1] if bounds[-1] == len(values) else bounds
+    return np.add.reduceat(values, bounds, dtype=np.int64)[::2]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import label_sample, labelled_texts, written
-from tidemark.llm.textscan import chunks, column_bytes, mix64, word_hashes
+from tidemark.llm.textscan import chunks, column_bytes, mix64, sums_between, word_hashes
 
 SAMPLE = 12_000  # documents that fit lexicon, trees and calibration together
 TREES, DEPTH = 16, 3
@@ -152,7 +152,9 @@ def dense_features(column: pa.Array, lexicon: np.ndarray) -> np.ndarray:
             return np.diff(np.concatenate([[0], np.cumsum(flags)])[firsts]).astype(float)
 
         def per_byte(flags: np.ndarray, part=part) -> np.ndarray:
-            return np.diff(np.concatenate([[0], np.cumsum(flags)])[part]).astype(float)
+            found, held = np.zeros(len(part) - 1), part[:-1] < part[1:]
+            found[held] = sums_between(flags.view(np.uint8), part[:-1][held], part[1:][held])
+            return found
 
         keys = _keys(own, starts, ends)
         words = _held(keys[0], lexicon)
@@ -165,8 +167,7 @@ def dense_features(column: pa.Array, lexicon: np.ndarray) -> np.ndarray:
         near = stems & (before[high] > before[low])
 
         def inside(flags: np.ndarray, starts=starts, ends=ends) -> np.ndarray:
-            total = np.concatenate([[0], np.cumsum(flags)])
-            return total[ends] - total[starts]
+            return sums_between(flags.view(np.uint8), starts, ends)
 
         letters = inside(_LETTER[own])
         capital_words = (inside(_UPPER[own]) == ends - starts) & (ends - starts > 1)
