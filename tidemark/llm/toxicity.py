@@ -38,6 +38,7 @@ SECOND_PERSON = ["you", "your", "yours", "yourself", "u", "ur", "tu", "te", "toi
 # Signs and digits that stand for letters.
 LOOK_ALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
+SLICE = 1 << 16  # words whose keys are held at a time
 FEATURES = ["log_words", "lexicon", "lexicon_hits", "stems", "stem_hits", "near_person", "person", "capitals", "capital_words", "punctuation", "exclamation", "obfuscated", "repeated"]
 
 _LETTER = np.zeros(256, bool)
@@ -156,15 +157,20 @@ def dense_features(column: pa.Array, lexicon: np.ndarray) -> np.ndarray:
             found[held] = sums_between(flags.view(np.uint8), part[:-1][held], part[1:][held])
             return found
 
-        keys = _keys(own, starts, ends)
-        words = _held(keys[0], lexicon)
-        stems = words | _held(keys[1], lexicon) | _held(keys[2], lexicon)
-        person = _held(keys[0], person_keys)
+        row_of = np.repeat(np.arange(rows, dtype=np.int32), np.diff(firsts))
+        words, stems, person, repeated, near = np.zeros((5, len(starts)), bool)
+        for i in range(0, len(starts), SLICE):  # keys of some words at a time, with the word before them
+            j, h = min(i + SLICE, len(starts)), max(i - 1, 0)
+            keys = _keys(own[starts[h] : ends[j - 1]], starts[h:j] - starts[h], ends[h:j] - starts[h])
+            repeated[h + 1 : j] = (keys[0][1:] == keys[0][:-1]) & (row_of[h + 1 : j] == row_of[h : j - 1])
+            keys = keys[:, i - h :]
+            words[i:j], person[i:j] = _held(keys[0], lexicon), _held(keys[0], person_keys)
+            stems[i:j] = words[i:j] | _held(keys[1], lexicon) | _held(keys[2], lexicon)
         before = np.concatenate([[0], np.cumsum(person)])
-        row_of = np.repeat(np.arange(rows), np.diff(firsts))
-        low = np.maximum(np.arange(len(starts)) - REACH, firsts[row_of])
-        high = np.minimum(np.arange(len(starts)) + REACH + 1, firsts[row_of + 1])
-        near = stems & (before[high] > before[low])
+        for i in range(0, len(starts), SLICE):
+            at = np.arange(i, min(i + SLICE, len(starts)))
+            low, high = np.maximum(at - REACH, firsts[row_of[at]]), np.minimum(at + REACH + 1, firsts[row_of[at] + 1])
+            near[at] = stems[at] & (before[high] > before[low])
 
         def inside(flags: np.ndarray, starts=starts, ends=ends) -> np.ndarray:
             return sums_between(flags.view(np.uint8), starts, ends)
@@ -172,8 +178,6 @@ def dense_features(column: pa.Array, lexicon: np.ndarray) -> np.ndarray:
         letters = inside(_LETTER[own])
         capital_words = (inside(_UPPER[own]) == ends - starts) & (ends - starts > 1)
         obfuscated = (letters > 0) & (inside(_ALIKE[own]) > 0)
-        repeated = np.zeros(len(starts), bool)
-        repeated[1:] = (keys[0][1:] == keys[0][:-1]) & (row_of[1:] == row_of[:-1])
         words_n, bytes_n = np.maximum(n, 1), np.maximum(size, 1)
         hits, stem_hits = per_word(words), per_word(stems)
         out.append(
