@@ -14,7 +14,7 @@ from tidemark.operators.policies import ObjectiveSet, ParetoUtopiaPolicy, Weight
 from tidemark.operators.represent import BlendedRepresentationModel, aggregated
 from tidemark.operators.scores import CentroidBalance, CorrelationFidelity, CoverageBalance, DiurnalDTWFidelity, DiurnalFidelity, DiversityReward, DTWFidelity, DurationCurveFidelity, NRMSEFidelity, WassersteinFidelity
 from tidemark.operators.search import SnippetSearch
-from tidemark.plans.catalog import _DAILY, _FEATURES, _HOURLY, _NORMAL, _OBJECTIVES, _SOURCES, _STATS, _SUPPLIERS, DAYS, ORACLES, QUERIES, _events, _long, _means, _profiled, _query, _r, _scored, _shipments, _suppliers, months_experiment
+from tidemark.plans.catalog import _DAILY, _FEATURES, _HOURLY, _NORMAL, _OBJECTIVES, _POINTS, _SOURCES, _STATS, _SUPPLIERS, DAYS, ORACLES, QUERIES, _events, _long, _means, _profiled, _query, _r, _scored, _shipments, _suppliers, months_experiment
 from tidemark.plans.context import ProblemContext, TimeSlicer
 from tidemark.sources.series import EVENT_TYPES, daily_shipments, hourly_events, read_csv_series
 from tidemark.sources.tables import shared_folder, stored
@@ -255,9 +255,60 @@ def diag_pca_variance(spark, d):
     return diag.pca_variance(context, engineer)
 
 
-@_query("scores_all")
+#: Eight scores of all sets of three days, each in a WITH of its own.
+_ALL_SCORES = f"""
+    WITH {_HOURLY.replace("members AS", "pair_members AS")},
+    three AS (
+        SELECT CAST(row_number() OVER (ORDER BY a.slice_id, b.slice_id, c.slice_id) - 1 AS BIGINT) AS combo_id, [a.slice_id, b.slice_id, c.slice_id] AS ids, a.label || ', ' || b.label || ', ' || c.label AS label
+        FROM labels a JOIN labels b ON a.slice_id < b.slice_id JOIN labels c ON b.slice_id < c.slice_id),
+    members AS (SELECT combo_id, unnest(ids) AS slice_id FROM three),
+    own AS (SELECT combo_id, variable, hour(ts) AS h, ts, value FROM members JOIN obs USING (slice_id)),
+    spread AS (SELECT variable, CASE WHEN quantile_cont(value, 0.75) = quantile_cont(value, 0.25) THEN 1.0 ELSE quantile_cont(value, 0.75) - quantile_cont(value, 0.25) END AS w FROM obs GROUP BY 1),
+    wasserstein AS (
+        WITH f AS (SELECT variable, value, sum(count(*)) OVER (PARTITION BY variable ORDER BY value) / sum(count(*)) OVER (PARTITION BY variable) AS cdf, coalesce(lead(value) OVER (PARTITION BY variable ORDER BY value) - value, 0.0) AS gap FROM obs GROUP BY variable, value),
+        n AS (SELECT combo_id, variable, value, count(*) AS n FROM own GROUP BY 1, 2, 3),
+        steps AS (SELECT c.combo_id, f.variable, abs(sum(coalesce(n, 0)) OVER (PARTITION BY c.combo_id, f.variable ORDER BY f.value) / 72 - cdf) * gap AS s FROM three c CROSS JOIN f LEFT JOIN n ON n.combo_id = c.combo_id AND n.variable = f.variable AND n.value = f.value)
+        SELECT combo_id, sum(s / w) AS score FROM steps JOIN spread USING (variable) GROUP BY combo_id),
+    correlation AS (
+        WITH p AS (SELECT a.slice_id, a.variable AS v, b.variable AS u, a.value AS x, b.value AS y FROM obs a JOIN obs b ON a.ts = b.ts AND a.variable < b.variable),
+        f AS (SELECT v, u, corr(x, y) AS r FROM p GROUP BY 1, 2),
+        o AS (SELECT combo_id, v, u, corr(x, y) AS r FROM members JOIN p USING (slice_id) GROUP BY 1, 2, 3)
+        SELECT combo_id, sqrt(2 * sum((o.r - f.r) * (o.r - f.r))) / (sqrt(5 + 2 * sum(f.r * f.r)) + 1e-12) AS score FROM o JOIN f USING (v, u) GROUP BY combo_id),
+    nrmse AS (
+        WITH f AS (SELECT variable, value, row_number() OVER (PARTITION BY variable ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY variable) AS n, avg(value) OVER (PARTITION BY variable) AS mean FROM obs),
+        o AS (SELECT combo_id, variable, list(value ORDER BY value) AS v FROM own GROUP BY 1, 2),
+        e AS (SELECT o.combo_id, f.variable, any_value(f.n) AS n, any_value(f.mean) AS mean, sum(power(v[1 + CAST(floor(i * 71.0 / (n - 1)) AS BIGINT)] + (i * 71.0 / (n - 1) - floor(i * 71.0 / (n - 1))) * (v[least(2 + CAST(floor(i * 71.0 / (n - 1)) AS BIGINT), 72)] - v[1 + CAST(floor(i * 71.0 / (n - 1)) AS BIGINT)]) - value, 2)) AS q FROM o JOIN f USING (variable) GROUP BY 1, 2)
+        SELECT combo_id, sum(sqrt(q / n) / (mean + 1e-12)) AS score FROM e GROUP BY combo_id),
+    curve AS (
+        WITH f AS (SELECT variable, unnest(quantile_cont(value, {_POINTS})) AS q, unnest(range(21)) AS i FROM obs GROUP BY variable),
+        o AS (SELECT combo_id, variable, unnest(quantile_cont(value, {_POINTS})) AS q, unnest(range(21)) AS i FROM own GROUP BY combo_id, variable),
+        e AS (SELECT combo_id, variable, sqrt(sum((o.q - f.q) * (o.q - f.q)) / 21) AS e FROM o JOIN f USING (variable, i) GROUP BY 1, 2)
+        SELECT combo_id, sum(e / w) AS score FROM e JOIN spread USING (variable) GROUP BY combo_id),
+    diurnal AS (
+        WITH f AS (SELECT variable, hour(ts) AS h, avg(value) AS a FROM obs GROUP BY 1, 2),
+        o AS (SELECT combo_id, variable, h, avg(value) AS b FROM own GROUP BY 1, 2, 3),
+        e AS (SELECT combo_id, variable, avg((a - b) * (a - b)) AS e, avg(a * a) AS s FROM o JOIN f USING (variable, h) GROUP BY 1, 2)
+        SELECT combo_id, avg(e) / (avg(s) + 1e-12) AS score FROM e GROUP BY combo_id),
+    diversity AS (SELECT a.combo_id, avg(d) AS score FROM members a JOIN members b ON a.combo_id = b.combo_id AND a.slice_id < b.slice_id JOIN dist ON i = a.slice_id AND j = b.slice_id GROUP BY 1),
+    centroid AS (WITH c AS (SELECT combo_id, f, avg(v) AS m FROM members JOIN x USING (slice_id) GROUP BY 1, 2) SELECT combo_id, sqrt(sum(m * m)) AS score FROM c GROUP BY combo_id),
+    coverage AS (
+        WITH mass AS (SELECT j AS slice_id, sum(exp(-1e-7 * d * d)) AS mass FROM dist GROUP BY j),
+        h AS (SELECT combo_id, mass / sum(mass) OVER (PARTITION BY combo_id) - 1.0 / 3 AS e FROM members JOIN mass USING (slice_id))
+        SELECT combo_id, sqrt(sum(e * e)) AS score FROM h GROUP BY combo_id)
+    SELECT combo_id, label, round(wasserstein.score, 4) AS wasserstein, round(correlation.score, 4) AS correlation, round(nrmse.score, 4) AS nrmse, round(curve.score, 4) AS nrmse_duration_curve,
+           round(diurnal.score, 4) AS diurnal, round(diversity.score, 4) AS diversity, round(centroid.score, 4) AS centroid_balance, round(coverage.score, 4) AS coverage_balance
+    FROM three JOIN wasserstein USING (combo_id) JOIN correlation USING (combo_id) JOIN nrmse USING (combo_id) JOIN curve USING (combo_id)
+    JOIN diurnal USING (combo_id) JOIN diversity USING (combo_id) JOIN centroid USING (combo_id) JOIN coverage USING (combo_id)"""
+
+
+@_query("scores_all", _ALL_SCORES)
 def scores_all(spark, d):
-    """All additive scores of all 4,060 sets of three days; each alone has SQL elsewhere."""
+    """All additive scores of all 4,060 sets of three days."""
+    scores, objectives = _scores_of_days(spark, d), _all_additive()
+    return scores.select("combo_id", "label", *[_r(n, 4).alias(n) for n in objectives.specs])
+
+
+def _scores_of_days(spark, d):
     context = _profiled(spark, d)
     objectives = _all_additive()
     objectives.prepare(context)
@@ -272,4 +323,4 @@ def _all_additive() -> ObjectiveSet:
 @_query("pareto_all")
 def pareto_all(spark, d):
     """The Pareto front over these scores."""
-    return ParetoUtopiaPolicy().rank_all(stored(scores_all(spark, d), "scored"), _all_additive()).select("combo_id", "label", "pareto_mask", "policy_score")
+    return ParetoUtopiaPolicy().rank_all(stored(_scores_of_days(spark, d), "scored"), _all_additive()).select("combo_id", "label", "pareto_mask", "policy_score")
