@@ -385,3 +385,24 @@ def test_numbers_in_order(spark):
         assert (r["place"], r["before"]) == (at, total) and r["half"] == pytest.approx(half)
         total, half = total + r["n"], half + r["h"]
     assert numbered_in_order(df.limit(0), ["v"], "place").count() == 0
+
+
+def test_hull_errors_fall_with_k_and_conic_is_no_worse(context):
+    errors = {kind: [HullClusteringSearch(k, kind).find_selection(context).scores["projection_error"] for k in (1, 2, 4)] for kind in ("convex", "conic")}
+    for found in errors.values():
+        assert all(b <= a + 1e-9 for a, b in zip(found, found[1:]))
+    same = HullClusteringSearch(4, "convex").find_selection(context).selection == HullClusteringSearch(4, "conic").find_selection(context).selection
+    assert not same or errors["conic"][-1] <= errors["convex"][-1] + 1e-9
+
+
+@pytest.mark.parametrize("linkage", ["ward", "single", "complete", "average"])
+def test_segments_are_contiguous(context, linkage):
+    cluster = [r["cluster"] for r in CTPCSearch(5, linkage).segments(context).orderBy("slice_id").collect()]
+    assert cluster == sorted(cluster) and set(cluster) == set(range(5))
+
+
+def test_february_of_a_leap_year(spark):
+    start = datetime(2024, 2, 1)
+    rows = [(start + timedelta(hours=i), float(i)) for i in range(24 * 31)]
+    slices = TimeSlicer("month").unique_slices(spark.createDataFrame(rows, "ts timestamp_ntz, a double")).orderBy("slice_id").collect()
+    assert [(r["slice_label"], r["n_rows"]) for r in slices] == [("2024-02", 29 * 24), ("2024-03", 2 * 24)]
