@@ -90,6 +90,28 @@ def test_exact_drop_keeps_columns(odd, empty):
     assert exact.drop_exact(empty).count() == 0 and exact.exact_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("held", [16, 16_384])
+def test_exact_sends_a_hot_block_once_a_task(spark, monkeypatch, held):
+    """A third of all rows is one text and all rows begin with one block: the tasks' tables, however small, keep groups right."""
+    monkeypatch.setattr(exact, "HELD_BLOCKS", held)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        head = "h" * 64
+        rows = [(i, head + ("same" if i % 3 == 0 else f"own {i // 2}")) for i in range(600)]
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        groups = defaultdict(list)
+        for i, t in rows:
+            groups[t].append(i)
+        found = exact.exact_groups(table, block_bytes=64).collect()
+        assert {r["id"]: (r["keep_id"], r["group_size"]) for r in found} == {i: (max(groups[t]), len(groups[t])) for i, t in rows}
+        pieces = table.withColumn("given", F.lit(None).cast("long")).mapInArrow(exact._cut(64), exact._PIECES)
+        sent = Counter(bytes(r["block"]) for r in pieces.where("block is not null").collect())
+        assert sent[head.encode()] == 4
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_near_matches_brute_force(spark, sf_dir, texts):
     rows = sorted(texts.items())
     expected = near_brute(rows)
@@ -255,6 +277,15 @@ def test_vectors_recall_just_above_the_threshold(spark):
     assert linked >= 0.995 * n, linked
 
 
+def test_vectors_that_share_an_id(spark):
+    """Different vectors of one id are one vertex: its links are those of both, whichever row asks."""
+    one, other = [1.0] + [0.0] * 7, [0.0] * 7 + [1.0]
+    table = spark.createDataFrame([(1, one, "a"), (1, other, "a"), (2, one, "a"), (3, [0.0] * 6 + [0.1, 1.0], "a"), (4, other, "b")], "vec_id long, embedding array<double>, label string")
+    rows = Counter(tuple(r) for r in embdedup.near_vectors(table).collect())
+    assert {r[0]: r[2] for r in rows} == {1: 1, 2: 1, 3: 1, 4: 4} and sum(rows.values()) == 5
+    assert {(r[0], r[1]) for r in rows} == {(1, 2), (2, 1), (3, 1), (4, 0)}, rows
+
+
 def test_e8_decoding_is_nearest():
     rng = np.random.default_rng(2)
     x = rng.uniform(-2, 2, (200, 8))

@@ -5,9 +5,11 @@ same one; then adjacent names are paired and the sorted pairs named, level after
 until each document has one name. Two texts of as many blocks have the same name exactly
 when they are equal: no step compares hashes.
 
-A block's bytes cross the network once. Within a batch equal blocks are sent once, so a
-block that every document holds arrives once per batch and no task gathers its occurrences.
-Pairs are named from their distinct values, and the names go back by a join.
+A block's bytes cross the network once. A task sends equal blocks once, as long as it can
+hold them: it keeps the last HELD_BLOCKS, and of those before only the ones it has met again.
+So a block that every document holds arrives about once for each task that reads texts, one
+4-KB block for every file split of, say, 128 MB, and the task that names it does not gather its
+occurrences. Pairs are named from their distinct values, and the names go back by a join.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from tidemark.llm.shared import fresh, numbered, written
 from tidemark.llm.textscan import column_bytes
 
 BLOCK_BYTES = 4096
+HELD_BLOCKS = 16_384  # that a task remembers as sent: at most 64 MB of blocks
 NAME_BUCKETS = 1 << 16  # at least; more where there are more values
 BUCKET_VALUES = 4096  # that a name bucket is to hold
 _LOCAL_BITS = 36
@@ -40,6 +43,8 @@ def _cut(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << _LOCAL_BITS
         row = slot = 0
+        held: dict[bytes, int] = {}  # slots of blocks sent in earlier batches
+        again: set[bytes] = set()  # those of them met again
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             data = data.tobytes()
@@ -49,7 +54,12 @@ def _cut(block_bytes: int):
                 names = []
                 for s in range(a, max(b, a + 1), block_bytes):
                     block = data[s : min(s + block_bytes, b)]
-                    names.append(known.setdefault(block, base + slot + len(known)))
+                    sent = held.get(block)
+                    if sent is None:
+                        sent = known.setdefault(block, base + slot + len(known))
+                    else:
+                        again.add(block)
+                    names.append(sent)
                 lists.append(names)
                 shas.append(hashlib.sha256(data[a:b]).hexdigest())
             n, m = batch.num_rows, len(known)
@@ -62,6 +72,10 @@ def _cut(block_bytes: int):
                     [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.string()), pa.array(known.values(), pa.int64()), pa.array(known.keys(), pa.binary())], schema=schema
                 )
             row, slot = row + n, slot + m
+            held |= known
+            if len(held) > HELD_BLOCKS:
+                held = {block: held[block] for block in again} if len(again) <= HELD_BLOCKS // 2 else {}
+                again = set()
 
     return run
 
