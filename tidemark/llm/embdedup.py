@@ -246,7 +246,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     all zero or holds a null or non-finite component, or whose label is null, has no links and
     is its own component; so do vectors of different dimension to each other. A null id takes
     part in no group: its component_id is null and kept true. Rows that repeat an id and
-    vector count as vectors of their own. An empty table gives an empty result.
+    vector count as vectors of their own. Rows that share an id but not the vector are one
+    vertex with the links of all their vectors. An empty table gives an empty result.
     """
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     usable = source.mapInArrow(_usable, "id long, label string, name binary, vector binary")
