@@ -278,12 +278,33 @@ def test_vectors_recall_just_above_the_threshold(spark):
 
 
 def test_vectors_that_share_an_id(spark):
-    """Different vectors of one id are one vertex: its links are those of both, whichever row asks."""
+    """Different vectors of one id have links of their own."""
     one, other = [1.0] + [0.0] * 7, [0.0] * 7 + [1.0]
     table = spark.createDataFrame([(1, one, "a"), (1, other, "a"), (2, one, "a"), (3, [0.0] * 6 + [0.1, 1.0], "a"), (4, other, "b")], "vec_id long, embedding array<double>, label string")
     rows = Counter(tuple(r) for r in embdedup.near_vectors(table).collect())
-    assert {r[0]: r[2] for r in rows} == {1: 1, 2: 1, 3: 1, 4: 4} and sum(rows.values()) == 5
-    assert {(r[0], r[1]) for r in rows} == {(1, 2), (2, 1), (3, 1), (4, 0)}, rows
+    assert rows == {(1, 1, 1, True): 2, (2, 1, 1, False): 1, (3, 1, 1, False): 1, (4, 0, 4, True): 1}
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+def test_vectors_in_chains(spark, monkeypatch, block):
+    """Chains in which each vector is linked to the next alone, ids in random order, are one component each."""
+    monkeypatch.setattr(embdedup, "BLOCK", block)
+    monkeypatch.setattr(embdedup, "ROWS", 3)
+    rng = np.random.default_rng(3)
+    ids, rows, chains = rng.permutation(60 * 9).tolist(), [], []
+    for _ in range(60):
+        turn = np.linalg.qr(rng.standard_normal((16, 2)))[0]
+        chains.append([ids.pop() for _ in range(9)])
+        angles = np.radians(13.0 * np.arange(9))
+        for i, v in zip(chains[-1], np.stack([np.cos(angles), np.sin(angles)], axis=1) @ turn.T, strict=True):
+            rows.append((i, v.tolist(), len(chains)))
+    found = {r["vec_id"]: r for r in embdedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    links, forest = vectors_brute(rows)
+    assert all(found[i]["n_links"] <= links[n] for n, (i, _, _) in enumerate(rows))
+    if sum(r["n_links"] for r in found.values()) == sum(links.values()):  # none missed: then components are exact
+        assert {i: r["component_id"] for i, r in found.items()} == {i: forest.top(i) for i, _, _ in rows}
+    full = [c for c in chains if sum(found[i]["n_links"] for i in c) == 2 * 8]
+    assert len(full) > 40 and all({found[i]["component_id"] for i in c} == {min(c)} for c in full)
 
 
 def test_e8_decoding_is_nearest():

@@ -10,7 +10,7 @@ cells are largest in sum as its pivot, and the classes that share a pivot form a
 a cluster which shares many cells is one group and its vectors are moved once. A group's members
 are dealt into blocks of bounded size that span a grid; a task gets the vectors of one cell of
 it, two blocks or one, and compares them by matrix product, so a vector is sent once for each
-block of its group. Only counts and one link per vector leave a task, so a lattice cell that
+block of its group. Only counts and, for each vector, the smallest one it reaches leave a task, so a lattice cell that
 holds a third of all vectors gives no pairs. A pair that meets in several groups is counted in
 the first of them.
 """
@@ -196,23 +196,41 @@ def _met_before(one: _Side, two: _Side, pivot: int, rows: slice) -> np.ndarray:
     return out
 
 
-def _matched(threshold: float):
-    """Counts of links and the smallest linked node for the members of each cell; those of its second block are marked."""
+def _join(labels: np.ndarray, first: int, second: int, linked: np.ndarray) -> None:
+    """Give vertices that are linked one label, the smallest; rows of linked are vertices from first on, columns from second on."""
+    for row in np.flatnonzero(linked.any(axis=1)).tolist():
+        own = np.append(labels[second + np.flatnonzero(linked[row])], labels[first + row])
+        least = own.min()
+        if (own != least).any():
+            hit = np.zeros(len(labels), bool)
+            hit[own] = True
+            labels[hit[labels]] = least
+
 
-    def compare(one: _Side, two: _Side, pivot: int, same: bool):
-        for a in range(0, len(one.nodes), ROWS):
-            rows = slice(a, min(a + ROWS, len(one.nodes)))
+def _matched(threshold: float):
+    """Counts of links of the members of each cell, and the smallest member that each reaches by its links; those of its second block are marked."""
+
+    def compare(one: _Side, two: _Side, pivot: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(one.nodes)
+        second = 0 if same else n
+        nodes = one.nodes if same else np.concatenate([one.nodes, two.nodes])
+        counts, labels = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        for a in range(0, n, ROWS):
+            rows = slice(a, min(a + ROWS, n))
             linked = one.units[rows] @ two.units.T >= threshold
             if same:
                 linked[np.arange(len(linked)), np.arange(rows.start, rows.stop)] = False
             if not linked.any():
                 continue
             linked &= ~_met_before(one, two, pivot, rows)  # such pairs were counted there
-            for table, near, far in ((linked, one.nodes[rows], two), (linked.T, two.nodes, _Part(one, rows)))[: 1 if same else 2]:
-                hit = np.flatnonzero(table.any(axis=1))
-                if len(hit):
-                    others = np.where(table[hit], far.nodes[None, :], np.iinfo(np.int64).max).min(axis=1)
-                    yield near[hit], table[hit] @ far.copies, others
+            counts[rows] += linked @ two.copies
+            if not same:
+                counts[n:] += linked.T @ one.copies[rows]
+            _join(labels, a, second, linked)
+        least = np.full(len(nodes), np.iinfo(np.int64).max)
+        np.minimum.at(least, labels, nodes)
+        hit = counts > 0
+        return nodes[hit], counts[hit], least[labels[hit]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,17 +245,12 @@ def _matched(threshold: float):
                         sides[k][units.shape[1]] = _Side(rows, units, block)
                 for size, one in sides[0].items():
                     two = one if same else sides[1].get(size)
-                    for nodes, counts, others in compare(one, two, pivot, same) if two else ():
-                        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(counts), pa.array(others)], ["node", "links", "other"])
+                    if two:
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, compare(one, two, pivot, same))], ["node", "links", "other"])
 
     return run
 
 
-class _Part:
-    def __init__(self, side: _Side, rows: slice):
-        self.nodes, self.copies = side.nodes[rows], side.copies[rows]
-
-
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
     """vec_id, n_links, component_id and kept, one row per input row.
 
@@ -246,23 +259,23 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     all zero or holds a null or non-finite component, or whose label is null, has no links and
     is its own component; so do vectors of different dimension to each other. A null id takes
     part in no group: its component_id is null and kept true. Rows that repeat an id and
-    vector count as vectors of their own. Rows that share an id but not the vector are one
-    vertex with the links of all their vectors. An empty table gives an empty result.
+    vector count as vectors of their own, and so do different vectors of one id. An empty
+    table gives an empty result.
     """
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     usable = source.mapInArrow(_usable, "id long, label string, name binary, vector binary")
     rows = written(usable.select("id", "label", "name"), "names")
     first = usable.where("id is not null and vector is not null").groupBy("label", "name")
-    classes = written(first.agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")), "classes")
-    # classes of rows that repeat an id can share a node; labels keep cells apart
-    cells = classes.select("node", "vector", "label").select(F.struct("node", "label").alias("node"), "vector")
-    cells = cells.select("node", "vector").mapInArrow(_indexed(tables, probes, scale), "node struct<node: long, label: string>, cells array<long>")
-    entries = cells.select("node.node", F.explode("cells").alias("cell"), "node.label").select("node", F.xxhash64("cell", "label").alias("cell"))
+    classes = first.agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # labels keep cells apart; the first id settles ties between pivots, so reruns agree
+    cells = classes.select(F.struct("node", "label", "first").alias("node"), "vector").mapInArrow(_indexed(tables, probes, scale), "node struct<node: long, label: string, first: long>, cells array<long>")
+    entries = cells.select("node.node", "node.first", F.explode("cells").alias("cell"), "node.label").select("node", "first", F.xxhash64("cell", "label").alias("cell"))
     entries = written(entries, "entries")
     crowded = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(entries.join(crowded, "cell"), "members")
     weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    pivots = members.join(weights, "node").groupBy("cell").agg(F.max(F.struct("weight", "node")).alias("top")).select("cell", F.col("top.node").alias("pivot"))
+    pivots = members.join(weights, "node").groupBy("cell").agg(F.max(F.struct("weight", "first", "node")).alias("top")).select("cell", F.col("top.node").alias("pivot"))
     stars = written(members.join(pivots, "cell").select("pivot", "node").distinct(), "stars")
     sizes = stars.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     stars = written(stars.join(sizes, "pivot"), "groups")
@@ -278,8 +291,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     grouped = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     known = classes.drop("vector").join(counted, "node", "left").join(grouped.withColumnRenamed("id", "node"), "node", "left")
-    known = known.select("label", "name", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    joined = rows.join(written(known, "known"), ["label", "name"], "left")
+    known = written(known.select("label", "name", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("top")), "known")
+    tops = known.groupBy("top").agg(F.min("first").alias("component"))
+    joined = rows.join(written(known.join(tops, "top").select("label", "name", "n_links", "component"), "components"), ["label", "name"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     out = joined.select("id", F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"), component.alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
