@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -259,6 +260,25 @@ def test_pca(context, points):
         PCAFeatureEngineer().calc_and_get_features_df(ProblemContext(context.df, context.slicer))
 
 
+@pytest.mark.parametrize("components", [None, 3, 0.6])
+def test_pca_of_more_features_than_slices(spark, monkeypatch, components):
+    """Block products of 9 slices with 40 features give the singular vectors of the centred table."""
+    x = np.random.default_rng(8).standard_normal((9, 40))
+    features = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "slice_id int, " + ", ".join(f"f{j} double" for j in range(40))).repartition(3)
+    given = SimpleNamespace(df_features=features, features=features, feature_columns=[f"f{j}" for j in range(40)])
+    monkeypatch.setattr("tidemark.functions.blocks.BLOCK", 4)
+    _, sizes, vectors = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    share = sizes**2 / (sizes**2).sum()
+    k = {None: 9, 3: 3, 0.6: int(np.searchsorted(np.cumsum(share), 0.6)) + 1}[components]
+    vectors *= np.sign(vectors[np.arange(9), np.abs(vectors).argmax(1)])[:, None]
+    engineer = PCAFeatureEngineer(components)
+    rows = engineer.calc_and_get_features_df(given).orderBy("slice_id").collect()
+    scores = (x - x.mean(0)) @ vectors.T
+    assert np.allclose([[r[f"pc_{j}"] for j in range(k)] for r in rows], scores[:, :k]) and f"pc_{k}" not in rows[0]
+    assert np.allclose(engineer.explained_variance_ratio_, share[:k]) and np.allclose(engineer.explained_variance_, sizes[:k] ** 2 / 8)
+    assert np.allclose(engineer.components_[:8], vectors[: min(k, 8)])
+
+
 def brute_wasserstein(whole: np.ndarray, part: np.ndarray) -> float:
     grid = np.unique(whole)
     cdf = lambda v: np.searchsorted(np.sort(v), grid, side="right") / len(v)

@@ -6,9 +6,11 @@ from abc import ABC, abstractmethod
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import reduced
 from tidemark.functions.order import quantiles, value_grid
 from tidemark.plans.context import ProblemContext
 from tidemark.sources.tables import stored
@@ -161,9 +163,11 @@ class PCAFeatureEngineer(FeatureEngineer):
     """Principal components of the features that a context has, as pc_0, pc_1, ...
 
     n_components None: all; a whole number: so many; a fraction: the fewest that explain that
-    share of variance. The components are found on the features' covariance, whose size is
-    that of the feature set; slices are projected where they are. Of each component the
-    loading of largest size is positive.
+    share of variance. They are found on the smaller of two tables: the features' covariance,
+    or, where features outnumber slices, the products of slices, made block by block; slices
+    are projected where they are. Of each component the loading of largest size is positive;
+    of n slices at most n - 1 components vary, and one without variance that the products do
+    not determine has loadings of zero.
     """
 
     def __init__(self, n_components: int | float | None = None, whiten: bool = False):
@@ -175,41 +179,98 @@ class PCAFeatureEngineer(FeatureEngineer):
             raise ValueError("PCA needs features; put an engineer before it in a pipeline")
         names = context.feature_columns
         x = context.features.select("slice_id", F.array(*[_finite(F.col(f"`{c}`").cast("double")) for c in names]).alias("x")).persist()
-        p = len(names)
+        n, p = x.count(), len(names)
+        solve = self._of_products if n < p else self._of_covariance
+        values, vectors, ratio, mean = solve(x, n, p)
+        k = len(vectors)
+        self.components_, self.explained_variance_, self.explained_variance_ratio_ = vectors[:k], values[:k], ratio[:k]
+        loadings = vectors[:k] / np.sqrt(np.maximum(values[:k], 1e-300))[:, None] if self.whiten else vectors[:k]
+        columns = []
+        for i, row in enumerate(loadings):
+            dot = F.aggregate(F.zip_with("x", F.array(*map(F.lit, row.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+            columns.append((dot - float(row @ mean)).alias(f"pc_{i}"))
+        return x.select("slice_id", *columns)
+
+    def _wanted(self, values: np.ndarray, total: float) -> tuple[int, np.ndarray]:
+        """How many components to keep, and the shares of variance of all."""
+        ratio = values / max(total, 1e-300)
+        if isinstance(self.n_components, float) and 0 < self.n_components < 1:
+            return min(len(values), int(np.searchsorted(np.cumsum(ratio), self.n_components) + 1)), ratio
+        return len(values) if self.n_components is None else min(len(values), int(self.n_components)), ratio
+
+    def _of_covariance(self, x: DataFrame, n: int, p: int):
+        """Variances, components, shares of variance and means from a table of features by features."""
 
         def partial(frames):
-            """Row i of the sums of products of a partition's vectors, the sums themselves as row p, their number as its last entry."""
-            sums = np.zeros((p + 1, p + 1))
+            sums = np.zeros((p + 1, p + 1))  # products of a partition's vectors, and their sums as the last row
             for frame in frames:
-                block = np.column_stack([np.array(frame["x"].tolist(), float).reshape(-1, p), np.ones(len(frame))])
+                block = np.column_stack([_matrix(frame, p), np.ones(len(frame))])
                 sums += block.T @ block
             yield pd.DataFrame({"i": np.arange(p + 1), "sums": list(sums)})
 
-        def added(frame):
-            return pd.DataFrame({"i": [frame["i"].iloc[0]], "sums": [np.sum(frame["sums"].tolist(), axis=0)]})
-
-        # partitions are added up row by row in tasks, so that one matrix reaches the driver
-        parts = x.select("x").mapInPandas(partial, "i int, sums array<double>").groupBy("i").applyInPandas(added, "i int, sums array<double>").collect()
-        table = np.zeros((p + 1, p + 1))
-        for r in parts:
-            table[r["i"]] = r["sums"]
-        n = int(round(table[p, p]))
-        mean, square = table[p, :p] / max(n, 1), table[:p, :p]
-        covariance = (square - n * np.outer(mean, mean)) / max(n - 1, 1)
+        table = _added(x.select("x").mapInPandas(partial, "i int, sums array<double>"), p + 1, p + 1)
+        mean = table[p, :p] / max(n, 1)
+        covariance = (table[:p, :p] - n * np.outer(mean, mean)) / max(n - 1, 1)
         values, vectors = np.linalg.eigh(covariance)
         order = np.argsort(-values)[: min(n, p)]
         values, vectors = np.maximum(values[order], 0), vectors[:, order].T
-        vectors = vectors * np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(axis=1)])[:, None]
-        ratio = values / max(np.trace(covariance), 1e-300)
-        k = len(values)
-        if isinstance(self.n_components, float) and 0 < self.n_components < 1:
-            k = min(k, int(np.searchsorted(np.cumsum(ratio), self.n_components) + 1))
-        elif self.n_components is not None:
-            k = min(k, int(self.n_components))
-        self.components_, self.explained_variance_, self.explained_variance_ratio_ = vectors[:k], values[:k], ratio[:k]
-        loadings = vectors[:k] / np.sqrt(np.maximum(values[:k], 1e-300))[:, None] if self.whiten else vectors[:k]
-        columns = []
-        for i, row in enumerate(loadings):
-            dot = F.aggregate(F.zip_with("x", F.array(*map(F.lit, row.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-            columns.append((dot - float(row @ mean)).alias(f"pc_{i}"))
-        return x.select("slice_id", *columns)
+        k, ratio = self._wanted(values, float(np.trace(covariance)))
+        return values, _turned(vectors[:k]), ratio, mean
+
+    def _of_products(self, x: DataFrame, n: int, p: int):
+        """The same from a table of slices by slices; no task or message holds features by features."""
+
+        def total(frames):
+            sums = np.zeros(p)
+            for frame in frames:
+                sums += _matrix(frame, p).sum(axis=0)
+            yield pd.DataFrame({"i": [0], "sums": [sums]})
+
+        mean = _added(x.select("x").mapInPandas(total, "i int, sums array<double>"), 1, p)[0] / max(n, 1)
+
+        def products(_, own: dict, other: dict) -> dict:
+            rows, columns = (np.stack(side["x"]) - mean for side in (own, other))
+            return {"slice_id": own["slice_id"].astype(np.int32), "others": pa.array([other["slice_id"].astype(np.int32)] * len(rows)), "v": pa.array(list(rows @ columns.T))}
+
+        ids = sorted(r["slice_id"] for r in x.select("slice_id").collect())  # fewer than there are feature names
+        place = {s: i for i, s in enumerate(ids)}
+        table = np.zeros((n, n))
+        for r in reduced(x, None, products, "slice_id int, others array<int>, v array<double>").toLocalIterator():
+            table[place[r["slice_id"]], [place[s] for s in r["others"]]] = r["v"]
+        values, turns = np.linalg.eigh(table)
+        values, turns = values[::-1], turns[:, ::-1]
+        k, ratio = self._wanted(np.maximum(values, 0), float(np.trace(table)))
+        varies = values > n * np.finfo(float).eps * max(float(values[0]) if n else 0.0, 0.0)
+        scale = np.where(varies, 1 / np.sqrt(np.where(varies, values, 1.0)), 0.0)
+        weight = turns[:, :k] * scale[:k]  # a component is this sum of slices
+
+        def combined(frames):
+            sums = np.zeros((k, p))
+            for frame in frames:
+                at = [place[s] for s in frame["slice_id"]]
+                sums += weight[at].T @ (_matrix(frame, p) - mean)
+            yield pd.DataFrame({"i": np.arange(k), "sums": list(sums)})
+
+        vectors = _added(x.mapInPandas(combined, "i int, sums array<double>"), k, p)
+        return np.maximum(values, 0) / max(n - 1, 1), _turned(vectors), ratio, mean
+
+
+def _matrix(frame: pd.DataFrame, p: int) -> np.ndarray:
+    return np.array(frame["x"].tolist(), float).reshape(-1, p)
+
+
+def _added(parts: DataFrame, rows: int, columns: int) -> np.ndarray:
+    """The table whose row i is the sum of all sums of i; partitions are added up in tasks, so that one table reaches the driver."""
+
+    def added(frame):
+        return pd.DataFrame({"i": [frame["i"].iloc[0]], "sums": [np.sum(frame["sums"].tolist(), axis=0)]})
+
+    table = np.zeros((rows, columns))
+    for r in parts.groupBy("i").applyInPandas(added, "i int, sums array<double>").collect():
+        table[r["i"]] = r["sums"]
+    return table
+
+
+def _turned(vectors: np.ndarray) -> np.ndarray:
+    """Each row with the sign that makes its entry of largest size positive."""
+    return vectors * np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(axis=1)])[:, None]
